@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from quarry.llm.language_id import op6_language_id
 from quarry.llm.token_files import op2_token_files
 
-_QUERIES = [op2_token_files]
+_QUERIES = [op2_token_files, op6_language_id]
 _SQL: dict[str, str] = {}
 
 
