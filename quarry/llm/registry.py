@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from quarry.llm.language_id import op6_language_id
+from quarry.llm.sentence_pieces import op10_sentence_pieces
 from quarry.llm.token_files import op2_token_files
+from quarry.llm.winnowing import op5_winnowing
 
-_QUERIES = [op2_token_files, op6_language_id]
+_QUERIES = [op2_token_files, op5_winnowing, op6_language_id, op10_sentence_pieces]
 _SQL: dict[str, str] = {}
 
 
