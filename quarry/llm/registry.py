@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from quarry.llm.language_id import op6_language_id
+from quarry.llm.near_duplicates import op9_near_duplicates
 from quarry.llm.sentence_pieces import op10_sentence_pieces
 from quarry.llm.token_files import op2_token_files
 from quarry.llm.winnowing import op5_winnowing
 
-_QUERIES = [op2_token_files, op5_winnowing, op6_language_id, op10_sentence_pieces]
+_QUERIES = [op2_token_files, op5_winnowing, op6_language_id, op9_near_duplicates, op10_sentence_pieces]
 _SQL: dict[str, str] = {}
 
 
