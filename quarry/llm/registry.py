@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quarry.llm.decontamination import op3_decontamination
 from quarry.llm.language_id import op6_language_id
 from quarry.llm.near_duplicates import op9_near_duplicates
 from quarry.llm.repeated_bytes import op1_repeated_bytes
@@ -9,7 +10,7 @@ from quarry.llm.sentence_pieces import op10_sentence_pieces
 from quarry.llm.token_files import op2_token_files
 from quarry.llm.winnowing import op5_winnowing
 
-_QUERIES = [op1_repeated_bytes, op2_token_files, op5_winnowing, op6_language_id, op9_near_duplicates, op10_sentence_pieces]
+_QUERIES = [op1_repeated_bytes, op2_token_files, op3_decontamination, op5_winnowing, op6_language_id, op9_near_duplicates, op10_sentence_pieces]
 _SQL: dict[str, str] = {}
 
 
