@@ -8,9 +8,10 @@ from quarry.llm.near_duplicates import op9_near_duplicates
 from quarry.llm.repeated_bytes import op1_repeated_bytes
 from quarry.llm.sentence_pieces import op10_sentence_pieces
 from quarry.llm.token_files import op2_token_files
+from quarry.llm.toxicity import op8_toxicity
 from quarry.llm.winnowing import op5_winnowing
 
-_QUERIES = [op1_repeated_bytes, op2_token_files, op3_decontamination, op5_winnowing, op6_language_id, op9_near_duplicates, op10_sentence_pieces]
+_QUERIES = [op1_repeated_bytes, op2_token_files, op3_decontamination, op5_winnowing, op6_language_id, op8_toxicity, op9_near_duplicates, op10_sentence_pieces]
 _SQL: dict[str, str] = {}
 
 
