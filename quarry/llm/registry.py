@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quarry.llm import chat_rotation
+from quarry.llm.chat_rotation import op7_chat_rotation
 from quarry.llm.decontamination import op3_decontamination
 from quarry.llm.language_id import op6_language_id
 from quarry.llm.near_duplicates import op9_near_duplicates
@@ -9,10 +11,22 @@ from quarry.llm.repeated_bytes import op1_repeated_bytes
 from quarry.llm.sentence_pieces import op10_sentence_pieces
 from quarry.llm.token_files import op2_token_files
 from quarry.llm.toxicity import op8_toxicity
+from quarry.llm.url_filter import op4_url_filter
 from quarry.llm.winnowing import op5_winnowing
 
-_QUERIES = [op1_repeated_bytes, op2_token_files, op3_decontamination, op5_winnowing, op6_language_id, op8_toxicity, op9_near_duplicates, op10_sentence_pieces]
-_SQL: dict[str, str] = {}
+_QUERIES = [
+    op1_repeated_bytes,
+    op2_token_files,
+    op3_decontamination,
+    op4_url_filter,
+    op5_winnowing,
+    op6_language_id,
+    op7_chat_rotation,
+    op8_toxicity,
+    op9_near_duplicates,
+    op10_sentence_pieces,
+]
+_SQL = {"op7_chat_rotation": chat_rotation.SQL}
 
 
 def queries():
