@@ -15,6 +15,9 @@ give repeated results. Other columns are ignored. An empty table on either side
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -106,38 +109,62 @@ def longest_alike(equal: np.ndarray, identity: float = IDENTITY) -> tuple[int, i
     return best
 
 
-def find_items(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, doc_word, item_word, n_words, n_equal): for each text and each item that it
-    holds, the longest stretch: its first word in both, its length and its equal words."""
-    docs, tests = only(documents, doc_id="long", text="string"), only(items, item_id="long", text="string")
+def indexes(items: DataFrame) -> Iterator[Index]:
+    """The blocks of the test items, one at a time."""
+    tests = only(items, item_id="long", text="string")
     n_words = tests.agg(F.sum(F.length("text"))).first()[0] or 0  # a word has a character at least
     n_blocks = max(1, -(-int(n_words) // (3 * BLOCK_WORDS)))
     blocks = [tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
-    found = None
     for block in blocks:
-        part = _find(docs, Index([tuple(r) for r in block.collect()]))
-        found = part if found is None else found.unionByName(part)
-    return found
+        yield Index([tuple(r) for r in block.collect()])
+
+
+def stretches(texts: pa.Array, index: Index) -> dict[tuple[int, int], tuple]:
+    """(text, item) -> (words, equal words, -first word in the text, -first word in the item)."""
+    words, owner, _, _ = word_hashes(texts.fill_null(""))
+    count = np.bincount(owner, minlength=len(texts))
+    begin = np.cumsum(count) - count
+    best: dict[tuple[int, int], tuple] = {}
+    for text, item, start in index.hits(words, owner).tolist():
+        a = max(0, begin[text] - start)  # the item's first word that lies in the text
+        b = min(index.count[item], begin[text] + count[text] - start)
+        first = index.begin[item]
+        equal = words[start + a : start + b] == index.words[first + a : first + b]
+        i, j = longest_alike(equal)
+        if j - i >= min(WORDS, index.count[item]):
+            row = (int(j - i), int(equal[i:j].sum()), -int(start + a + i - begin[text]), -int(a + i))
+            if row > best.get((text, item), ()):
+                best[text, item] = row
+    return best
+
+
+def find_items(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, doc_word, item_word, n_words, n_equal): for each text and each item that it
+    holds, the longest stretch: its first word in both, its length and its equal words."""
+    docs = only(documents, doc_id="long", text="string")
+    found = [_find(docs, index) for index in indexes(items)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def without_items(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """``documents``, all columns, without those that hold an item."""
+    place = documents.columns.index("text")
+    for index in indexes(items):
+
+        def run(batches, index=index):
+            for batch in slices(batches, "text"):
+                held = {text for text, _ in stretches(batch.column(place), index)}
+                yield batch.filter(pa.array([i not in held for i in range(batch.num_rows)], pa.bool_()))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents
 
 
 def _find(docs: DataFrame, index: Index) -> DataFrame:
     def run(batches):
         for batch in slices(batches, "text"):
-            words, owner, _, _ = word_hashes(batch.column(1).fill_null(""))
-            count = np.bincount(owner, minlength=batch.num_rows)
-            begin = np.cumsum(count) - count
             ids = batch.column(0).to_pylist()
-            best: dict[tuple[int, int], tuple] = {}
-            for text, item, start in index.hits(words, owner).tolist():
-                a = max(0, begin[text] - start)  # the item's first word that lies in the text
-                b = min(index.count[item], begin[text] + count[text] - start)
-                first = index.begin[item]
-                equal = words[start + a : start + b] == index.words[first + a : first + b]
-                i, j = longest_alike(equal)
-                if j - i >= min(WORDS, index.count[item]):
-                    row = (int(j - i), int(equal[i:j].sum()), -int(start + a + i - begin[text]), -int(a + i))
-                    if row > best.get((text, item), ()):
-                        best[text, item] = row
+            best = stretches(batch.column(1), index)
             if best:
                 rows = [(ids[t], index.ids[k], -p, -q, n, e) for (t, k), (n, e, p, q) in best.items()]
                 names = ["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_equal"]

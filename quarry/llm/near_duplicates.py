@@ -304,6 +304,21 @@ def pairs_across(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, class_id): one row for each row of ``documents`` (doc_id, text)."""
+    return _classes(documents).select("doc_id", "class_id")
+
+
+def one_of_each_class(documents: DataFrame) -> DataFrame:
+    """``documents``, all columns, with one document of each class: the one that names it. Where no
+    document of a class has an id, one of each of its texts stays."""
+    chosen = _classes(documents).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), "node").agg(F.lit(1).alias("_one"))
+    every = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_row")
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), _node_of("text").alias("node"), every)
+    kept = rows.hint("merge").join(written(chosen, "kept"), ["_id", "node"]).dropDuplicates(["_id", "node"])
+    return kept.select(*(F.col("_row").getField(c).alias(c) for c in documents.columns))
+
+
+def _classes(documents: DataFrame) -> DataFrame:
+    """(doc_id, node, class_id)"""
     docs = only(documents, doc_id="long", text="string").withColumn("row", F.xxhash64("doc_id", "text"))
     signed = written(sign(docs), "signatures")
     linked = written(bucket_links(bands(signed)), "links")
@@ -327,7 +342,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     named = written(named, "named")
     classes = written(named.groupBy("component").agg(F.min("least").alias("class_id")), "classes")
     named = written(named.hint("merge").join(classes, "component").select("node", "class_id"), "named")
-    return nodes.hint("merge").join(named, "node").select("doc_id", "class_id")
+    return nodes.hint("merge").join(named, "node").select("doc_id", "node", "class_id")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import byte_view, mix64, only, run_starts, slices, table, written
+from quarry.llm.common import SLICE_BYTES, byte_view, mix64, only, run_starts, slices, table, written
 from quarry.llm.shingles import _BASE, _INVERSE, _SYMBOLS, _power
 
 LENGTH = 100
@@ -141,7 +141,8 @@ def compare_anchors(rows: DataFrame) -> DataFrame:
 
 def _with_texts(docs: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame:
     """Bring ``rows`` (doc, tie, a, b) to their documents' texts: ``run`` sees of each document its
-    rows of texts (compressed) and then the others. One document's rows are bounded by its length."""
+    rows of texts (compressed) and then the others. One document's rows are bounded by its length.
+    ``docs`` is (doc_id, text, carry); what carry holds goes along with the text."""
 
     def pack(batches):
         codec = pa.Codec("zstd", compression_level=1)
@@ -149,13 +150,14 @@ def _with_texts(docs: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame
             ids, ties = _keys(batch.column(0), batch.column(1))
             raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(ties), pa.array([len(r) for r in raw], pa.int64()), pa.array([codec.compress(r, asbytes=True) if r else b"" for r in raw], pa.binary())],
-                names=["doc", "tie", "a", "text"],
+                [pa.array(ids), pa.array(ties), pa.array([len(r) for r in raw], pa.int64()), pa.array([codec.compress(r, asbytes=True) if r else b"" for r in raw], pa.binary()), batch.column(2)],
+                names=["doc", "tie", "a", "text", "carry"],
             )
 
-    packed = docs.mapInArrow(pack, "doc long, tie long, a long, text binary").select("doc", "tie", "a", F.lit(0).cast("long").alias("b"), "text")
+    packed = docs.mapInArrow(pack, "doc long, tie long, a long, text binary, carry string").select("doc", "tie", "a", F.lit(0).cast("long").alias("b"), "text", "carry")
+    nothing = (F.lit(None).cast("binary").alias("text"), F.lit(None).cast("string").alias("carry"))
     return (
-        packed.unionByName(rows.select("doc", "tie", "a", "b", F.lit(None).cast("binary").alias("text")))
+        packed.unionByName(rows.select("doc", "tie", "a", "b", *nothing))
         .repartition(_partitions(docs.sparkSession), "doc", "tie")
         .sortWithinPartitions("doc", "tie", F.col("text").isNull())
         .mapInArrow(run, schema)
@@ -163,7 +165,7 @@ def _with_texts(docs: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame
 
 
 def _documents(batches):
-    """(doc, tie, texts, a, b) of each document in batches as ``_with_texts`` makes them."""
+    """(doc, tie, [(text, carry)], a, b) of each document in batches as ``_with_texts`` makes them."""
     codec = pa.Codec("zstd")
     key, texts, left, right = None, [], [], []
     for batch in batches:
@@ -181,7 +183,7 @@ def _documents(batches):
             k = i + int(is_text[i:j].sum())
             for r in range(i, k):
                 raw = batch.column(4)[r].as_py()
-                texts.append(codec.decompress(raw, int(a[r]), asbytes=True) if a[r] else b"")
+                texts.append((codec.decompress(raw, int(a[r]), asbytes=True) if a[r] else b"", batch.column(5)[r].as_py()))
             left.append(a[k:j])
             right.append(b[k:j])
     if key is not None:
@@ -201,9 +203,10 @@ def contexts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             return batch
 
         for doc, tie, texts, places, _ in _documents(batches):
+            text = texts[0][0]
             for place in sorted(set(places.tolist())):
                 p1, skip, more = place >> 16, place >> 8 & 255, place & 255
-                out.append((texts[0][p1 + skip : p1 + skip + GRAM], doc, tie, p1, texts[0][p1 : p1 + more + LENGTH]))
+                out.append((text[p1 + skip : p1 + skip + GRAM], doc, tie, p1, text[p1 : p1 + more + LENGTH]))
             if len(out) >= 5000:
                 yield flush()
         if out:
@@ -348,30 +351,25 @@ def compare_boundaries(rows: DataFrame, n: int) -> DataFrame:
 def repeated_stretches(docs: DataFrame) -> DataFrame:
     """(doc, tie, a, b): byte ranges whose every string of LENGTH bytes starts earlier as well."""
     n = _partitions(docs.sparkSession)
-    compared = written(compare_anchors(anchor_rows(docs)), "anchors")
+    compared = written(compare_anchors(anchor_rows(docs.select("doc_id", "text"))), "anchors")
     whole = compared.where("mark").select("doc", "tie", F.shiftright("place", 16).alias("a"), (F.shiftright("place", 16) + F.col("place").bitwiseAND(255) + LENGTH).alias("b"))
     suffixes = written(compare_suffixes(contexts(docs, compared.where("not mark")), n), "suffixes")
     inner = suffixes.where("bucket is null").select("doc", "tie", "a", "b")
     return whole.unionByName(inner).unionByName(compare_boundaries(suffixes.where("bucket is not null"), n))
 
 
-def without_repeats(documents: DataFrame, keep_text: bool = False) -> DataFrame:
-    """One row for each row of ``documents`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans,
-    kept_sha256 and, if asked for, the kept bytes as ``text`` (a character that is cut is dropped)."""
-    docs = only(documents, doc_id="long", text="string")
-
+def _judged(docs: DataFrame, keep_text: bool) -> DataFrame:
     def run(batches):
-        out = []
+        out, size = [], 0
 
         def flush():
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "tie"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "carry"])
             out.clear()
             return batch
 
-        size = 0
-        for doc, tie, texts, a, b in _documents(batches):
-            text = np.frombuffer(texts[0], np.uint8)
+        for doc, _, texts, a, b in _documents(batches):
+            text = np.frombuffer(texts[0][0], np.uint8)
             if len(a):
                 depth = np.zeros(len(text) + 1, np.int64)
                 np.add.at(depth, a, 1)
@@ -380,19 +378,38 @@ def without_repeats(documents: DataFrame, keep_text: bool = False) -> DataFrame:
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 kept, removed = text[~gone].tobytes(), int(gone.sum())
             else:
-                kept, removed, spans = texts[0], 0, 0
-            row = (None if doc == LAST else int(doc), len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if keep_text else None, int(tie))
-            out.extend([row] * len(texts))
+                kept, removed, spans = texts[0][0], 0, 0
+            found = (None if doc == LAST else int(doc), len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if keep_text else None)
+            out.extend((*found, carry) for _, carry in texts)
             size += len(kept) * keep_text * len(texts)
-            if len(out) >= 500 or size > 1 << 22:
+            if len(out) >= 500 or size > SLICE_BYTES:
                 yield flush()
                 size = 0
         if out:
             yield flush()
 
-    found = _with_texts(docs, repeated_stretches(docs), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, tie long")
-    return found if keep_text else found.drop("text", "tie")
+    return _with_texts(docs, repeated_stretches(docs), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, carry string")
+
+
+def repeats(documents: DataFrame) -> DataFrame:
+    """One row for each row of ``documents`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans and
+    kept_sha256, the digest of the bytes that stay."""
+    docs = only(documents, doc_id="long", text="string").withColumn("carry", F.lit(None).cast("string"))
+    return _judged(docs, False).drop("text", "carry")
+
+
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """``documents`` with the repeated bytes taken out of ``text`` (a character that is cut is
+    dropped) and all other columns as they are, but for ``n_chars`` where there is one. A document
+    of which nothing but white space is left goes, unless nothing was taken from it."""
+    others = [c for c in documents.columns if c not in ("doc_id", "text")]
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in others))).alias("carry"))
+    schema = documents.select(*(F.col(f"`{c}`") for c in others)).schema
+    found = _judged(docs, True).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    rest = F.from_json("carry", schema)
+    cols = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return found.select(*(cols.get(c, rest.getField(c)).alias(c) for c in documents.columns))
 
 
 def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(table(spark, sf_dir, "documents"))
+    return repeats(table(spark, sf_dir, "documents"))

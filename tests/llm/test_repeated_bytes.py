@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from quarry.llm import repeated_bytes
-from quarry.llm.repeated_bytes import op1_repeated_bytes, suffix_order, without_repeats
+from quarry.llm.repeated_bytes import op1_repeated_bytes, repeats, suffix_order, without_repeats
 from tests.llm.conftest import EDGE
 
 
@@ -69,7 +69,7 @@ def test_against_brute_force(spark, docs, seed, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
-        got = without_repeats(docs(rows).repartition(3)).collect()
+        got = repeats(docs(rows).repartition(3)).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert sorted(map(tuple, got), key=str) == brute(rows)
@@ -78,13 +78,20 @@ def test_against_brute_force(spark, docs, seed, partitions):
 def test_small_chunks(spark, docs, monkeypatch):
     monkeypatch.setattr(repeated_bytes, "CHUNK", 7)
     rows = corpus(9, 60)
-    assert sorted(map(tuple, without_repeats(docs(rows)).collect()), key=str) == brute(rows)
+    assert sorted(map(tuple, repeats(docs(rows)).collect()), key=str) == brute(rows)
 
 
 def test_empty(spark, docs):
-    assert without_repeats(docs([])).count() == 0
+    assert repeats(docs([])).count() == 0 and without_repeats(docs([])).count() == 0
 
 
 def test_small_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert sorted(map(tuple, op1_repeated_bytes(spark, "/root/testdata/sf0.001").collect()), key=str) == brute(rows)
+
+
+def test_other_columns_stay(spark):
+    text = "é" * 40 + "abcdefghij" * 15
+    rows = [(1, text, "en", 5), (2, "new " + text + " tail", "de", 6), (3, text, "fr", 7), (4, None, None, None)]
+    got = {r.doc_id: r for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")).collect()}
+    assert set(got) == {1, 2, 4} and got[2].lang == "de" and got[2].text == "new  tail" and got[2].n_chars == 9 and got[1].n_chars == len(got[1].text)
