@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from quarry.plans import ranking_queries  # noqa: F401
+from quarry.plans.registry import QUERIES, SQL
+
 
 def entry(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["agg01_case_metrics"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
