@@ -18,7 +18,9 @@ order of their text. An empty table gives an empty manifest. Other columns are i
 
 from __future__ import annotations
 
+import string
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import filesystem, only, scratch_path, slices, table, written
 
 NULL_ID = np.iinfo(np.int64).min
-CACHE_UNITS = 400_000
+CACHE_UNITS = 900_000
 
 _state: dict = {}
 
@@ -48,27 +50,73 @@ def units(text: str) -> list[str]:
 
 
 class UnitEncoder:
-    """Encodes texts with the tokenizers library, each distinct unit once while it stays cached."""
+    """Encodes texts with the tokenizers library, each distinct unit once while it stays cached.
+
+    Most texts have single spaces and line ends between their words; their words are looked up
+    without their space. Of byte-level vocabularies, a new word of Latin letters, with signs
+    behind it perhaps, is one pre-token (or two), which goes straight to the library's merges; all
+    else goes through its whole pipeline. Other texts are cut by ``units``.
+    """
+
+    SIGNS = string.punctuation
 
     def __init__(self, tokenizer_path: str, dtype: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.dtype, self.known = dtype, {}
+        self.dtype = dtype
+        self.words: dict[str, bytes] = {}  # of " " + word, or of the key itself if it starts with a line end
+        self.literal: dict[str, bytes] = {}
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        moved = [b for b in range(256) if b not in kept]
+        self.symbols = {b: chr(256 + i) for i, b in enumerate(moved)}  # bytes that have no sign of their own
+        form = str(self.tokenizer.pre_tokenizer)
+        self.bytewise = "ByteLevel(add_prefix_space=False" in form and "use_regex=True" in form and self.tokenizer.normalizer is None
+        self.signs: dict[str, bytes] = {"": b""}
+
+    def _signs(self, signs: str) -> bytes:
+        if signs not in self.signs:
+            self.signs[signs] = self._merged(signs)
+        return self.signs[signs]
+
+    def _merged(self, symbols: str) -> bytes:
+        return array("H" if self.dtype == "<u2" else "I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
+
+    def _learn(self, known: dict[str, bytes], new: set[str], whole) -> None:
+        """Add the ids of ``whole(key)`` for each key; ``new`` keys have no space in front if they
+        are words."""
+        rest = []
+        for key in new:
+            word = key.rstrip(self.SIGNS)
+            if self.bytewise and known is self.words and word.isalpha() and (word.isascii() or max(word) < "ɐ"):
+                symbols = word if word.isascii() else word.encode().decode("latin-1").translate(self.symbols)
+                known[key] = self._merged("Ġ" + symbols) + self._signs(key[len(word) :])
+            else:
+                rest.append(key)
+        for key, e in zip(rest, self.tokenizer.encode_batch_fast([whole(k) for k in rest], add_special_tokens=False)):
+            known[key] = np.array(e.ids, dtype=self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        parts = [units(t) for t in texts]
-        new = list({u for p in parts for u in p if u not in self.known})
-        if len(self.known) + len(new) > CACHE_UNITS:
-            self.known.clear()
-            new = list({u for p in parts for u in p})
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            for unit, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[unit] = np.array(e.ids, dtype=self.dtype).tobytes()
-        known = self.known
-        return [b"".join([known[u] for u in p]) for p in parts]
+        parts, plain, words, literal = [], [], set(), set()
+        for text in texts:
+            if text and " ".join(text.split()) == text.replace("\n", " "):
+                part = text.replace("\n", " \n").split(" ")
+                words.update(part[1:])
+                literal.add(part[0])
+                plain.append(True)
+            else:
+                part = units(text)
+                literal.update(part)
+                plain.append(False)
+            parts.append(part)
+        if len(self.words) + len(self.literal) > CACHE_UNITS:
+            self.words.clear()
+            self.literal.clear()
+        self._learn(self.words, words.difference(self.words), lambda w: w if w[0] == "\n" else " " + w)
+        self._learn(self.literal, literal.difference(self.literal), lambda u: u)
+        word, unit = self.words.__getitem__, self.literal.__getitem__
+        return [unit(p[0]) + b"".join(map(word, p[1:])) if simple else b"".join(map(unit, p)) for p, simple in zip(parts, plain)]
 
 
 def _encoder(path: str, dtype: str) -> UnitEncoder:

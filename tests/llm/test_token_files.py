@@ -21,6 +21,13 @@ def test_units_encode_as_the_whole(text):
     assert np.frombuffer(ENCODER.encode([text])[0], "<u2").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab.'sé1<|>", min_size=1, max_size=6), min_size=1, max_size=8), st.integers(0, 255))
+def test_lines_of_words_encode_as_the_whole(words, ends):
+    text = "".join(w + (" ", "\n")[ends >> i & 1] for i, w in enumerate(words))[:-1]
+    assert np.frombuffer(ENCODER.encode([text])[0], "<u2").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
 def test_special_token_text():
     text = "a <|endoftext|>b <|endoftext|> c"
     assert np.frombuffer(ENCODER.encode([text])[0], "<u2").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
