@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.plans import ranking_queries  # noqa: F401
+from quarry.plans import ranking_queries, text_queries  # noqa: F401
 from quarry.plans.registry import QUERIES, SQL
 
 
 def entry(spark, sf_dir):
-    return QUERIES["agg01_case_metrics"](spark, sf_dir)
+    return QUERIES["flagship_bm25_scored"](spark, sf_dir)
 
 
 def queries():
