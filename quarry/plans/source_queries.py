@@ -377,3 +377,36 @@ def str05_tumbling_windows(spark, sf_dir):
     from quarry.streaming.telemetry import windowed
 
     return windowed(e, "5 minutes").select(F.unix_micros("start").alias("window_us"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query()
+def str02_delivery(spark, sf_dir):
+    """The delivery state of each message: a user's events are one message's."""
+    from quarry.streaming.delivery import delivery_replay
+
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type").isin("view", "click"), "reserve").when(F.col("event_type") == "purchase", "ack").otherwise("fail")
+    return delivery_replay(e.select(F.concat_ws("-", F.lit("m"), (F.floor(F.col("event_id") / 6)).cast("string")).alias("message_id"), kind.alias("action"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at")))
+
+
+@query()
+def str07_revisions(spark, sf_dir):
+    from quarry.streaming.delivery import checked_revisions
+
+    e = table(spark, sf_dir, "events")
+    return checked_revisions(e.select(F.floor(F.col("event_id") / 8).alias("thread_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 3).alias("expected")))
+
+
+@query()
+def str01_incremental_index(spark, sf_dir):
+    from quarry.streaming.delivery import replayed_index
+
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("tenant_id"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return replayed_index(spark, d).select("tenant_id", "content", "page", "chunk_no", F.length("text").alias("n_chars"))
+
+
+@query()
+def txt07_hash_embedding(spark, sf_dir):
+    from quarry.functions.embedding import embedder
+
+    return table(spark, sf_dir, "documents").select("doc_id", embedder()("text").alias("embedding"))

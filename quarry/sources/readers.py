@@ -20,7 +20,7 @@ def by_suffix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     aren't decoded here; they and unknown suffixes are rejected."""
     from quarry.operators.chunking import parse_html, split_markdown
 
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).select(F.col("value").alias("text"), F.input_file_name().alias("path"))
+    files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.col("value").alias("text"), F.input_file_name().alias("path"))
     files = files.withColumn("kind", F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)))
     blank = F.trim("text") == ""
     known = files.where(F.col("kind").isin(*SUFFIXES))
