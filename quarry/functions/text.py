@@ -147,7 +147,7 @@ def period_identity(text: Column) -> Column:
     return F.struct(
         kind.alias("kind"),
         F.when(year != "", year.cast("int")).alias("year"),
-        F.when(quarter != "", quarter.cast("int")).when(date != "", F.quarter(F.try_to_timestamp(date, F.lit("yyyy-MM-dd")))).alias("quarter"),
+        F.when(quarter != "", quarter.cast("int")).when(date != "", F.ceil(F.substring(date, 6, 2).cast("int") / 3).cast("int")).alias("quarter"),
         F.when(date != "", date).alias("date"),
     )
 
