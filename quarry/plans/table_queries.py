@@ -85,9 +85,9 @@ def jon25_cover_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.lit("The Group").alias("company"), F.size(words).cast("long").alias("alias_count")).where("alias_count >= 50")
 
 
-@query("""SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(text, '\\b[A-Z]{2,5}\\b'), lambda x: x NOT IN ('SS', 'DE', 'LA'))) AS ticker FROM documents""")
+@query("""SELECT DISTINCT doc_id, unnest(list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^[A-Z]{2,5}$') AND x NOT IN ('SS', 'DE', 'LA'))) AS ticker FROM documents""")
 def jon10_company_universe(spark, sf_dir):
-    found = F.filter(F.regexp_extract_all("text", F.lit(r"\b[A-Z]{2,5}\b"), F.lit(0)), lambda x: ~x.isin("SS", "DE", "LA"))
+    found = F.filter(F.split("text", " "), lambda x: x.rlike("^[A-Z]{2,5}$") & ~x.isin("SS", "DE", "LA"))
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("ticker")).distinct()
 
 
