@@ -12,7 +12,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import scratch_path, shared_dir, table, written  # noqa: F401
+from quarry.session import scratch_path, shared_dir, table, written, written_with  # noqa: F401
 
 WORD = re.compile(r"\w+")
 SLICE_BYTES = 4 << 20  # of text that a task holds in numpy form at once

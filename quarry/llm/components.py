@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import written, written_with
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,10 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("component").alias("least"))
         )
-        taken = written(labels.hint("merge").join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "least").alias("via")), "labels")
+        taken = labels.hint("merge").join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "least").alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("jumped"))
-        after = written(taken.hint("merge").join(jump, "via").select("node", "old", F.least("via", "jumped").alias("component")), "labels")
-        changed = after.where("component <> old").limit(1).count()
+        after = taken.hint("merge").join(jump, "via").select("node", "old", F.least("via", "jumped").alias("component"))
+        after, seen = written_with(after, "labels", changed=F.count_if(F.col("component") != F.col("old")))
         labels = after.select("node", "component")
-        if not changed:
+        if not seen["changed"]:
             return labels

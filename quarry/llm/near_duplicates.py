@@ -9,12 +9,13 @@ documents agree in a register with a probability of their weighted Jaccard coeff
 as the points of both are those of the smaller weight of each shingle. Points are drawn in order
 of time, and only up to the time by which the document's registers are full.
 
-Registers are banded. Band buckets are sorted by range, so a large bucket spreads over tasks; each
-member is linked with the first of its bucket there and with the one before it, and each such pair
-is verified: the multisets' overlap, exactly, at 0.8 or more. Components of these links are joined.
-Then, in buckets of four or more that still hold members of different components, all pairs across
-components whose signatures don't rule out 0.8 are verified as well, in blocks. So no link between
-documents that share a band is lost, while a group of copies costs a few pairs a member.
+Registers are banded. The members of a band bucket are paired with its hub: the member whose own
+buckets hold most texts, which in a group of edited copies is the text they were made from. Each
+pair is verified: the multisets' overlap, exactly, at 0.8 or more; components of these links are
+joined. Then, in buckets that still hold members of different components, all pairs across
+components whose signatures don't rule out 0.8 are verified as well: members are packed in blocks,
+and a pair is taken in the first band that it shares. So no link between documents that share a
+band is lost, while a group of copies costs about a pair a member.
 
 Equal texts are one node from the start, whatever their ids. Null and empty texts are equal, and so
 are, apart from the texts that equal them, in a class of their own. A class is named by its least
@@ -30,15 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix64, only, slices, table, written
+from quarry.llm.common import mix64, only, slices, table, written, written_with
 from quarry.llm.components import components
 from quarry.llm.shingles import shingle_hashes, weighted
 
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
-RULED_OUT = 0.65  # agreement of signatures, more than four standard deviations below the threshold
+RULED_OUT = 0.69  # agreement of signatures, three standard deviations below the threshold
 BLOCK = 512
+BLOCK_BYTES = 1 << 20
 
 _SEEDS = mix64(np.arange(1, 4, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
@@ -118,7 +120,7 @@ def _signature_matrix(column: pa.Array) -> np.ndarray:
 
 
 def bands(signed: DataFrame) -> DataFrame:
-    """(bucket, node, signature), a row a band."""
+    """(bucket, node), a row a band."""
 
     def run(batches):
         for batch in batches:
@@ -128,6 +130,7 @@ def bands(signed: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     for r in range(ROWS):
                         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + m[:, :, r])
+                key = (key & ~np.uint64(31)) | np.arange(BANDS, dtype=np.uint64)  # the low bits tell the band
                 for b in range(BANDS):
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(key[:, b]).view(np.int64)), part.column(0)], names=["bucket", "node"])
 
@@ -138,48 +141,16 @@ def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucket_links(banded: DataFrame) -> DataFrame:
-    """(bucket, a, b): with b, a pair to verify; without, a member of a bucket that may hold other
-    pairs (it has four or more, or lies across two tasks)."""
-
-    def run(batches):
-        key, members, begun = None, [], True  # begun: in an earlier task perhaps
-
-        def close(last: bool):
-            if (len(members) > 3) or ((begun or last) and key is not None):
-                return [(key, m, None) for m in members]
-            return []
-
-        for batch in batches:
-            out = []
-            for bucket, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if bucket == key:
-                    out.append((None, members[0], node))
-                    if len(members) > 1:
-                        out.append((None, members[-1], node))
-                    members.append(node)
-                    if len(members) == 5000:  # what is known to be a large bucket needn't be held whole
-                        out.extend((key, m, None) for m in members[1:-1])
-                        members = [members[0], members[-1]]
-                        begun = True
-                else:
-                    if key is not None:
-                        out.extend(close(False))
-                        begun = False
-                    key, members = bucket, [node]
-            yield from _rows(out)
-        yield from _rows(close(True))
-
-    def _rows(out):
-        if out:
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "a", "b"])
-
-    return (
-        banded.repartitionByRange(_partitions(banded.sparkSession), "bucket", "node")
-        .sortWithinPartitions("bucket", "node")
-        .mapInArrow(run, "bucket long, a binary, b binary")
-    )
+def hub_pairs(banded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): (bucket, node, n) of buckets of n > 1, and the distinct pairs (a, b) of a
+    bucket's hub with its other members."""
+    banded = written(banded, "bands")
+    sizes = written(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    members = written(banded.hint("merge").join(sizes, "bucket"), "members")
+    fame = written(members.groupBy("node").agg(F.sum("n").alias("fame")), "fame")
+    hubs = members.hint("merge").join(fame, "node").groupBy("bucket").agg(F.max_by("node", F.struct("fame", "node")).alias("a"))
+    pairs = members.hint("merge").join(written(hubs, "hubs"), "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    return members, written(pairs, "pairs")
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -194,6 +165,13 @@ def _multiset(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return hashes, counts
 
 
+def _texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the given nodes, from one row of each distinct text."""
+    texts = docs.select(_node_of("text").alias("node"), "row")
+    chosen = texts.groupBy("node").agg(F.min("row").alias("row")).hint("merge").join(nodes, "node")
+    return docs.select("row", "text").hint("merge").join(chosen, "row").where(_node_of("text") == F.col("node")).select("node", "text")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) whose multisets overlap enough. The pairs of a node
     are dealt out in chunks, each with one copy of the node's text."""
@@ -232,11 +210,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
 
     dealt = written(pairs.select("a", "b").repartitionByRange(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(chunks, "chunk binary, hub binary, node binary"), "chunks")
-    # one row of each distinct text that is needed
-    texts = docs.select(_node_of("text").alias("node"), "doc_id", "row")
-    needed = dealt.select("node").distinct()
-    chosen = texts.groupBy("node").agg(F.min("row").alias("row")).hint("merge").join(needed, "node")
-    found = docs.select("row", "text").hint("merge").join(written(chosen, "chosen"), "row").where(_node_of("text") == F.col("node")).select("node", "text")
+    found = _texts_of(dealt.select("node").distinct(), docs)
     return (
         dealt.hint("merge")
         .join(found, "node")
@@ -247,59 +221,108 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     )
 
 
-def pairs_across(rows: DataFrame) -> DataFrame:
-    """(a, b) of one bucket and different components whose signatures agree enough, from (bucket,
-    node, component, signature)."""
-    kinds = "bucket long, part int, nodes binary, components binary, signatures binary"
+def multisets(nodes: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, signature, hashes, counts) of the given nodes: the sorted shingles of a node's text."""
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            sets = [_multiset(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([h.astype("<u8").tobytes() for h, _ in sets], pa.binary()), pa.array([c.astype("<i8").tobytes() for _, c in sets], pa.binary())],
+                names=["node", "signature", "hashes", "counts"],
+            )
+
+    rows = _texts_of(nodes, docs).hint("merge").join(signed, "node").select("node", "signature", "text")
+    return rows.dropDuplicates(["node"]).mapInArrow(run, "node binary, signature binary, hashes binary, counts binary")
+
+
+def links_across(rows: DataFrame) -> DataFrame:
+    """Verified links (a, b) between members of one bucket and different components, from (bucket,
+    node, component, signature, hashes, counts). Blocks of members meet each other; of two members
+    whose signatures don't rule it out, in the first band they share, the overlap is computed unless
+    links found here join their components already."""
+    packed_kind = "bucket long, part int, nodes binary, components binary, signatures binary, sizes binary, hashes binary, counts binary"
+    names = [k.split()[0] for k in packed_kind.split(", ")]
 
     def blocks(batches):
         held: list[tuple] = []
-        part = 0
+        size = part = 0
 
         def block():
             nonlocal part
             part += 1
-            return (held[0][0], part, b"".join(h[1] for h in held), b"".join(h[2] for h in held), b"".join(h[3] for h in held))
+            sizes = np.array([len(h[4]) // 8 for h in held], "<i8").tobytes()
+            joined = [b"".join(h[i] for h in held) for i in (1, 2, 3, 4, 5)]
+            kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 6)
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((held[0][0], part, *joined[:3], sizes, *joined[3:]), kinds)], names=names)
 
         for batch in batches:
-            out = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (held[0][0] != row[0] or len(held) == BLOCK):
-                    out.append(block())
-                    held = []
+                if held and (held[0][0] != row[0] or len(held) == BLOCK or size > BLOCK_BYTES):
+                    yield block()
+                    held, size = [], 0
                 held.append(row)
-            yield from emit(out)
-        yield from emit([block()] if held else [])
-
-    def emit(out):
-        if out:
-            t = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), t)], names=["bucket", "part", "nodes", "components", "signatures"])
+                size += len(row[4])
+        if held:
+            yield block()
 
     def cross(batches):
         for batch in batches:
+            out = []
             for r in batch.to_pylist():
-                a, b = (np.frombuffer(r[k], "<u2").reshape(-1, REGISTERS) for k in ("signatures", "signatures2"))
-                ca, cb, na, nb = (np.frombuffer(r[k], "V16") for k in ("components", "components2", "nodes", "nodes2"))
-                out = []
-                for i in range(len(a)):
-                    like = (b == a[i]).mean(axis=1) >= RULED_OUT
-                    for j in np.flatnonzero(like & (cb != ca[i])):
-                        x, y = na[i].tobytes(), nb[j].tobytes()
-                        out.append((x, y) if x < y else (y, x))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*set(out))], names=["a", "b"])
+                out.extend(_links(r))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
 
     packed = written(
-        rows.select("bucket", "node", "component", "signature")
+        rows.select("bucket", "node", "component", "signature", "hashes", "counts")
         .repartitionByRange(_partitions(rows.sparkSession), "bucket", "component", "node")
         .sortWithinPartitions("bucket", "component", "node")
-        .mapInArrow(blocks, kinds)
+        .mapInArrow(blocks, packed_kind)
         .withColumn("id", F.xxhash64("bucket", "part", "nodes")),
         "blocks",
     )
-    other = packed.select("bucket", F.col("id").alias("id2"), *(F.col(c).alias(c + "2") for c in ("nodes", "components", "signatures")))
-    return packed.hint("merge").join(other, "bucket").where("id <= id2").drop("bucket", "part", "id", "id2").mapInArrow(cross, "a binary, b binary").distinct()
+    other = packed.select("bucket", F.col("id").alias("id2"), *(F.col(c).alias(c + "2") for c in names[2:]))
+    return packed.hint("merge").join(other, "bucket").where("id <= id2").drop("part", "id", "id2").mapInArrow(cross, "a binary, b binary")
+
+
+def _links(r: dict) -> list[tuple[bytes, bytes]]:
+    """Links between the members of two packed blocks of a bucket."""
+    a, b = (np.frombuffer(r[k], "<u2").reshape(-1, REGISTERS) for k in ("signatures", "signatures2"))
+    ca, cb, na, nb = (np.frombuffer(r[k], "V16") for k in ("components", "components2", "nodes", "nodes2"))
+    (ha, hb), (wa, wb), (sa, sb) = ([np.frombuffer(r[k + x], kind) for x in ("", "2")] for k, kind in (("hashes", "<u8"), ("counts", "<i8"), ("sizes", "<i8")))
+    ea, eb = np.cumsum(sa), np.cumsum(sb)
+    ta, tb = np.add.reduceat(wa, ea - sa), np.add.reduceat(wb, eb - sb)
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (up := root.get(x, x)) != x:
+            x = up
+        return x
+
+    out, band = [], r["bucket"] & 31
+    for i in range(len(a)):
+        equal = b == a[i]
+        # a coefficient is at most the smaller total over the larger
+        like = (equal.mean(axis=1) >= RULED_OUT) & (cb != ca[i]) & (np.minimum(ta[i], tb) >= (THRESHOLD - 1e-9) * np.maximum(ta[i], tb))
+        if not like.any():
+            continue
+        like &= equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        mine = ca[i].tobytes()
+        some = np.array([j for j in np.flatnonzero(like) if find(cb[j].tobytes()) != find(mine)], dtype=np.int64)
+        if not len(some):
+            continue
+        at = np.concatenate([np.arange(eb[j] - sb[j], eb[j]) for j in some])
+        own, weight = ha[ea[i] - sa[i] : ea[i]], wa[ea[i] - sa[i] : ea[i]]
+        place = np.minimum(np.searchsorted(own, hb[at]), len(own) - 1)
+        both = np.where(own[place] == hb[at], np.minimum(weight[place], wb[at]), 0)
+        both = np.add.reduceat(both, np.cumsum(sb[some]) - sb[some])
+        for j in some[both >= (THRESHOLD - 1e-12) * (ta[i] + tb[some] - both)]:
+            x, y = find(mine), find(cb[j].tobytes())
+            if x != y:
+                root[x] = y
+                out.append((na[i].tobytes(), nb[j].tobytes()))
+    return out
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -321,28 +344,25 @@ def _classes(documents: DataFrame) -> DataFrame:
     """(doc_id, node, class_id)"""
     docs = only(documents, doc_id="long", text="string").withColumn("row", F.xxhash64("doc_id", "text"))
     signed = written(sign(docs), "signatures")
-    linked = written(bucket_links(bands(signed)), "links")
-    first = written(linked.where("b is not null").select("a", "b").distinct(), "pairs")
-    links = written(verified(first, docs), "verified")
+    members, pairs = hub_pairs(bands(signed))
+    links = written(verified(pairs, docs), "verified")
     labels = components(links)
 
-    members = linked.where("b is null").select("bucket", F.col("a").alias("node"))
+    members = members.where("n > 2").select("bucket", "node")  # of two, one is the hub
     members = written(members.hint("merge").join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "members")
     mixed = written(members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket"), "mixed")
-    mixed_members = members.hint("merge").join(mixed, "bucket").hint("merge").join(signed, "node")
-    rest = pairs_across(mixed_members).hint("merge").join(first, ["a", "b"], "left_anti")
-    rest = written(rest, "rest")
-    if rest.limit(1).count():
-        labels = components(links.union(verified(rest, docs)))
+    mixed_members = written(members.hint("merge").join(mixed, "bucket"), "mixed-members")
+    sets = written(multisets(mixed_members.select("node").distinct(), signed, docs), "multisets")
+    more, seen = written_with(links_across(mixed_members.hint("merge").join(sets, "node")), "more", n=F.count(F.lit(1)))
+    if seen["n"]:
+        labels = components(links.unionByName(more))
 
     nodes = docs.select("doc_id", _node_of("text").alias("node"))
-    # ids of the same text first, as that needs no join
-    least = written(nodes.groupBy("node").agg(F.min("doc_id").alias("least")), "least")
-    named = least.hint("merge").join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    named = written(named, "named")
+    least = nodes.groupBy("node").agg(F.min("doc_id").alias("least"))
+    named = written(least.hint("merge").join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "named")
     classes = written(named.groupBy("component").agg(F.min("least").alias("class_id")), "classes")
-    named = written(named.hint("merge").join(classes, "component").select("node", "class_id"), "named")
-    return nodes.hint("merge").join(named, "node").select("doc_id", "node", "class_id")
+    by_node = named.hint("merge").join(classes, "component").select("node", "class_id")
+    return nodes.hint("merge").join(written(by_node, "by-node"), "node").select("doc_id", "node", "class_id")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
