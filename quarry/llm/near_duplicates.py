@@ -14,8 +14,9 @@ buckets hold most texts, which in a group of edited copies is the text they were
 pair is verified: the multisets' overlap, exactly, at 0.8 or more; components of these links are
 joined. Then, in buckets that still hold members of different components, all pairs across
 components whose signatures don't rule out 0.8 are verified as well: members are packed in blocks,
-and a pair is taken in the first band that it shares. So no link between documents that share a
-band is lost, while a group of copies costs about a pair a member.
+and a pair is taken in the first band that it shares. So a link between documents that share a band
+is lost only where signatures lie three standard deviations below the threshold (at a coefficient of
+exactly 0.8 one in a thousand), while a group of copies costs about a pair a member.
 
 Equal texts are one node from the start, whatever their ids. Null and empty texts are equal, and so
 are, apart from the texts that equal them, in a class of their own. A class is named by its least
