@@ -1,15 +1,20 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a fixed mask over ``SPAN`` successive words that looks at some of them and ignores the
-others, so a passage still has equal seeds where words have been replaced. The seeds of the test
-items are joined with those of the training texts. Around each hit, along its diagonal, item and
-text are compared word by word, and the longest stretch with at least ``IDENTITY`` equal words is
-measured. A text holds an item if that stretch has ``WORDS`` words, or the whole item if that is
-shorter. Items of fewer words than a seed, down to ``SHORTEST``, are looked up whole.
+A seed is a fixed mask over successive words that looks at some of them and ignores the others, so
+a passage still has equal seeds where words have been replaced. The seeds of the test items are
+joined with those of the training texts. Around each hit, along its diagonal, item and text are
+compared word by word, and the longest stretch with at least ``IDENTITY`` equal words is measured.
+A text holds an item if that stretch has ``WORDS`` words, or the whole item if that is shorter.
+
+``MASKS`` leave out no such stretch of an item of ``SPAN`` words or more: cut into threes, 15 words
+with up to 3 replaced have two whole threes, at a distance of 3, 6, 9 or 12. Only stretches of 20
+words can have 4 in each of their 15 words; those have threes at a distance of 13. Shorter items
+have masks of their own with ``short_items``, down to single words, which must be equal. Without it
+items of ``SHORTEST`` words up to ``SPAN`` are looked up whole and shorter ones match nothing.
 
 Test items come to the tasks in blocks of at most ``BLOCK_WORDS`` words, and every text meets every
-block; no training hash is shuffled. Null and empty texts and items, and items of fewer than
-``SHORTEST`` words, match nothing. Repeated items are items of their own; repeated rows of texts
+block; no training hash is shuffled. Null and empty texts and items, and items without words, match
+nothing. Repeated items are items of their own; repeated rows of texts
 give repeated results. Other columns are ignored. An empty table on either side gives no rows.
 """
 
@@ -26,12 +31,14 @@ from pyspark.sql import functions as F
 from quarry.llm.common import mix64, only, slices, table
 from quarry.llm.shingles import word_hashes
 
-MASKS = ("110111001011", "101011101101", "111010010111")
+MASKS = tuple("111" + "0" * (n - 3) + "111" for n in (3, 6, 9, 12, 13))
 SPAN = 12
 WORDS = 16
 IDENTITY = 0.8
 SHORTEST = 5
 BLOCK_WORDS = 2_000_000
+FIVE = ("1111", "11101", "11011", "10111")  # four of five words
+TWOS = ("1111", "110011", "11000011")  # of 6 to 11 words with one in five replaced
 
 _FACTORS = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -50,20 +57,33 @@ def seeds(words: np.ndarray, owner: np.ndarray, mask: str) -> tuple[np.ndarray,
     return mix64(total[at]), at
 
 
+def masks_for(n: int, short_items: bool) -> tuple[str, ...]:
+    """The masks that look for items of ``n`` words."""
+    if n >= SPAN:
+        return MASKS
+    if short_items:
+        return () if n < 1 else ("1" * n,) if n < 5 else FIVE if n == 5 else TWOS
+    return ("1" * n,) if n >= SHORTEST else ()
+
+
 class Index:
     """The seeds of a block of test items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], short_items: bool = False):
         self.ids = [i for i, _ in items]
         words, owner, _, _ = word_hashes(pa.array([t or "" for _, t in items], pa.string()))
         self.words, self.owner = words, owner
         self.count = np.bincount(owner, minlength=len(items))
         self.begin = np.cumsum(self.count) - self.count
         lengths = self.count[owner] if len(owner) else owner
-        self.masks = [*MASKS, *("1" * int(n) for n in np.unique(self.count) if SHORTEST <= n < SPAN)]
+        sought: dict[str, list[int]] = {}
+        for n in np.unique(self.count).tolist():
+            for mask in masks_for(n, short_items):
+                sought.setdefault(mask, []).append(n)
+        self.masks = list(sought)
         self.tables = []
         for mask in self.masks:
-            use = lengths == len(mask) if len(mask) < SPAN else lengths >= SPAN
+            use = np.isin(lengths, sought[mask])
             w, o = words[use], owner[use]
             h, at = seeds(w, o, mask)
             order = np.argsort(h, kind="stable")
@@ -109,14 +129,14 @@ def longest_alike(equal: np.ndarray, identity: float = IDENTITY) -> tuple[int, i
     return best
 
 
-def indexes(items: DataFrame) -> Iterator[Index]:
+def indexes(items: DataFrame, short_items: bool = False) -> Iterator[Index]:
     """The blocks of the test items, one at a time."""
     tests = only(items, item_id="long", text="string")
     n_words = tests.agg(F.sum(F.length("text"))).first()[0] or 0  # a word has a character at least
     n_blocks = max(1, -(-int(n_words) // (3 * BLOCK_WORDS)))
     blocks = [tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
     for block in blocks:
-        yield Index([tuple(r) for r in block.collect()])
+        yield Index([tuple(r) for r in block.collect()], short_items)
 
 
 def stretches(texts: pa.Array, index: Index) -> dict[tuple[int, int], tuple]:
@@ -130,26 +150,29 @@ def stretches(texts: pa.Array, index: Index) -> dict[tuple[int, int], tuple]:
         b = min(index.count[item], begin[text] + count[text] - start)
         first = index.begin[item]
         equal = words[start + a : start + b] == index.words[first + a : first + b]
+        least = min(WORDS, index.count[item])
+        if equal.sum() < IDENTITY * least - 1e-9:
+            continue
         i, j = longest_alike(equal)
-        if j - i >= min(WORDS, index.count[item]):
+        if j - i >= least:
             row = (int(j - i), int(equal[i:j].sum()), -int(start + a + i - begin[text]), -int(a + i))
             if row > best.get((text, item), ()):
                 best[text, item] = row
     return best
 
 
-def find_items(documents: DataFrame, items: DataFrame) -> DataFrame:
+def find_items(documents: DataFrame, items: DataFrame, short_items: bool = False) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, n_words, n_equal): for each text and each item that it
     holds, the longest stretch: its first word in both, its length and its equal words."""
     docs = only(documents, doc_id="long", text="string")
-    found = [_find(docs, index) for index in indexes(items)]
+    found = [_find(docs, index) for index in indexes(items, short_items)]
     return functools.reduce(DataFrame.unionByName, found)
 
 
-def without_items(documents: DataFrame, items: DataFrame) -> DataFrame:
+def without_items(documents: DataFrame, items: DataFrame, short_items: bool = False) -> DataFrame:
     """``documents``, all columns, without those that hold an item."""
     place = documents.columns.index("text")
-    for index in indexes(items):
+    for index in indexes(items, short_items):
 
         def run(batches, index=index):
             for batch in slices(batches, "text"):
@@ -174,4 +197,4 @@ def _find(docs: DataFrame, index: Index) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_items=True)
