@@ -50,6 +50,17 @@ def ids_fingerprint(rows: DataFrame, column: str, *by: str) -> DataFrame:
     return parts.groupBy(*by).agg(F.sum("n").alias("n_ids"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"))
 
 
+def file_fingerprints(rows: DataFrame, name: str) -> DataFrame:
+    """(file, n_rows, content_sha256) of the Parquet files behind ``rows``: each row is hashed with its
+    place in its file, and a file's hash is that of the sums of four pieces (60 bits each) of its rows'
+    hashes, so tasks send sums only. It covers values and their order, not how they are encoded."""
+    file = F.regexp_extract("_metadata.file_path", f"({name}[.]parquet(/[^/]+)?)$", 1)
+    row = F.concat_ws("\0", F.col("_metadata.row_index").cast("string"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), {"ignoreNullFields": "false"}))
+    hashed = rows.select(file.alias("file"), F.sha2(row, 256).alias("h"))
+    piece = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
+    return hashed.groupBy("file").agg(F.count("*").alias("n_rows"), F.sha2(F.concat_ws("/", *piece), 256).alias("content_sha256"))
+
+
 def quality(runs: DataFrame) -> DataFrame:
     """Score and grade of runs with n_missing, n_blocked, n_errors steps."""
     score = F.round(

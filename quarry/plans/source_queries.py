@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import claims as M
 from quarry.operators import finance as N
+from quarry.operators.runs import file_fingerprints
 from quarry.plans.registry import query
 from quarry.plans.standins import FACTS, HITS, QRELS, facts, hits, qrels
 from quarry.session import scratch_path, table
@@ -185,10 +188,13 @@ def src29_index_status(spark, sf_dir):
     return asked.hint("merge").join(known, "doc_id", "left").select("doc_id", F.coalesce("status", F.lit("missing")).alias("status"))
 
 
+SNAPSHOT = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
 @query()
 def src30_snapshot_fingerprint(spark, sf_dir):
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "nation*.parquet").load(f"{sf_dir}/nation.parquet")
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length", F.sha2("content", 256).alias("content_sha256"))
+    parts = [file_fingerprints(table(spark, sf_dir, t), t) for t in SNAPSHOT]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 CLAIMS = FACTS + """, claims AS (SELECT company || '/' || metric || '/' || fy AS claim_id, company, metric, CASE WHEN fy % 3 = 0 THEN value * 1.01 ELSE value END AS value, CASE WHEN fy % 5 = 0 THEN 'eur' ELSE 'usd' END AS unit, 'FY' || fy AS period FROM facts),

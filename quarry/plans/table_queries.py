@@ -50,6 +50,37 @@ def txt27_vertical_peers(spark, sf_dir):
     return B.peer_rows(pages.withColumn("page", F.lit(1)), ("Alpha", "Beta")).select("doc_id", "company", "metric", "value")
 
 
+PEERS = FACTS + """, f AS (SELECT CAST(substr(company, 10) AS BIGINT) AS n, company, metric, fy, round(value, 0) AS value FROM facts), p AS (SELECT n * 10000 + fy AS doc_id, company, metric, value FROM f UNION ALL SELECT (n - 1) * 10000 + fy, company, metric, value FROM f),
+m AS (SELECT doc_id, metric FROM p GROUP BY 1, 2 HAVING count(*) = 2), r AS (SELECT doc_id FROM m GROUP BY 1 HAVING count(*) >= 2)"""
+
+
+def _peers(spark, sf_dir):
+    """(doc_id, metric, a, b) of each pair of neighbouring suppliers (0 and 1, 1 and 2, ...) and year."""
+    f = facts(spark, sf_dir).select("fy", "metric", F.substring("company", 10, 20).cast("long").alias("n"), F.round("value", 0).cast("long").alias("whole"))
+    f = f.withColumn("place", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("doc_id", (F.col("n") - F.col("place")) * 10000 + F.col("fy"))
+    one = lambda place: F.max(F.when(F.col("place") == place, F.col("whole")))
+    return f.groupBy("doc_id", "metric").agg(one(0).alias("a"), one(1).alias("b")).where("a is not null and b is not null")
+
+
+def _of_suppliers(pages):
+    """The rows of the pages, with the suppliers' names instead of their places in the pair."""
+    rows = B.peer_rows(pages.withColumn("page", F.lit(1)), ("Alpha", "Beta"))
+    n = F.floor(F.col("doc_id") / 10000) + F.when(F.col("company") == "Alpha", 0).otherwise(1)
+    return rows.select("doc_id", F.format_string("Supplier#%09d", n).alias("company"), "metric", "value")
+
+
+@query(f"WITH {PEERS} SELECT doc_id, company, metric, value FROM p JOIN m USING (doc_id, metric) JOIN r USING (doc_id)")
+def txt16_all_peer_rows(spark, sf_dir):
+    line = F.concat(F.col("metric"), F.lit("  $"), F.format_number("a", 0), F.lit("  "), F.format_number("b", 0))
+    return _of_suppliers(_peers(spark, sf_dir).groupBy("doc_id").agg(F.concat(F.lit("Peers\nMetric  Alpha  Beta\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("text")))
+
+
+@query(f"WITH {PEERS} SELECT doc_id, company, metric, value FROM p JOIN m USING (doc_id, metric) JOIN r USING (doc_id)")
+def txt27_all_vertical_peers(spark, sf_dir):
+    part = F.concat_ws("\n", "metric", F.format_number("a", 0), F.format_number("b", 0))
+    return _of_suppliers(_peers(spark, sf_dir).groupBy("doc_id").agg(F.concat(F.lit("Alpha\nBeta\n"), F.array_join(F.array_sort(F.collect_list(part)), "\n")).alias("text")))
+
+
 @query("""WITH c AS (SELECT doc_id, source AS company, 'cover_frequency' AS method, n_chars AS n FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT doc_id, lang, 'filename', 1 FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'first', 'first_mention', 9 FROM documents),
 s(method, place, confidence) AS (VALUES ('filename', 0, 0.95), ('cover_form', 1, 0.9), ('cover_frequency', 2, 0.8), ('table_header', 3, 0.7), ('first_mention', 4, 0.5))
 SELECT doc_id, company AS issuer, method, confidence::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place, n DESC, company) AS nth FROM c JOIN s USING (method)) WHERE nth = 1""")
