@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators.ranking import top_k
-from quarry.session import written
+from quarry.session import scratch_path, written
 
 K1, B = 1.2, 0.75
 
@@ -52,34 +54,44 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, key: str = "doc_id")
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
     """(query_id, vec_id, score, rank) for (query_id, embedding) against (vec_id, embedding).
 
-    Both sides are packed in blocks; each pair of blocks is one matrix product, of which only the k
-    best a query leave the task. A null, empty or zero vector matches nothing."""
+    Both sides are packed in blocks, the queries' in files of the shared folder. A task holds one block
+    of the vectors that it reads anyway and takes the query blocks one by one; each pair of blocks is
+    one matrix product, of which only the k best a query are shuffled. Vectors don't leave their task.
+    A null, empty or zero vector matches nothing."""
 
-    def pack(name):
-        def run(batches):
-            for batch in batches:
-                for i in range(0, batch.num_rows, block):
-                    part = batch.slice(i, block)
-                    rows = [(key, v) for key, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if v and None not in v and any(v)]
-                    for width in sorted({len(v) for _, v in rows}):
-                        same = [(key, v) for key, v in rows if len(v) == width]
-                        m = np.array([v for _, v in same], np.float64)
-                        m /= np.linalg.norm(m, axis=1, keepdims=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([np.array([key for key, _ in same], np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["width", name, name + "_m"])
+    def packed(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, block):
+                part = batch.slice(i, block)
+                rows = [(key, v) for key, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if v and None not in v and any(v)]
+                for width in sorted({len(v) for _, v in rows}):
+                    same = [(key, v) for key, v in rows if len(v) == width]
+                    m = np.array([v for _, v in same], np.float64)
+                    yield np.array([key for key, _ in same], np.int64), m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def pack(batches):
+        for q, m in packed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([m.shape[1]], pa.int32()), pa.array([q.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["width", "q", "q_m"])
 
-        return run
+    path = scratch_path(queries.sparkSession, "query-blocks")
+    queries.select("query_id", "embedding").mapInArrow(pack, "width int, q binary, q_m binary").write.parquet(path)
 
     def multiply(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                q, v = np.frombuffer(r["q"], np.int64), np.frombuffer(r["v"], np.int64)
-                s = np.round(np.frombuffer(r["q_m"]).reshape(len(q), -1) @ np.frombuffer(r["v_m"]).reshape(len(v), -1).T, 4)
-                order = np.lexsort((np.broadcast_to(v, s.shape), -s), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, order.shape[1])), pa.array(v[order].ravel()), pa.array(np.take_along_axis(s, order, axis=1).ravel())], names=["query_id", "vec_id", "score"])
-
-    left = written(queries.select("query_id", "embedding").mapInArrow(pack("q"), "width int, q binary, q_m binary"), "query-blocks")
-    right = written(vectors.select("vec_id", "embedding").mapInArrow(pack("v"), "width int, v binary, v_m binary"), "vector-blocks")
-    best = left.hint("shuffle_hash").join(right, "width").repartition(F.xxhash64("q", "v")).mapInArrow(multiply, "query_id long, vec_id long, score double")
+        store, folder = pafs.FileSystem.from_uri(path)
+        files = sorted(f.path for f in store.get_file_info(pafs.FileSelector(folder)) if f.path.endswith(".parquet"))
+        for v, m in packed(batches):
+            for file in files:
+                with store.open_input_file(file) as source:
+                    for one in pq.ParquetFile(source).iter_batches(batch_size=1):
+                        for width, q, q_m in zip(*(c.to_pylist() for c in one.columns)):
+                            if width != m.shape[1]:
+                                continue
+                            q = np.frombuffer(q, np.int64)
+                            s = np.round(np.frombuffer(q_m).reshape(len(q), -1) @ m.T, 4)
+                            order = np.lexsort((np.broadcast_to(v, s.shape), -s), axis=1)[:, :k]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, order.shape[1])), pa.array(v[order].ravel()), pa.array(np.take_along_axis(s, order, axis=1).ravel())], names=["query_id", "vec_id", "score"])
+
+    best = vectors.select("vec_id", "embedding").mapInArrow(multiply, "query_id long, vec_id long, score double")
     return top_k(best, k, tie="vec_id").withColumnRenamed("top_rank", "rank")
 
 
