@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
-from collections.abc import Iterable, Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from quarry.session import scratch_path, shared_dir, table, written, written_with  # noqa: F401
 
 WORD = re.compile(r"\w+")
-SLICE_BYTES = 4 << 20  # of text that a task holds in numpy form at once
+SLICE_BYTES = 1 << 20  # of text that a task holds in numpy form at once
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -32,6 +35,30 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SL
             yield batch.slice(int(a), int(b - a))
 
 
+def released(*modules: str) -> Callable:
+    """Decorates a function of Arrow batches: when a task ends, the ``_state`` of the named modules
+    is emptied and free memory goes back to the system. Python workers are used again by later
+    stages, so what one of them keeps is missing to all others."""
+
+    def around(run):
+        @functools.wraps(run)
+        def ending(batches):
+            try:
+                yield from run(batches)
+            finally:
+                for name in modules:
+                    if name in sys.modules:
+                        sys.modules[name]._state.clear()
+                pa.default_memory_pool().release_unused()
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+                if trim:
+                    trim(0)
+
+        return ending
+
+    return around
+
+
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, end to end, and the offsets of its values (null: empty)."""
     data = column.fill_null("").cast(pa.large_string())

@@ -11,7 +11,8 @@ segmentation's last piece (Viterbi). *BPE* models: the segmentation with the lar
 isn't what merging gives, so there the state is the last piece of the prefix's encoding. It is the
 one piece that follows the state where it starts in such a way that merging the two pieces' text
 gives back the two pieces, so the same forward pass yields the merge result exactly. Words with
-more than one mark in front are merged directly, since pieces of marks have equal scores.
+more than one mark in front are merged directly, since pieces of marks have equal scores; merging
+takes the best pair from a heap, so a run of n marks takes n log n steps.
 
 A character that no piece covers becomes its UTF-8 bytes' pieces (or the unknown piece). Decoding
 gives the text back exactly unless it holds the mark character itself.
@@ -22,23 +23,28 @@ Repeated rows and ids are kept. Other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import only, slices, table
+from quarry.llm.common import only, released, slices, table
 
 MARK = "▁"
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 1_000_000
-BATCH_BYTES = 8 << 20
+CACHE_CHARACTERS = 3_000_000  # of encoded words that a task keeps
+CACHE_PAIRS = 200_000
+BATCH_BYTES = 4 << 20
+SHORT = 24
+NO_PIECE = float("-inf")
 
 _state: dict = {}
 
 
 class PieceModel:
+    scored = 0  # trie nodes that got a state
+
     def __init__(self, path: str):
         import sentencepiece
 
@@ -58,6 +64,7 @@ class PieceModel:
             self.decoded[i] = bytes([value])
         self.decoded[self.unknown] = "�".encode()
         self.words: dict[str, bytes] = {}
+        self.held = 0  # characters of those words
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def normalized(self, text: str) -> str:
@@ -66,16 +73,42 @@ class PieceModel:
     def merged(self, word: str) -> list[str]:
         """Merge by rank, the leftmost of equal ones first."""
         parts, score = list(word), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        if len(parts) <= SHORT:  # where looking at all pairs is quicker than a heap
+            while len(parts) > 1:
+                ranks = [score.get(a + b, NO_PIECE) for a, b in zip(parts, parts[1:])]
+                best = max(ranks)
+                if best == NO_PIECE:
+                    break
+                at = ranks.index(best)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            return parts
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+
+        def push(i: int) -> None:
+            j = after[i]
+            if j < n:
+                joined = parts[i] + parts[j]
+                s = score.get(joined)
+                if s is not None:
+                    heapq.heappush(heap, (-s, i, joined))
+
+        for i in range(n):
+            push(i)
+        while heap:
+            _, i, joined = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or not parts[i] or parts[i] + parts[j] != joined:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = joined, ""
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            push(i)
+            if before[i] >= 0:
+                push(before[i])
+        return [p for p in parts if p]
 
     def follows(self, left: str, right: str) -> bool:
         """Whether merging the text of both gives both; with left empty, whether right is whole."""
@@ -100,10 +133,11 @@ class PieceModel:
             if merges and word.startswith(MARK + MARK):
                 out.append(self.merged(word))
                 continue
-            shared, most = 0, min(len(word), len(before))
+            shared, most = 0, min(len(word), len(before))  # the trie node where the two words part
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del last[shared + 1 :], best[shared + 1 :]
+            self.scored += len(word) - shared
             for i in range(shared + 1, len(word) + 1):
                 choice, value = word[i - 1], best[i - 1] + lowest
                 found = False
@@ -163,13 +197,13 @@ class PieceModel:
                 words = joined + [run] * bool(run)
             split.append(words)
         known = self.words
-        new = {w for words in split for w in words if w not in known}
-        if len(known) + len(new) > CACHE_WORDS:
+        if self.held > CACHE_CHARACTERS:
             known.clear()
-            new = {w for words in split for w in words}
-        ordered = sorted(new)
+            self.held = 0
+        ordered = sorted({w for words in split for w in words if w not in known})
         for word, pieces in zip(ordered, self.segment(ordered)):
             known[word] = self.id_bytes(pieces)
+            self.held += len(word)
         return [b"".join([known[w] for w in words]) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -184,14 +218,22 @@ def model(path: str) -> PieceModel:
     return _state["model"]
 
 
+def _lists(coded: list[bytes | None]) -> pa.Array:
+    """Ids as lists, from their bytes."""
+    ends = np.cumsum([0, *(len(c or b"") // 4 for c in coded)], dtype=np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(c or b"" for c in coded), "<i4")))
+    return pa.array([None if c is None else x for c, x in zip(coded, lists.to_pylist())], lists.type) if None in coded else lists
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<int>)"""
 
+    @released(__name__)
     def run(batches):
         for batch in slices(batches, most=BATCH_BYTES):
             texts = batch.column(1).to_pylist()
-            coded = [None if t is None else np.frombuffer(c, "<i4") for t, c in zip(texts, model(path).encode([t or "" for t in texts]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            coded = [None if t is None else c for t, c in zip(texts, model(path).encode([t or "" for t in texts]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(coded)], names=["doc_id", "ids"])
 
     return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -199,6 +241,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids)"""
 
+    @released(__name__)
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
@@ -209,9 +252,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Encode and decode in one pass: doc_id, n_tokens, ids_crc32 (of the ids as little-endian
-    32-bit integers); ``exact`` tells whether the decoded text equals the text."""
+    """Encode and decode in one pass: doc_id, ids array<int>, n_tokens, ids_crc32 (of the ids as
+    little-endian 32-bit integers); ``exact`` tells whether the decoded text equals the text."""
 
+    @released(__name__)
     def run(batches):
         for batch in slices(batches, most=BATCH_BYTES):
             texts = batch.column(1).to_pylist()
@@ -220,14 +264,15 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    _lists([None if t is None else c for t, c in zip(texts, coded)]),
                     pa.array([len(c) // 4 for c in coded], pa.int64()),
                     pa.array([zlib.crc32(c) for c in coded], pa.int64()),
                     pa.array([(t or "") == b for t, b in zip(texts, back)]),
                 ],
-                names=["doc_id", "n_tokens", "ids_crc32", "exact"],
+                names=["doc_id", "ids", "n_tokens", "ids_crc32", "exact"],
             )
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, exact boolean")
+    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, exact boolean")
 
 
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

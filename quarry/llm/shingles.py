@@ -20,17 +20,17 @@ _SYMBOLS = mix64(np.arange(1, 257, dtype=np.uint64))
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
 
-_powers: dict[str, np.ndarray] = {}
+_state: dict[str, np.ndarray] = {}
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
     """base^0 ... base^(n-1), modulo 2^64."""
-    known = _powers.get(str(base))
+    known = _state.get(str(base))
     if known is None or len(known) < n:
         line = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         line[0] = 1
         with np.errstate(over="ignore"):
-            known = _powers[str(base)] = np.multiply.accumulate(line)
+            known = _state[str(base)] = np.multiply.accumulate(line)
     return known[:n]
 
 
