@@ -14,7 +14,8 @@ items of ``SHORTEST`` words up to ``SPAN`` are looked up whole and shorter ones
 
 Test items come to the tasks in blocks of at most ``BLOCK_WORDS`` words, and every text meets every
 block; no training hash is shuffled. Null and empty texts and items, and items without words, match
-nothing. Repeated items are items of their own; repeated rows of texts
+nothing. Of equal windows that follow each other on a diagonal only the first is looked at, so the
+work on repeated words grows with the diagonals, not with the hits. Repeated items are items of their own; repeated rows of texts
 give repeated results. Other columns are ignored. An empty table on either side gives no rows.
 """
 
@@ -22,13 +23,14 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix64, only, slices, table
+from quarry.llm.common import mix64, only, released, slices, table
 from quarry.llm.shingles import word_hashes
 
 MASKS = tuple("111" + "0" * (n - 3) + "111" for n in (3, 6, 9, 12, 13))
@@ -37,6 +39,7 @@ WORDS = 16
 IDENTITY = 0.8
 SHORTEST = 5
 BLOCK_WORDS = 2_000_000
+CELLS = 1 << 21  # places that are compared at once
 FIVE = ("1111", "11101", "11011", "10111")  # four of five words
 TWOS = ("1111", "110011", "11000011")  # of 6 to 11 words with one in five replaced
 
@@ -66,6 +69,56 @@ def masks_for(n: int, short_items: bool) -> tuple[str, ...]:
     return ("1" * n,) if n >= SHORTEST else ()
 
 
+def _before(h: np.ndarray, at: np.ndarray, owner: np.ndarray, none: int) -> np.ndarray:
+    """The hash of the window one word earlier in the same text; ``none`` where there is none."""
+    out = np.full(len(h), none, dtype=np.uint64)
+    follows = np.flatnonzero((at[1:] == at[:-1] + 1) & (owner[at[1:]] == owner[at[:-1]])) + 1
+    out[follows] = h[follows - 1]
+    return out
+
+
+class Seeds:
+    """The windows of test items under one mask, sorted by hash and by the hash of the window before."""
+
+    def __init__(self, words: np.ndarray, owner: np.ndarray, place: np.ndarray, mask: str):
+        h, at = seeds(words, owner, mask)
+        before = _before(h, at, owner, 0)
+        self.mask = mask
+        self.hashes, number = np.unique(h, return_inverse=True)
+        self.befores, rank = np.unique(before, return_inverse=True)
+        both = number << 32 | rank
+        order = np.argsort(both, kind="stable")
+        self.both, self.place = both[order], place[at][order]
+
+    def starts(self, words: np.ndarray, owner: np.ndarray, seen: np.ndarray, shift: np.uint64):
+        """(places in the texts, places in the items), in parts of bounded size: equal windows with
+        no equal ones just before them. A run of equal windows on a diagonal gives its first only,
+        so repeated words give as many as the texts and items are long, not their product."""
+        h, at = seeds(words, owner, self.mask)
+        if not len(h) or not len(self.hashes):
+            return
+        before = _before(h, at, owner, 1)
+        near = seen[(h >> shift).astype(np.int64)]
+        h, at, before = h[near], at[near], before[near]
+        number = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        same = self.hashes[number] == h
+        at, before, number = at[same], before[same], number[same]
+        rank = np.minimum(np.searchsorted(self.befores, before), len(self.befores) - 1)
+        known = self.befores[rank] == before
+        low, high = np.searchsorted(self.both, number << 32), np.searchsorted(self.both, (number + 1) << 32)
+        skip, resume = (np.where(known, np.searchsorted(self.both, number << 32 | rank, side), low) for side in ("left", "right"))
+        first, many = np.concatenate([low, resume]), np.concatenate([skip - low, high - resume])
+        where = np.concatenate([at, at])
+        first, where, many = (x[many > 0] for x in (first, where, many))
+        total = np.cumsum(many)
+        i = 0
+        while i < len(many):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + CELLS, side="right")))
+            n = many[i:j]
+            yield np.repeat(where[i:j], n), self.place[np.repeat(first[i:j], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            i = j
+
+
 class Index:
     """The seeds of a block of test items."""
 
@@ -80,53 +133,55 @@ class Index:
         for n in np.unique(self.count).tolist():
             for mask in masks_for(n, short_items):
                 sought.setdefault(mask, []).append(n)
-        self.masks = list(sought)
-        self.tables = []
-        for mask in self.masks:
-            use = np.isin(lengths, sought[mask])
-            w, o = words[use], owner[use]
-            h, at = seeds(w, o, mask)
-            order = np.argsort(h, kind="stable")
-            self.tables.append((h[order], np.flatnonzero(use)[at][order]))
-        bits = max(16, int(np.ceil(np.log2(max(1, len(words)) * 64))))
+        self.seeds = []
+        for mask, sizes in sought.items():
+            use = np.isin(lengths, sizes)
+            self.seeds.append(Seeds(words[use], owner[use], np.flatnonzero(use), mask))
+        bits = max(16, int(np.ceil(np.log2(max(1, len(words)) * 8))))
         self.shift = np.uint64(64 - bits)
         self.seen = np.zeros(1 << bits, dtype=bool)
-        for h, _ in self.tables:
-            self.seen[(h >> self.shift).astype(np.int64)] = True
-
-    def hits(self, words: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Distinct (text, item, place in the text of the item's first word), as rows."""
-        found = []
-        for mask, (table_, at_item) in zip(self.masks, self.tables):
-            if not len(table_):
-                continue
-            h, at = seeds(words, owner, mask)
-            near = self.seen[(h >> self.shift).astype(np.int64)]
-            h, at = h[near], at[near]
-            low, high = np.searchsorted(table_, h), np.searchsorted(table_, h, side="right")
-            n = high - low
-            place = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            word = at_item[place]
-            item, where = self.owner[word], np.repeat(at, n)
-            found.append(np.stack([owner[where], item, where - (word - self.begin[item])], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+        for s in self.seeds:
+            self.seen[(s.hashes >> self.shift).astype(np.int64)] = True
+
+    def diagonals(self, words: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Distinct (text, item, place in the texts' words of the item's first word), as rows."""
+        found = [np.zeros((0, 3), np.int64)]
+        for s in self.seeds:
+            for where, word in s.starts(words, owner, self.seen, self.shift):
+                item = self.owner[word]
+                found.append(_distinct(np.stack([owner[where], item, where - (word - self.begin[item])], axis=1)))
+        return _distinct(np.concatenate(found))
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    rows = rows[np.lexsort(rows.T[::-1])]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    return rows[new]
+
+
+def longest_alike_rows(equal: np.ndarray, inside: np.ndarray, identity: float = IDENTITY) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the first and last + 1 of the longest stretch, all ``inside``, with a share of
+    ``identity`` equal words; the first of equally long ones. In whole numbers: an equal word is
+    worth q - p and another one -p, where identity is p / q, a place that isn't inside costs more
+    than all words are worth, and a stretch will do if its sum isn't negative."""
+    share = Fraction(identity).limit_denominator(1000)
+    rows, n = equal.shape
+    most = (n + 1) * share.denominator
+    value = np.zeros((rows, n + 1), dtype=np.int64)
+    np.cumsum(np.where(inside, equal * share.denominator - share.numerator, -most), axis=1, out=value[:, 1:])
+    base = np.arange(rows, dtype=np.int64)[:, None] * (2 * (n + 1) * most)
+    # the first start with a value as low as the end's, by one search in all rows' falling minima
+    least = (base - np.minimum.accumulate(value, axis=1)).ravel()
+    start = np.searchsorted(least, (base - value).ravel()).reshape(rows, n + 1) - np.arange(rows)[:, None] * (n + 1)
+    end = np.argmax(np.arange(n + 1) - start, axis=1)
+    return start[np.arange(rows), end], end
 
 
 def longest_alike(equal: np.ndarray, identity: float = IDENTITY) -> tuple[int, int]:
-    """First and last + 1 of the longest stretch with a share of ``identity`` equal words."""
-    value = np.concatenate([[0.0], np.cumsum(equal - identity)]) + np.arange(len(equal) + 1) * 1e-12
-    least = np.minimum.accumulate(value)
-    best = (0, 0)
-    most = np.maximum.accumulate(value[::-1])[::-1]
-    i = 0
-    for j in range(len(value)):
-        # least[i] falls with i: the first start that this end can have
-        while j < len(value) and i < len(value) and least[i] > most[j]:
-            i += 1
-        if j - i > best[1] - best[0] and least[i] <= value[j]:
-            k = int(np.flatnonzero(value[: i + 1] <= value[j])[0])
-            best = (k, j)
-    return best
+    """``longest_alike_rows`` of one row, all of it inside."""
+    first, last = longest_alike_rows(equal[None], np.ones((1, len(equal)), dtype=bool), identity)
+    return int(first[0]), int(last[0])
 
 
 def indexes(items: DataFrame, short_items: bool = False) -> Iterator[Index]:
@@ -145,19 +200,31 @@ def stretches(texts: pa.Array, index: Index) -> dict[tuple[int, int], tuple]:
     count = np.bincount(owner, minlength=len(texts))
     begin = np.cumsum(count) - count
     best: dict[tuple[int, int], tuple] = {}
-    for text, item, start in index.hits(words, owner).tolist():
-        a = max(0, begin[text] - start)  # the item's first word that lies in the text
-        b = min(index.count[item], begin[text] + count[text] - start)
-        first = index.begin[item]
-        equal = words[start + a : start + b] == index.words[first + a : first + b]
-        least = min(WORDS, index.count[item])
-        if equal.sum() < IDENTITY * least - 1e-9:
-            continue
-        i, j = longest_alike(equal)
-        if j - i >= least:
-            row = (int(j - i), int(equal[i:j].sum()), -int(start + a + i - begin[text]), -int(a + i))
-            if row > best.get((text, item), ()):
-                best[text, item] = row
+    rows = index.diagonals(words, owner)
+    sizes = index.count[rows[:, 1]]
+    rows = rows[np.argsort(sizes, kind="stable")]  # so that items of one size are compared together
+    sizes = np.sort(sizes)
+    i = 0
+    while i < len(rows):
+        j = i + max(1, min(CELLS // max(1, int(sizes[i])), int(np.searchsorted(sizes, max(64, 2 * int(sizes[i]))) - i)))
+        text, item, start = rows[i:j].T
+        i = j
+        place = np.arange(index.count[item].max())
+        there = start[:, None] + place
+        inside = (place < index.count[item][:, None]) & (there >= begin[text][:, None]) & (there < (begin[text] + count[text])[:, None])
+        equal = inside & (words[np.where(inside, there, 0)] == index.words[np.where(inside, index.begin[item][:, None] + place, 0)])
+        least = np.minimum(WORDS, index.count[item])
+        some = np.flatnonzero(equal.sum(axis=1) >= IDENTITY * least - 1e-9)
+        low, high = longest_alike_rows(equal[some], inside[some])
+        n_equal = np.concatenate([np.zeros((len(some), 1), np.int64), np.cumsum(equal[some], axis=1)], axis=1)
+        good = np.flatnonzero(high - low >= least[some])
+        for k in good.tolist():
+            row = some[k]
+            a, b = int(low[k]), int(high[k])
+            found = (b - a, int(n_equal[k, b] - n_equal[k, a]), -int(start[row] + a - begin[text[row]]), -a)
+            key = (int(text[row]), int(item[row]))
+            if found > best.get(key, ()):
+                best[key] = found
     return best
 
 
@@ -174,6 +241,7 @@ def without_items(documents: DataFrame, items: DataFrame, short_items: bool = Fa
     place = documents.columns.index("text")
     for index in indexes(items, short_items):
 
+        @released("quarry.llm.shingles")
         def run(batches, index=index):
             for batch in slices(batches, "text"):
                 held = {text for text, _ in stretches(batch.column(place), index)}
@@ -184,6 +252,7 @@ def without_items(documents: DataFrame, items: DataFrame, short_items: bool = Fa
 
 
 def _find(docs: DataFrame, index: Index) -> DataFrame:
+    @released("quarry.llm.shingles")
     def run(batches):
         for batch in slices(batches, "text"):
             ids = batch.column(0).to_pylist()
