@@ -7,16 +7,20 @@ length, so a weight w needs about log2(w) of them, and a point of the last inter
 weight lies below w. Each point has a time and a register; a register keeps the earliest. Two
 documents agree in a register with a probability of their weighted Jaccard coefficient, exactly,
 as the points of both are those of the smaller weight of each shingle. Points are drawn in order
-of time, and only up to the time by which the document's registers are full.
+of time, and only up to the time by which the document's registers are full. Intervals are visited
+from the lowest up, and a process ends at the first point later than all of the registers that
+the document has by then, so a heavy shingle's long intervals cost little. (Within an interval a
+point's place is drawn at once, not by halving the interval; its distribution is the same.)
 
 Registers are banded. The members of a band bucket are paired with its hub: the member whose own
 buckets hold most texts, which in a group of edited copies is the text they were made from. Each
 pair is verified: the multisets' overlap, exactly, at 0.8 or more; components of these links are
 joined. Then, in buckets that still hold members of different components, all pairs across
-components whose signatures don't rule out 0.8 are verified as well: members are packed in blocks,
-and a pair is taken in the first band that it shares. So a link between documents that share a band
-is lost only where signatures lie three standard deviations below the threshold (at a coefficient of
-exactly 0.8 one in a thousand), while a group of copies costs about a pair a member.
+components are verified as well: members are packed in blocks, and a pair is taken in the first band
+that it shares. Pairs whose signatures agree in less than ``unlike`` of the registers are left out;
+at 0.5 that meets a pair with a coefficient of 0.8 once in 10^13, so in effect a link is lost only if
+its documents share no band (at exactly 0.8 five times in 100,000). A group of copies costs about a
+pair a member.
 
 Equal texts are one node from the start, whatever their ids. Null and empty texts are equal, and so
 are, apart from the texts that equal them, in a class of their own. A class is named by its least
@@ -32,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix64, only, slices, table, written, written_with
+from quarry.llm.common import mix64, only, released, slices, table, written, written_with
 from quarry.llm.components import components
 from quarry.llm.shingles import shingle_hashes, weighted
 
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
-RULED_OUT = 0.69  # agreement of signatures, three standard deviations below the threshold
+UNLIKE = 0.5  # agreement of signatures, eight standard deviations below the threshold
 BLOCK = 512
 BLOCK_BYTES = 1 << 20
 
@@ -61,7 +65,8 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, weights: np.ndarray, n_doc
             length = 1.0 if level == 0 else float(1 << (level - 1))
             low = 0 if level == 0 else 1 << (level - 1)
             seed = mix64(hashes[rows] ^ _SEEDS[0] ^ np.uint64(level * 0x9E3779B1))
-            doc, limit, weight = owner[rows], until[owner[rows]], weights[rows]
+            doc, weight = owner[rows], weights[rows]
+            limit = np.minimum(until, best.reshape(n_docs, registers).max(axis=1))[doc] if level else until[doc]
             time, k = np.zeros(len(rows)), 0
             while len(rows):
                 with np.errstate(over="ignore"):
@@ -99,6 +104,7 @@ def _node_of(text: str) -> Column:
 def sign(docs: DataFrame) -> DataFrame:
     """(node, signature) of every distinct text that has a shingle; a node is the md5 of a text."""
 
+    @released("quarry.llm.shingles")
     def run(batches):
         for batch in slices(batches, "text"):
             texts = batch.column(0)
@@ -173,9 +179,9 @@ def _texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select("row", "text").hint("merge").join(chosen, "row").where(_node_of("text") == F.col("node")).select("node", "text")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) whose multisets overlap enough. The pairs of a node
-    are dealt out in chunks, each with one copy of the node's text."""
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) whose multisets overlap enough, by (node, text). The
+    pairs of a node are dealt out in chunks, each with one copy of the node's text."""
     spark = pairs.sparkSession
     n = _partitions(spark)
 
@@ -193,6 +199,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], names=["chunk", "hub", "node"])
 
+    @released("quarry.llm.shingles")
     def check(batches):
         key, mine, before = None, None, None
         for batch in slices(batches, "text"):
@@ -211,10 +218,9 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
 
     dealt = written(pairs.select("a", "b").repartitionByRange(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(chunks, "chunk binary, hub binary, node binary"), "chunks")
-    found = _texts_of(dealt.select("node").distinct(), docs)
     return (
         dealt.hint("merge")
-        .join(found, "node")
+        .join(texts, "node")
         .select("chunk", "hub", "node", "text")
         .repartition(n, "chunk")
         .sortWithinPartitions("chunk", F.col("node") != F.col("hub"), "node")
@@ -222,9 +228,10 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     )
 
 
-def multisets(nodes: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+def multisets(nodes: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, signature, hashes, counts) of the given nodes: the sorted shingles of a node's text."""
 
+    @released("quarry.llm.shingles")
     def run(batches):
         for batch in slices(batches, "text"):
             sets = [_multiset(t) for t in batch.column(2).to_pylist()]
@@ -233,11 +240,11 @@ def multisets(nodes: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame
                 names=["node", "signature", "hashes", "counts"],
             )
 
-    rows = _texts_of(nodes, docs).hint("merge").join(signed, "node").select("node", "signature", "text")
+    rows = nodes.hint("merge").join(texts, "node").hint("merge").join(signed, "node").select("node", "signature", "text")
     return rows.dropDuplicates(["node"]).mapInArrow(run, "node binary, signature binary, hashes binary, counts binary")
 
 
-def links_across(rows: DataFrame) -> DataFrame:
+def links_across(rows: DataFrame, unlike: float = UNLIKE) -> DataFrame:
     """Verified links (a, b) between members of one bucket and different components, from (bucket,
     node, component, signature, hashes, counts). Blocks of members meet each other; of two members
     whose signatures don't rule it out, in the first band they share, the overlap is computed unless
@@ -271,7 +278,7 @@ def links_across(rows: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                out.extend(_links(r))
+                out.extend(_links(r, unlike))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
 
@@ -287,7 +294,7 @@ def links_across(rows: DataFrame) -> DataFrame:
     return packed.hint("merge").join(other, "bucket").where("id <= id2").drop("part", "id", "id2").mapInArrow(cross, "a binary, b binary")
 
 
-def _links(r: dict) -> list[tuple[bytes, bytes]]:
+def _links(r: dict, unlike: float) -> list[tuple[bytes, bytes]]:
     """Links between the members of two packed blocks of a bucket."""
     a, b = (np.frombuffer(r[k], "<u2").reshape(-1, REGISTERS) for k in ("signatures", "signatures2"))
     ca, cb, na, nb = (np.frombuffer(r[k], "V16") for k in ("components", "components2", "nodes", "nodes2"))
@@ -305,7 +312,7 @@ def _links(r: dict) -> list[tuple[bytes, bytes]]:
     for i in range(len(a)):
         equal = b == a[i]
         # a coefficient is at most the smaller total over the larger
-        like = (equal.mean(axis=1) >= RULED_OUT) & (cb != ca[i]) & (np.minimum(ta[i], tb) >= (THRESHOLD - 1e-9) * np.maximum(ta[i], tb))
+        like = (equal.mean(axis=1) >= unlike) & (cb != ca[i]) & (np.minimum(ta[i], tb) >= (THRESHOLD - 1e-9) * np.maximum(ta[i], tb))
         if not like.any():
             continue
         like &= equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
@@ -346,14 +353,15 @@ def _classes(documents: DataFrame) -> DataFrame:
     docs = only(documents, doc_id="long", text="string").withColumn("row", F.xxhash64("doc_id", "text"))
     signed = written(sign(docs), "signatures")
     members, pairs = hub_pairs(bands(signed))
-    links = written(verified(pairs, docs), "verified")
+    texts = written(_texts_of(members.select("node").distinct(), docs), "texts")  # of candidates, once
+    links = written(verified(pairs, texts), "verified")
     labels = components(links)
 
     members = members.where("n > 2").select("bucket", "node")  # of two, one is the hub
     members = written(members.hint("merge").join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "members")
     mixed = written(members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket"), "mixed")
     mixed_members = written(members.hint("merge").join(mixed, "bucket"), "mixed-members")
-    sets = written(multisets(mixed_members.select("node").distinct(), signed, docs), "multisets")
+    sets = written(multisets(mixed_members.select("node").distinct(), signed, texts), "multisets")
     more, seen = written_with(links_across(mixed_members.hint("merge").join(sets, "node")), "more", n=F.count(F.lit(1)))
     if seen["n"]:
         labels = components(links.unionByName(more))
