@@ -8,7 +8,8 @@ boundary, which is a symbol like the letters.
 
 Nulls: a null text, and one without a letter, is ``und`` with score 0. Rows without a language
 don't train. Ties go to the language that sorts first. Without any training row every text is
-``und``. Repeated rows count as often as they occur. Other columns are ignored.
+``und``. Repeated rows count as often as they occur. Other columns are ignored; columns that are
+called lang_pred or score are replaced.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import code_points, crc_mod, slices, table
+from quarry.llm.common import code_points, crc_mod, released, slices, table
 
 DIMENSIONS = 1024
 GRAM = 3
 BATCH_BYTES = 384 << 10
+MEASURED = 20_000  # labelled rows on which least scores are measured, at most
+SUPPORT = 1_000  # of them, of one length, that it takes to measure one
+NOISE = 0.05  # a cosine that unrelated vectors of DIMENSIONS reach
 
 _state: dict = {}
 
@@ -109,6 +113,7 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, n: int = GRAM) -> t
     """Language prototypes from (text, lang): their names, sorted, and their unit vectors. What
     comes to the driver is one vector a language."""
 
+    @released(__name__)
     def sums(batches):
         total: dict[str, np.ndarray] = {}
         for batch in slices(batches, most=4 * BATCH_BYTES):
@@ -138,31 +143,74 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, n: int = GRAM) -> t
     return names, (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
+def judge(texts: list[str | None], model: tuple[list[str], np.ndarray], n: int = GRAM) -> tuple[list[str], np.ndarray]:
+    """The likeliest language of each text and the cosine, at least 0."""
+    names, prototypes = model
+    found = bundle(texts, np.arange(len(texts)), len(texts), prototypes.shape[1], n)
+    norm = np.linalg.norm(found, axis=1)
+    if not names:
+        return ["und"] * len(texts), np.zeros(len(texts))
+    cosines = found @ prototypes.T / np.maximum(norm, 1e-12)[:, None]
+    best = np.argmax(cosines, axis=1)
+    score = np.clip(cosines[np.arange(len(texts)), best], 0, 1).astype(np.float64)
+    score[norm == 0] = 0
+    return [names[b] if v > 0 else "und" for b, v in zip(best, norm)], score
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], n: int = GRAM) -> DataFrame:
     """``docs`` with lang_pred and score (the cosine, at least 0) added; needs a column text."""
-    names, prototypes = model
-    dimensions = prototypes.shape[1]
+    docs = docs.drop("lang_pred", "score")
     place = docs.columns.index("text")
 
+    @released(__name__)
     def label(batches):
         for batch in slices(batches, most=BATCH_BYTES):
-            texts = batch.column(place).to_pylist()
-            found = bundle(texts, np.arange(len(texts)), len(texts), dimensions, n)
-            norm = np.linalg.norm(found, axis=1)
-            if names:
-                cosines = found @ prototypes.T / np.maximum(norm, 1e-12)[:, None]
-                best = np.argmax(cosines, axis=1)
-                score = np.clip(cosines[np.arange(len(texts)), best], 0, 1).astype(np.float64)
-                lang = [names[b] if v > 0 else "und" for b, v in zip(best, norm)]
-                score[norm == 0] = 0
-            else:
-                lang, score = ["und"] * len(texts), np.zeros(len(texts))
+            lang, score = judge(batch.column(place).to_pylist(), model, n)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(label, f"{kinds}, lang_pred string, score double")
 
 
+def _size(text):
+    """The binary logarithm of a text's length, a whole number; texts of one size score alike."""
+    return F.floor(F.log2(F.length(text) + 1)).cast("int")
+
+
+def least_scores(labelled: DataFrame, model: tuple[list[str], np.ndarray], share: float = 0.001, most: int = MEASURED) -> dict[int, float]:
+    """For each size of text the score that all but ``share`` of the labelled rows (text, lang),
+    which the model hasn't seen, reach in their own language. About ``most`` of them are measured,
+    chosen by a hash of the text; a size with fewer than SUPPORT of them isn't in the result."""
+    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
+    n = rows.count()
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 24)) < min(1.0, most / max(n, 1)) * (1 << 24))
+    found = (
+        predict(some, model)
+        .where("lang = lang_pred")
+        .groupBy(_size(F.col("text")).alias("size"))
+        .agg(F.percentile_approx("score", share, 10_000).alias("least"), F.count("*").alias("n"))
+        .where(F.col("n") >= SUPPORT)
+        .collect()
+    )  # a row a size
+    return {r["size"]: r["least"] for r in found}
+
+
+def of_known_language(docs: DataFrame, model: tuple[list[str], np.ndarray], least: dict[int, float], n: int = GRAM) -> DataFrame:
+    """``docs``, all columns, without texts that are ``und`` or score less than their size's least
+    score (NOISE where it has none). Rows that stay pass through the tasks once."""
+    place = docs.columns.index("text")
+
+    @released(__name__)
+    def keep(batches):
+        for batch in slices(batches, most=BATCH_BYTES):
+            texts = batch.column(place).to_pylist()
+            lang, score = judge(texts, model, n)
+            enough = [l != "und" and s >= least.get((len(t) + 1).bit_length() - 1, NOISE) for l, s, t in zip(lang, score, texts)]
+            yield batch.filter(pa.array(enough, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(crc_mod(F.col("doc_id"), 3) != 1))
