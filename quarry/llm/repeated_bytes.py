@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SLICE_BYTES, byte_view, mix64, only, run_starts, slices, table, written
+from quarry.llm.common import SLICE_BYTES, byte_view, mix64, only, released, run_starts, slices, table, written
 from quarry.llm.shingles import _BASE, _INVERSE, _SYMBOLS, _power
 
 LENGTH = 100
@@ -93,6 +93,7 @@ def _partitions(spark: SparkSession) -> int:
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
+    @released("quarry.llm.shingles")
     def run(batches):
         for batch in slices(batches, "text"):
             ids, ties = _keys(batch.column(0), batch.column(1))
@@ -118,6 +119,7 @@ def compare_anchors(rows: DataFrame) -> DataFrame:
     """(mark, doc, tie, place): marked, an anchor whose windows are all repeats; else one whose
     windows must be looked at."""
 
+    @released("quarry.llm.shingles")
     def run(batches):
         columns = _gathered(batches)
         if not columns:
@@ -145,6 +147,7 @@ def _with_texts(docs: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame
     rows of texts (compressed) and then the others. One document's rows are bounded by its length.
     ``docs`` is (doc_id, text, carry); what carry holds goes along with the text."""
 
+    @released("quarry.llm.shingles")
     def pack(batches):
         codec = pa.Codec("zstd", compression_level=1)
         for batch in slices(batches, "text"):
@@ -194,6 +197,7 @@ def _documents(batches):
 def contexts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """(lead, doc, tie, start, context) of the anchors (doc, tie, place)."""
 
+    @released("quarry.llm.shingles")
     def run(batches):
         out = []
 
@@ -291,6 +295,7 @@ def compare_suffixes(rows: DataFrame, n: int) -> DataFrame:
         packed = np.stack([h1.view(np.int64), h2.view(np.int64), doc[g], tie[g], start[g] + inner[go]], axis=1)
         return marks, [packed]
 
+    @released("quarry.llm.shingles")
     def run(batches):
         held: list[tuple] = []
         handed: list[np.ndarray] = []
@@ -332,6 +337,7 @@ def compare_suffixes(rows: DataFrame, n: int) -> DataFrame:
 def compare_boundaries(rows: DataFrame, n: int) -> DataFrame:
     """(doc, tie, a, b) from (bucket, packed): of equal suffixes all but the first."""
 
+    @released("quarry.llm.shingles")
     def run(batches):
         parts = [np.frombuffer(p, "<i8").reshape(-1, 5) for b in batches for p in b.column(1).to_pylist()]
         if not parts:
@@ -360,6 +366,7 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
 
 
 def _judged(docs: DataFrame, keep_text: bool) -> DataFrame:
+    @released("quarry.llm.shingles")
     def run(batches):
         out, size = [], 0
 
