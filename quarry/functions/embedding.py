@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -13,19 +14,26 @@ from pyspark.sql.functions import pandas_udf
 DIMENSION = 384
 
 
-def hash_embedding(text: str, dimension: int = DIMENSION) -> list[float]:
-    """A deterministic unit vector from the text's sha256, position by position."""
-    need = -(-dimension // 32)
-    raw = b"".join(hashlib.sha256(f"{text}\0{i}".encode()).digest() for i in range(need))
-    v = (np.frombuffer(raw[:dimension], np.uint8).astype(float) - 127.5) / (1 + np.arange(dimension) % 7)
-    return np.round(v / np.linalg.norm(v), 6).tolist()
+_TOKEN = re.compile("[a-zA-Z0-9\u4e00-\u9fff]+")
 
 
-def embedder(embed: Callable[[list[str]], list[list[float]]] | None = None):
+def hash_embedding(text: str, dimension: int = DIMENSION) -> list[float]:
+    """A deterministic unit vector: the sum over the text's tokens of their sha256, a byte a place,
+    centred and weighted by the place; zero without tokens. Texts that share words are alike."""
+    digests = [hashlib.sha256(t.encode()).digest() for t in _TOKEN.findall(text.lower())]
+    if not digests:
+        return [0.0] * dimension
+    place = np.arange(dimension)
+    total = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 32).sum(axis=0, dtype=np.int64)
+    v = (total[place % 32] / 255.0 - 0.5 * len(digests)) * (1.0 + place % 7 * 0.05)
+    return np.round(v / (np.linalg.norm(v) or 1.0), 6).tolist()
+
+
+def embedder(embed: Callable[[list[str]], list[list[float]]] | None = None, element: str = "float"):
     """A column function of any ``embed(texts)``, called once an Arrow batch. Null text: null."""
     run = embed or (lambda texts: [hash_embedding(t) for t in texts])
 
-    @pandas_udf("array<float>")
+    @pandas_udf(f"array<{element}>")
     def apply(texts: pd.Series) -> pd.Series:
         found = iter(run(texts.dropna().tolist()) if texts.notna().any() else [])
         return pd.Series([next(found) if t is not None and t == t else None for t in texts], dtype=object)
@@ -46,26 +54,15 @@ def rerank_with(reranker: Reranker, hits: DataFrame, k: int) -> DataFrame:
 
 
 def register_sql_functions(spark: SparkSession) -> None:
-    """quarry_embed(text), quarry_chunks(text) and quarry_findings(text) for SQL."""
-    from pyspark.sql.functions import udtf
-
+    """For SQL: quarry_embed(text), and the table functions quarry_findings(text) and
+    quarry_chunks(text). The latter two are SQL expressions, so nothing leaves the JVM."""
     from quarry.functions.text import INJECTIONS
 
-    @udtf(returnType="code string, severity string, found string")
-    class Findings:
-        def eval(self, text: str):
-            import re
-
-            for code, severity, pattern in INJECTIONS:
-                for m in re.finditer(pattern, text or ""):
-                    yield code, severity, m[0].strip()
-
-    @udtf(returnType="chunk_no int, chunk string")
-    class Chunks:
-        def eval(self, text: str):
-            for i in range(0, len(text or ""), 900):
-                yield i // 900, text[i : i + 900]
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
+    found = ", ".join(f"transform(regexp_extract_all(coalesce(t, ''), {quoted(p)}, 0), x -> named_struct('code', '{code}', 'severity', '{severity}', 'found', trim(x)))" for code, severity, p in INJECTIONS)
+    windows = "transform(sequence(0, greatest(1, int(ceil((length(t) - 120) / 780.0))) - 1), i -> substring(t, i * 780 + 1, 900))"
     spark.udf.register("quarry_embed", embedder())
-    spark.udtf.register("quarry_findings", Findings)
-    spark.udtf.register("quarry_chunks", Chunks)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION quarry_findings(t STRING) RETURNS TABLE(code STRING, severity STRING, found STRING) RETURN SELECT inline(concat({found})) AS (code, severity, found)")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION quarry_chunks(t STRING) RETURNS TABLE(chunk_no INT, chunk STRING) RETURN SELECT posexplode(CASE WHEN length(t) > 0 THEN {windows} ELSE array() END) AS (chunk_no, chunk)")

@@ -50,6 +50,23 @@ INJECTIONS = (
     ("policy_override_zh", "critical", r"无视(?:系统|安全|规则)"),
 )
 REDACTED = "[REDACTED_INJECTION]"
+NUMERIC_HINTS = ("revenue", "net sales", "ebitda", "margin", "income", "eps", "debt", "cash flow", "operating", "capex", "capital expenditure", "r&d", "研发", "收入", "营收", "利润率")
+METRIC_ALIASES = (
+    ("revenue", ("revenue", "net sales", "sales", "营收", "收入", "净销售")),
+    ("gross_margin", ("gross margin", "gross profit", "毛利率")),
+    ("operating_margin", ("operating margin", "营业利润率")),
+    ("operating_income", ("operating income", "income from operations", "营业利润")),
+    ("net_income", ("net income", "net earnings", "净利润")),
+    ("eps", ("eps", "earnings per share", "per share")),
+    ("ebitda", ("ebitda",)),
+    ("r_and_d", ("r&d", "r & d", "research and development", "研发")),
+    ("debt", ("debt", "长期债务")),
+    ("operating_cash_flow", ("operating cash", "cash from operations", "cash provided by operating", "经营活动")),
+    ("capex", ("capex", "capital expenditure", "property, plant", "资本开", "资本支出")),
+    ("cash", ("cash and cash equivalents", "cash equivalents", "现金及现金")),
+)
+METRIC_WORDS = ("revenue", "ebitda", "margin", "operating_margin", "r_and_d", "研发", "收入", "利润率", "net_income", "gross_margin", "eps", "debt", "capex")
+RISK_WORDS = ("risk", "supply", "supply_chain", "风险", "供应链")
 
 
 def any_of(text: Column, words) -> Column:
@@ -108,6 +125,15 @@ def chunk_type(text: Column) -> Column:
     )
 
 
+def asks_for(query: Column, metric: Column) -> Column:
+    """Whether a query's text names a metric, by its aliases or else by its own name."""
+    low = F.lower(F.coalesce(query, F.lit("")))
+    known = F.lit(None).cast("boolean")
+    for name, aliases in METRIC_ALIASES:
+        known = F.when(metric == name, any_of(low, aliases)).otherwise(known)
+    return F.coalesce(known, low.contains(F.replace(metric, F.lit("_"), F.lit(" "))))
+
+
 def tone(text: Column) -> Column:
     """struct(label, positive_hits, caution_hits)"""
     low = F.lower(text)

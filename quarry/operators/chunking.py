@@ -47,10 +47,28 @@ def pack(parts: Column, size: int = 900) -> Column:
     return F.aggregate(parts, start, step, done)
 
 
+def overlapped(packed: Column, size: int = 900, overlap: int = 120) -> Column:
+    """Windows over packed paragraphs in which each takes up the end of the one before: the last
+    ``overlap`` characters, a blank line, and what is new, cut into windows again. What starts with
+    that end already doesn't get it twice, and a piece that equals the one before is left out."""
+    overlap = min(overlap, size - 1) if overlap > 0 and size > 1 else 0
+    if not overlap:
+        return F.flatten(F.transform(packed, lambda c: windows(c, size)))
+
+    def step(out, part):
+        last = F.try_element_at(out, F.lit(-1))
+        end = F.when(F.length(last) >= overlap, F.substring(last, -overlap, overlap)).otherwise(last)
+        shared = last.isNull() | F.coalesce(part.startswith(end), F.lit(False))
+        carried = F.filter(windows(F.concat(end, F.lit("\n\n"), part), size, overlap), lambda w: w != last)
+        return F.concat(out, F.when(shared, windows(part, size, overlap)).otherwise(carried))
+
+    return F.aggregate(packed, F.array().cast("array<string>"), step)
+
+
 def chunk_pages(pages: DataFrame, size: int = 900, overlap: int = 120) -> DataFrame:
-    """(doc_id, page, chunk_no, chunk_id, text) of (doc_id, page, text): packed paragraphs, the long
-    ones in windows. Every chunk has at most ``size`` characters."""
-    cut = F.flatten(F.transform(pack(paragraphs(F.col("text")), size), lambda c: windows(c, size, overlap)))
+    """(doc_id, page, chunk_no, chunk_id, text) of (doc_id, page, text): packed paragraphs with
+    overlap. Every chunk has at most ``size`` characters. Folded a page at a time."""
+    cut = overlapped(pack(paragraphs(F.col("text")), size), size, overlap)
     rows = pages.select("doc_id", "page", F.posexplode(cut).alias("chunk_no", "text"))
     return rows.withColumn("chunk_id", F.format_string("%s:p%d:c%d", F.col("doc_id").cast("string"), "page", "chunk_no"))
 

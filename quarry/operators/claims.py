@@ -55,7 +55,7 @@ def validate_answers(answers: DataFrame, allowed: DataFrame) -> DataFrame:
     """(answer_id, reason) of answers (answer_id, tenant_id, kind, complete, citations array) against
     allowed evidence (chunk_id, tenant_id, verified, stale)."""
     cited = answers.select("answer_id", F.col("tenant_id").alias("own"), F.explode_outer(F.array_distinct("citations")).alias("chunk_id"))
-    found = cited.join(allowed, "chunk_id", "left").groupBy("answer_id").agg(
+    found = cited.hint("merge").join(allowed, "chunk_id", "left").groupBy("answer_id").agg(
         F.bool_or(F.col("chunk_id").isNotNull() & F.col("tenant_id").isNull()).alias("unknown"),
         F.bool_or(F.col("tenant_id").isNotNull() & (F.col("tenant_id") != F.col("own"))).alias("foreign"),
         F.bool_or(~F.col("verified")).alias("unverified"),
@@ -81,7 +81,7 @@ def map_markers(texts: DataFrame, evidence: DataFrame) -> DataFrame:
     marker, chunk_id)."""
     found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[(\d+)\]"), F.lit(1)))
     marks = texts.select("answer_id", F.explode(found).alias("m")).select("answer_id", F.col("m").try_cast("long").alias("marker"))
-    return marks.join(evidence, ["answer_id", "marker"], "left").withColumn("mapped", F.col("chunk_id").isNotNull())
+    return marks.hint("merge").join(evidence, ["answer_id", "marker"], "left").withColumn("mapped", F.col("chunk_id").isNotNull())
 
 
 def score_answers(answers: DataFrame, gold: DataFrame, tolerance: float = 0.01) -> DataFrame:

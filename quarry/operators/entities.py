@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import written
+
 # Fixed values of the behaviour that is matched.
 METRIC_LABELS = {
     "revenue": ("total revenue", "net sales", "revenue", "营业收入", "营收"),
@@ -39,23 +41,60 @@ def mentions(texts: DataFrame, aliases: DataFrame, key: str = "doc_id") -> DataF
 
 
 def resolve_tickers(companies: DataFrame, curated: DataFrame, directory: DataFrame) -> DataFrame:
-    """(company, ticker, method): curated name, exact ticker, exact title, then a title that starts
-    with the company's name, if there is one such title."""
+    """(company, ticker, method): curated name, exact ticker, exact title, then a title that holds the
+    company's name as whole words, if there is one such title and the name has four characters."""
     low = F.lower("company")
     steps = [
         companies.join(curated.select(F.lower("name").alias("k"), F.col("ticker")), low == F.col("k")).select("company", "ticker", F.lit("curated").alias("method"), F.lit(0).alias("place")),
         companies.join(directory.select("ticker"), F.upper("company") == F.col("ticker")).select("company", "ticker", F.lit("ticker").alias("method"), F.lit(1).alias("place")),
         companies.join(directory.select("normalized", "ticker"), low == F.col("normalized")).groupBy("company").agg(F.min("ticker").alias("ticker")).select("company", "ticker", F.lit("title").alias("method"), F.lit(2).alias("place")),
     ]
-    # a title offers itself under each of its beginnings of whole words, so the match is an equality
+    # a title offers itself under each run of its words, so the match is an equality; titles are short
     parts = F.split("normalized", " ")
-    heads = directory.select("ticker", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), " "))).alias("k"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda a: F.transform(F.sequence(F.lit(1), F.size(parts) - a + 1), lambda n: F.array_join(F.slice(parts, a, n), " "))))
+    heads = directory.select("ticker", F.explode(F.array_distinct(runs)).alias("k")).where(F.length("k") >= 4)
     unique = companies.select("company", low.alias("k")).hint("merge").join(heads, "k").groupBy("company").agg(F.min("ticker").alias("ticker"), F.count_distinct("ticker").alias("n")).where("n = 1")
     steps.append(unique.select("company", "ticker", F.lit("unique_title").alias("method"), F.lit(3).alias("place")))
     best = reduce(DataFrame.unionByName, steps).groupBy("company").agg(F.min_by(F.struct("ticker", "method"), "place").alias("b"))
     return companies.join(best, "company", "left").select("company", "b.ticker", "b.method")
 
 
+def company_universe(queries: DataFrame, directory: DataFrame, stop: DataFrame) -> DataFrame:
+    """(query_id, company, ticker, method) of queries (query_id, text, companies array): the companies
+    named, resolved against directory (ticker, title, normalized), and the bare upper-case tickers in the
+    text that the directory has, that no stop word (word) is, and that aren't there already."""
+    named = queries.select("query_id", F.explode("companies").alias("company")).where(F.trim("company") != "").distinct()
+    curated = directory.select(F.col("title").alias("name"), "ticker")
+    found = resolve_tickers(written(named.select("company").distinct(), "companies"), curated, directory)
+    first = named.hint("merge").join(found, "company", "left").select("query_id", "company", "ticker", F.coalesce("method", F.lit("unresolved")).alias("method"))
+    words = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\b[A-Z]{2,5}\b"), F.lit(0)))).alias("ticker"))
+    bare = words.hint("merge").join(stop.select(F.col("word").alias("ticker")), "ticker", "left_anti").hint("merge").join(directory.select("ticker", "title").dropDuplicates(["ticker"]), "ticker")
+    first = written(first, "named")
+    more = bare.hint("merge").join(first.where("ticker is not null").select("query_id", "ticker").distinct(), ["query_id", "ticker"], "left_anti")
+    return first.unionByName(more.select("query_id", F.col("title").alias("company"), "ticker", F.lit("query_token").alias("method")))
+
+
+def company_pages(pages: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages, rejects) of pages (document_id, issuers, detected, ...) about the wanted companies (company):
+    a page's issuers count, or what was detected if it has none. Pages without an id, and ids that come
+    twice, are rejected with a reason."""
+    about = F.when(F.coalesce(F.size("issuers"), F.lit(0)) > 0, F.col("issuers")).otherwise(F.col("detected"))
+    rows = pages.withColumn("about", about).withColumn("row", F.xxhash64("document_id", "about"))
+    named = rows.select("document_id", "row", F.explode("about").alias("company")).hint("merge").join(wanted.select("company").distinct(), "company", "left_semi").select(F.coalesce("document_id", F.lit("")).alias("id"), "row").distinct()
+    kept = rows.withColumn("id", F.coalesce("document_id", F.lit(""))).hint("merge").join(named, ["id", "row"], "left_semi")
+    n = F.count("*").over(Window.partitionBy("id"))
+    reason = F.when(F.trim("id") == "", "missing_id").when(F.col("n") > 1, "duplicate_id")
+    kept = kept.withColumn("n", n).withColumn("reason", reason)
+    return kept.where("reason is null").select(pages.columns), kept.where("reason is not null").select(*pages.columns, "reason")
+
+
+def missing_documents(questions: DataFrame, registry: DataFrame) -> DataFrame:
+    """(doc_name, n_questions) of documents that questions (case_id, doc_name, evidence array<struct<doc>>)
+    refer to, as their own or in evidence, and that the registry (doc_name) lacks."""
+    named = questions.select("case_id", F.explode(F.array_union(F.array("doc_name"), F.coalesce(F.transform("evidence", lambda e: e["doc"]), F.array().cast("array<string>")))).alias("doc_name")).where("doc_name is not null")
+    return named.hint("merge").join(registry.select("doc_name").distinct(), "doc_name", "left_anti").groupBy("doc_name").agg(F.count_distinct("case_id").alias("n_questions"))
+
+
 def trusted_amount(row) -> Column:
     """Whether an amount may enter the fundamentals; ``row`` gives a column by name."""
     base = (row("confidence") == "high") & row("normalized_value").isNotNull() & (row("unit") == "billion_usd") & (row("currency") == "USD") & (row("period_type") != "quarter") & row("source").isin(*TRUSTED_SOURCES)

@@ -10,10 +10,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import written
 
 TIE = 1e-9  # added to means of rounded values before they are rounded: an exact half goes up everywhere
 
 
+def numbered(rows: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
+    """``rows`` with their places in a total order, from 0. Rows are sorted by range and numbered within
+    each range; the ranges' bases are prefix sums over a row a range, so no task holds all rows."""
+    spark = rows.sparkSession
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    names = [f"_key{i}" for i in range(len(keys))]
+    keyed = rows.select("*", *(k.alias(n) for k, n in zip(keys, names)))
+    sorted_ = written(keyed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *names).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = sorted_.groupBy("_range").agg(F.count("*").alias("n"))
+    bases = sizes.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row a range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*names)) - 1
+    return sorted_.withColumn("_place", place).hint("merge").join(bases, "_range").select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("_base") + F.col("_place")).cast("long").alias(name))
+
+
 def judged(hits: DataFrame, qrels: DataFrame) -> DataFrame:
     """Hits with ``relevance`` (0 if not judged) and ``first``: false for a repeated chunk."""
     seen = Window.partitionBy("query_id", "mode", "chunk_id").orderBy("rank")

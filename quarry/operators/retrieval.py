@@ -14,6 +14,7 @@ from quarry.operators.ranking import top_k
 from quarry.session import scratch_path, written
 
 K1, B = 1.2, 0.75
+BROADCAST_ROWS = 200_000  # of short strings or ids
 
 
 def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -32,19 +33,30 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
     """(query_id, key, score, rank): the k best documents of each query. idf is
     ln(1 + (N - df + 0.5) / (df + 0.5)); documents of no terms count for N and the mean length.
-    The text isn't carried: only terms, counts and ids move."""
-    post = postings(docs, key)
-    lengths = docs.select(F.size(T.latin_tokens(F.coalesce("text", F.lit("")), phrases=False)).alias("dl"))
-    n, mean = lengths.agg(F.count("*"), F.avg("dl")).first()
-    terms = query_terms(queries)
-    wanted = terms.select("term").distinct()
-    mine = written(post.hint("merge").join(wanted, "term", "left_semi"), "postings")
+
+    Texts are read once: each gives its occurrences of the queries' terms and, with a null term, its
+    length. The terms are broadcast if there are at most BROADCAST_ROWS of them, so that nothing else
+    leaves the tasks; more of them meet the counted terms in a shuffle."""
+    terms = written(query_terms(queries), "query-terms")
+    wanted = written(terms.select("term", F.lit(True).alias("wanted")).distinct(), "terms")
+    words = T.latin_tokens(F.coalesce("text", F.lit("")), phrases=False)
+    rows = docs.select(key, words.alias("words")).select(key, F.size("words").cast("long").alias("dl"), F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term"))
+    counted = lambda rows: rows.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    kept = (F.col("term").isNull()) | F.col("wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        post = counted(rows.join(F.broadcast(wanted), "term", "left").where(kept))
+    else:
+        post = counted(rows).hint("merge").join(wanted, "term", "left").where(kept).drop("wanted")
+    post = written(post, "postings")
+    n, total = post.where("term is null").agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf"))).first()
+    mean = (total / n if n else 0) or 1.0
+    mine = post.where("term is not null")
     df = mine.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean or 1.0))))
+    weight = F.log(1 + (F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean))))
     scored = (
         mine.hint("merge")
-        .join(written(df.hint("merge").join(terms, "term"), "query-terms"), "term")
+        .join(written(df.hint("merge").join(terms, "term"), "weighed-terms"), "term")
         .groupBy("query_id", key)
         .agg(F.round(F.sum(part), 4).alias("score"))
     )
@@ -108,6 +120,166 @@ def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return shared.select("query_id", "chunk_id", F.round(F.least(F.lit(1.0), F.col("common") / F.col("n") + bonus), 4).alias("score"))
 
 
+FACT = "struct<metric:string,value:string,scope:string,row_label:string,source:string>"
+
+
+def keyword_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score): ``lexical_scores`` for chunks (chunk_id, text, fact FACT) that may
+    carry a financial fact. Where a numeric query asks for the fact's metric, the score is lifted to a
+    floor and rewarded for a value, its scope, a total and a table; where it asks for another, it is
+    cut. Candidates share a token or the metric asked for; a chunk with neither scores at most 0.15
+    by its type alone and is left out. The text isn't carried: tokens, facts and ids move."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    has = lambda words: F.exists("query_tokens", lambda t: t.isin(*words))
+    q = queries.select("query_id", "text", T.tokens(F.col("text")).alias("query_tokens"), T.any_of(low, T.NUMERIC_HINTS).alias("numeric"))
+    q = q.select("query_id", "query_tokens", "numeric", F.size("query_tokens").alias("n"), has(T.METRIC_WORDS).alias("m"), has(T.RISK_WORDS).alias("r"), F.lower(F.coalesce("text", F.lit(""))).alias("query_text"))
+    c = written(chunks.select("chunk_id", T.chunk_type(F.coalesce("text", F.lit(""))).alias("chunk_type"), F.col("fact").cast(FACT).alias("fact"), T.tokens(F.col("text")).alias("tokens")), "chunk-tokens")
+    token = q.select("query_id", F.explode("query_tokens").alias("token")).hint("merge").join(c.select("chunk_id", F.explode("tokens").alias("token")), "token")
+    metrics = written(c.where("fact.metric <> ''").select(F.col("fact.metric").alias("metric")).distinct(), "metrics")
+    asked = q.where("numeric").select("query_id", "query_text").join(metrics, T.asks_for(F.col("query_text"), F.col("metric"))).select("query_id", "metric")  # a few dozen metrics
+    by_fact = written(asked, "asked").hint("merge").join(c.where("fact.metric <> ''").select("chunk_id", F.col("fact.metric").alias("metric")), "metric")
+    common = token.select("query_id", "chunk_id", F.lit(1).alias("one")).unionByName(by_fact.select("query_id", "chunk_id", F.lit(0).alias("one"))).groupBy("query_id", "chunk_id").agg(F.sum("one").alias("common"))
+    rows = written(common, "candidates").hint("merge").join(c.drop("tokens"), "chunk_id").hint("merge").join(q.drop("query_tokens"), "query_id")
+    metric = F.coalesce("fact.metric", F.lit(""))
+    over = F.col("common") / F.col("n") + F.when((F.col("chunk_type") == "financial_metric") & F.col("m"), 0.15).otherwise(0.0)
+    scope = F.when(F.lower("fact.scope") == "consolidated", 0.22).when(F.lower("fact.scope") == "segment", 0.02).otherwise(0.0)
+    reward = 0.4 + F.when(F.coalesce("fact.value", F.lit("")) != "", 0.1).otherwise(0.0) + scope + F.when(F.lower("fact.row_label").contains("total"), 0.08).otherwise(0.0) + F.when(F.col("fact.source") == "html_table", 0.05).otherwise(0.0)
+    financial = F.when(~F.col("numeric") | (metric == ""), over).when(T.asks_for(F.col("query_text"), metric), F.greatest(over, F.lit(0.55)) + reward).otherwise(over * 0.35)
+    total = financial + F.when((F.col("chunk_type") == "risk_signal") & F.col("r"), 0.15).otherwise(0.0)
+    return rows.where((F.col("common") > 0) | F.col("fact").isNotNull()).select("query_id", "chunk_id", F.round(F.least(F.lit(1.0), total), 4).alias("score")).where("score > 0")
+
+
+MODES = ("bm25", "dense", "hybrid", "hybrid_rerank")
+
+
+def retrieve(modes, queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 10, candidates: int = 30, weights: dict[str, float] | None = None, in_scope: DataFrame | None = None) -> DataFrame:
+    """(mode, query_id, rank, doc_id, score) of each of MODES that is asked for, for queries (query_id,
+    text, embedding), docs (doc_id, text) and vectors (doc_id, embedding). Both channels are searched
+    once, as deep as the deepest mode needs; hybrid lists are fused by reciprocal rank, one channel
+    stands for both where the other is empty, and reranking is by overlap. ``in_scope`` (query_id,
+    doc_id) narrows each query to its own documents, its company's for instance; without it the whole
+    corpus is searched."""
+    from quarry.operators.ranking import fuse
+
+    if unknown := set(modes) - set(MODES):
+        raise ValueError(f"no such mode: {sorted(unknown)}")
+    deep = max(k, candidates) if "hybrid_rerank" in modes else k
+    depth = deep if in_scope is None else docs.count()
+    found = {}
+    if set(modes) - {"dense"}:
+        found["bm25"] = bm25(queries, docs, depth)
+    if set(modes) - {"bm25"}:
+        found["dense"] = cosine_top_k(queries.select("query_id", "embedding"), vectors.select(F.col("doc_id").alias("vec_id"), "embedding"), depth).withColumnRenamed("vec_id", "doc_id")
+    if in_scope is not None:
+        own = in_scope.select("query_id", "doc_id").distinct()
+        found = {m: top_k(d.drop("rank").hint("merge").join(own, ["query_id", "doc_id"]), deep, tie="doc_id").withColumnRenamed("top_rank", "rank") for m, d in found.items()}
+    found = {m: written(d.select("query_id", "rank", "doc_id", "score"), m) for m, d in found.items()}
+    out = [found[m].where(F.col("rank") <= k).withColumn("mode", F.lit(m)) for m in modes if m in found]
+    for mode in (m for m in modes if m.startswith("hybrid")):
+        d = deep if mode == "hybrid_rerank" else k
+        both = found["bm25"].withColumn("mode", F.lit("bm25")).unionByName(found["dense"].withColumn("mode", F.lit("dense"))).where(F.col("rank") <= d)
+        fused = fuse(both.withColumnRenamed("doc_id", "chunk_id"), weights).where(F.col("rank") <= d).select("query_id", "rank", F.col("chunk_id").alias("doc_id"), F.col("fusion_score").alias("score"))
+        if mode == "hybrid_rerank":
+            pool = written(fused, "pool")
+            words = docs.hint("merge").join(pool.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", T.tokens(F.col("text")).alias("text_tokens"))
+            rows = pool.hint("merge").join(words, "doc_id").hint("merge").join(queries.select("query_id", T.tokens(F.col("text")).alias("query_tokens")), "query_id")
+            fused = lexical_rerank(rows, k).select("query_id", F.col("new_rank").alias("rank"), "doc_id", F.col("rerank_score").alias("score"))
+        out.append(fused.withColumn("mode", F.lit(mode)))
+    columns = ("mode", "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+    first, *rest = [d.select(*columns) for d in out]
+    for d in rest:
+        first = first.unionByName(d)
+    return first
+
+
+def candidate_faults(hits: DataFrame, corpus: DataFrame, cases: DataFrame, most: int) -> DataFrame:
+    """(query_id, reason) of every case (query_id, company): ``ok``, or the first rule that its hits
+    (query_id, chunk_id, doc_id, companies) break: some, at most ``most``, each with an id of its own,
+    from the corpus (doc_id), and of the case's company."""
+    known = hits.hint("merge").join(corpus.select("doc_id", F.lit(True).alias("known")).dropDuplicates(["doc_id"]), "doc_id", "left")
+    rows = cases.hint("merge").join(known, "query_id", "left")
+    blank = F.trim(F.coalesce(F.col("chunk_id").cast("string"), F.lit(""))) == ""
+    seen = rows.groupBy("query_id").agg(
+        F.count("doc_id").alias("n"),
+        F.count_if(F.col("doc_id").isNotNull() & blank).alias("blank"),
+        F.count_distinct("chunk_id").alias("n_ids"),
+        F.count("chunk_id").alias("n_chunks"),
+        F.count_if(F.col("doc_id").isNotNull() & F.col("known").isNull()).alias("outside"),
+        F.count_if(F.col("doc_id").isNotNull() & ~F.coalesce(F.array_contains("companies", F.col("company")), F.lit(False))).alias("foreign"),
+    )
+    reason = (
+        F.when(F.col("n") == 0, "no_candidates")
+        .when(F.col("n") > most, "too_many")
+        .when((F.col("blank") > 0) | (F.col("n_ids") < F.col("n_chunks")), "missing_or_duplicate_chunk")
+        .when(F.col("outside") > 0, "outside_corpus")
+        .when(F.col("foreign") > 0, "cross_company")
+        .otherwise("ok")
+    )
+    return seen.select("query_id", reason.alias("reason"))
+
+
+def rerank_faults(final: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+    """(query_id, reason) of reranked hits (query_id, chunk_id) against the pool they came from: some if
+    the pool has any, at most ``k``, all from the pool, none twice."""
+    inside = pool.select("query_id", "chunk_id", F.lit(True).alias("inside")).distinct()
+    got = final.hint("merge").join(inside, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("n_ids"), F.count_if(F.col("inside").isNull()).alias("outside"))
+    rows = pool.select("query_id").distinct().hint("merge").join(got, "query_id", "full")
+    reason = (
+        F.when(F.coalesce("n", F.lit(0)) == 0, "no_hits")
+        .when(F.col("n") > k, "too_many")
+        .when(F.col("outside") > 0, "outside_pool")
+        .when(F.col("n_ids") < F.col("n"), "duplicate_chunk")
+        .otherwise("ok")
+    )
+    return rows.select("query_id", reason.alias("reason"))
+
+
+def paragraph_search(queries: DataFrame, docs: DataFrame, k: int = 5, snippet: int = 400) -> DataFrame:
+    """(query_id, doc_id, paragraph, score, snippet, rank): the k paragraphs with the largest share of a
+    query's tokens, by tokens shared. Only the paragraphs that are shown are fetched again."""
+    from quarry.operators.chunking import paragraphs
+
+    parts = docs.select("doc_id", F.posexplode(paragraphs(F.coalesce("text", F.lit("")))).alias("paragraph", "body"))
+    q = queries.select("query_id", T.tokens(F.col("text")).alias("t")).select("query_id", F.size("t").alias("n"), F.explode("t").alias("token"))
+    p = parts.select("doc_id", "paragraph", F.explode(T.tokens(F.col("body"))).alias("token"))
+    scored = q.hint("merge").join(p, "token").groupBy("query_id", "n", "doc_id", "paragraph").agg(F.count("*").alias("common"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "paragraph")
+    best = scored.select("query_id", "doc_id", "paragraph", F.round(F.col("common") / F.col("n"), 4).alias("score")).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    best = written(best, "best-paragraphs")
+    return best.hint("merge").join(parts, ["doc_id", "paragraph"]).select("query_id", "doc_id", "paragraph", "score", F.substring("body", 1, snippet).alias("snippet"), "rank")
+
+
+def containing(passages: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of passages (query_id, passage) that stand in texts (doc_id, body), both
+    squeezed. The first and last word of a passage may be parts of longer ones in a text, so those
+    between them, four at most, are its key. Keys, then the documents that have one, are broadcast if
+    there are at most BROADCAST_ROWS of them, and the passage itself is looked for in those documents
+    alone; more of them are shuffled. Passages of one or two words have no key; every text is searched
+    for those."""
+    p = written(passages.where("passage <> ''").withColumn("w", F.split("passage", " ")).withColumn("k", F.least(F.lit(4), F.size("w") - 2)), "passages")
+    lengths = [r.k for r in p.where("k > 0").select("k").distinct().collect()]  # 1 to 4
+    key = lambda ws, i, k: F.xxhash64(F.lit(k), F.array_join(F.slice(ws, i, k), " "))
+    out = None
+    few = lambda rows: rows.count() <= BROADCAST_ROWS
+    met = lambda rows, small, on, how="inner": rows.join(F.broadcast(small), on, how) if few(small) else rows.hint("merge").join(small, on, how)
+    if lengths:
+        mine = F.lit(None).cast("long")
+        for k in lengths:
+            mine = F.when(F.col("k") == k, key(F.col("w"), 2, k)).otherwise(mine)
+        wanted = written(p.where("k > 0").select("query_id", mine.alias("key")), "keys")
+        ws = F.split("body", " ")
+        of_length = lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: key(F.col("w"), i, k))).otherwise(F.array().cast("array<bigint>"))
+        every = F.array_distinct(F.concat(*map(of_length, lengths)))
+        keys = texts.withColumn("w", ws).select("doc_id", F.explode(every).alias("key"))
+        near = written(met(keys, wanted, "key").select("query_id", "doc_id").distinct(), "near")
+        rows = met(texts, near, "doc_id")
+        rows = met(rows, p.where("k > 0").select("query_id", "passage"), "query_id")
+        out = rows.where(F.contains("body", "passage")).select("query_id", "doc_id")
+    short = p.where("k <= 0").select("query_id", "passage")
+    found = texts.join(F.broadcast(short) if few(short) else short, F.contains("body", "passage")).select("query_id", "doc_id")
+    return found if out is None else out.unionByName(found)
+
+
 def lexical_rerank(hits: DataFrame, k: int = 10) -> DataFrame:
     """0.85 overlap + 0.15 prior, ties by the former rank. ``hits`` has query_tokens, text_tokens."""
     over = T.overlap(F.col("query_tokens"), F.col("text_tokens"))

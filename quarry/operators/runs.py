@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.ranking import numbered
+from quarry.session import written
+
 TRANSIENT = ("timeout", "connection", "rate_limited", "transient_http")
 
 
@@ -72,10 +75,10 @@ def quality(runs: DataFrame) -> DataFrame:
 
 def even_sample(keys: DataFrame, column: str, count: int) -> DataFrame:
     """``count`` keys evenly spaced over the sorted distinct ones: places i (n - 1) / (count - 1)."""
-    distinct = keys.select(column).distinct()
+    distinct = written(keys.select(column).distinct(), "keys")
     n = distinct.count()
     places = sorted({i * (n - 1) // max(1, count - 1) for i in range(min(count, n))})
-    rows = distinct.withColumn("place", F.row_number().over(Window.orderBy(column)) - 1)  # companies, not documents
+    rows = numbered(distinct, column, name="place")
     return rows.where(F.col("place").isin(*places) if places else F.lit(False)).select(column, F.col("place").cast("long").alias("place"))
 
 

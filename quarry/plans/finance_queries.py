@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import finance as N
 from quarry.operators import runs as U
+from quarry.operators.ranking import numbered
 from quarry.plans.registry import query
 from quarry.plans.standins import CALLS, FACTS, calls, facts
 from quarry.session import table
@@ -271,8 +272,8 @@ def agg27_split_manifest(spark, sf_dir):
 
 @query("SELECT s_name, row_number() OVER (ORDER BY sha256('salt|' || s_name), s_name) <= 20 AS dev FROM supplier")
 def win18_ordered_split(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select("s_name", F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit("salt|"), "s_name"), 256), "s_name")).alias("nth"))  # companies: a small key set
-    return s.select("s_name", (F.col("nth") <= 20).alias("dev"))
+    s = numbered(table(spark, sf_dir, "supplier").select("s_name"), F.sha2(F.concat(F.lit("salt|"), "s_name"), 256), "s_name")
+    return s.select("s_name", (F.col("position") < 20).alias("dev"))
 
 
 @query("WITH k AS (SELECT s_name, row_number() OVER (ORDER BY s_name) - 1 AS place, count(*) OVER () AS n FROM supplier) SELECT s_name, place FROM k WHERE place IN (SELECT DISTINCT i.range * (k2.n - 1) // 6 FROM range(7) i, (SELECT count(*) AS n FROM supplier) k2)")
@@ -288,7 +289,7 @@ def win16_slice_per_company(spark, sf_dir):
 
 @query("SELECT s_name, (row_number() OVER (ORDER BY s_name) - 1) % 17 AS shard FROM supplier")
 def win17_modulo_shards(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select("s_name", F.pmod(F.row_number().over(Window.orderBy("s_name")).cast("long") - 1, F.lit(17)).alias("shard"))  # companies
+    return numbered(table(spark, sf_dir, "supplier").select("s_name"), "s_name").select("s_name", F.pmod("position", F.lit(17)).alias("shard"))
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25")

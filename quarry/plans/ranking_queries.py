@@ -206,7 +206,7 @@ def _pair(spark, sf_dir):
 
 
 def _numbered(pair):
-    return pair.withColumn("position", F.row_number().over(Window.orderBy("query_id")).cast("long") - 1)  # a row a case of one evaluation
+    return R.numbered(pair, "query_id")
 
 
 @query(PAIR + """, means AS (SELECT resample, avg(ra) AS m FROM draws JOIN pair USING (position) GROUP BY 1)

@@ -53,18 +53,9 @@ GOLD = f"""gold AS (SELECT b.item_id AS query_id, d.doc_id FROM (SELECT item_id,
 
 
 def gold(spark, sf_dir):
-    """(query_id, doc_id): documents that contain a benchmark passage. Candidates share the
-    passage's first four words; containment is checked on those alone."""
+    """(query_id, doc_id): documents that contain a benchmark passage."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.squeezed(F.col("text")).alias("passage")).where("passage <> ''")
-    d = docs(spark, sf_dir).select("doc_id", T.squeezed(F.col("text")).alias("body"))
-    head = lambda ws, i: F.array_join(F.slice(ws, i, 4), " ")
-    # in a text the passage's first and last words may be parts of longer ones, so words 2 to 5 are the key
-    keyed = b.withColumn("w", F.split("passage", " ")).withColumn("key", F.when(F.size("w") >= 6, head(F.col("w"), 2)))
-    starts = d.withColumn("w", F.split("body", " ")).where(F.size("w") >= 4).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: head(F.col("w"), i)))).alias("key"))
-    wanted = keyed.where("key is not null").select("query_id", "key")
-    near = wanted.hint("merge").join(starts, "key").select("query_id", "doc_id")
-    checked = near.hint("merge").join(d, "doc_id").hint("merge").join(b, "query_id").where(F.contains("body", "passage"))
-    return checked.select("query_id", "doc_id")
+    return R.containing(b, docs(spark, sf_dir).select("doc_id", T.squeezed(F.col("text")).alias("body")))
 
 
 FLAGSHIP = BM25 + f""", {GOLD}, judged AS (SELECT h.query_id, rank, g.doc_id IS NOT NULL AS relevant FROM hits h LEFT JOIN gold g ON g.query_id = h.query_id AND g.doc_id = h.doc_id),

@@ -26,14 +26,17 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset (tests, a laptop) a
-    temporary folder is made and set as the checkpoint folder.
+    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset and the master is local
+    (tests, a laptop) a temporary folder is made and set as the checkpoint folder; a cluster without it
+    is an error, as its executors wouldn't see each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quarry-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")

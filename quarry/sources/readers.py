@@ -5,9 +5,12 @@ A reader never infers a schema. What breaks a rule goes to the rejects with its
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.session import written
+
 DOCUMENT = "path string, document_id string, kind string, pages array<string>, n_chars long"
 EVIDENCE = "array<struct<evidence_doc_name:string,evidence_page_num:int,evidence_text:string>>"
 QUESTION = f"case_id string, company string, doc_name string, question string, answer string, evidence {EVIDENCE}, _corrupt string"
@@ -110,7 +113,8 @@ def company_facts(texts: DataFrame) -> DataFrame:
 def by_alias(rows: DataFrame, aliases: list[tuple[str, str, int]]) -> DataFrame:
     """(company, metric, value) of (company, label, value): the label of the foremost alias."""
     spec = rows.sparkSession.createDataFrame(aliases, "label string, metric string, priority int")
-    return rows.join(F.broadcast(spec), "label").where("value is not null").groupBy("company", "metric").agg(F.min_by("value", F.struct("priority", "value")).alias("value"))
+    # the list comes from the driver; Spark decides by its real size whether to broadcast it
+    return rows.join(spec, "label").where("value is not null").groupBy("company", "metric").agg(F.min_by("value", F.struct("priority", "value")).alias("value"))
 
 
 def issuer_directory(texts: DataFrame) -> DataFrame:
@@ -129,10 +133,40 @@ def stable_id(key: Column) -> Column:
 
 def replace_chunks(chunks: DataFrame, path: str) -> None:
     """Write chunks partitioned by (tenant_id, doc_bucket); partitions that get rows are replaced
-    whole, so no page of an earlier version stays."""
+    whole, so no page of an earlier version stays. For buckets of several documents there is
+    ``replace_documents``."""
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "doc_bucket").parquet(path)
 
 
+def stored_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks that ``replace_documents`` has written."""
+    return spark.read.parquet(path).where("doc_id is not null")
+
+
+def replace_documents(chunks: DataFrame, path: str, documents: DataFrame | None = None, buckets: int = 64) -> None:
+    """Write chunks (tenant_id, doc_id, ...) so that of each document in ``documents`` (tenant_id,
+    doc_id; those of the chunks if not given) only these stay; other documents are left alone, and a
+    document without chunks loses its old ones. Files are partitioned by tenant and bucket of
+    documents; a bucket that is touched is read, joined and rewritten, through the shared folder. A
+    bucket that is emptied keeps a row of nulls, since Spark replaces no partition without rows."""
+    spark = chunks.sparkSession
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    new = written(chunks.withColumn("doc_bucket", bucket), "new-chunks")
+    gone = written((new if documents is None else documents).select("tenant_id", "doc_id").union(new.select("tenant_id", "doc_id")).distinct().withColumn("doc_bucket", bucket), "replaced")
+    touched = gone.select("tenant_id", "doc_bucket").distinct()
+    nothing = touched.select(*(F.col(c) if c in touched.columns else F.lit(None).cast(new.schema[c].dataType).alias(c) for c in new.columns))
+    try:
+        stored = spark.read.schema(new.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = new.limit(0)
+    kept = stored.hint("merge").join(touched, ["tenant_id", "doc_bucket"], "left_semi").where("doc_id is not null").hint("merge").join(gone, ["tenant_id", "doc_id"], "left_anti")
+    rows = written(kept.select(new.columns).unionByName(new), "chunks")
+    empty = nothing.hint("merge").join(rows.select("tenant_id", "doc_bucket").distinct(), ["tenant_id", "doc_bucket"], "left_anti").select(new.columns)
+    rows.unionByName(empty).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "doc_bucket").parquet(path)
+
+
 def unfinished(cases: DataFrame, done: DataFrame, keys=("mode", "case_id")) -> DataFrame:
     return cases.hint("merge").join(done.select(*keys).distinct(), list(keys), "left_anti")
 

@@ -7,14 +7,15 @@ without counting. ``step`` is one event; the stream folds it with state, the bat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarry.session import scratch_path
+from quarry.session import scratch_path, written
 
 MAX_ATTEMPTS = 3
 IDLE_SECONDS = 10
@@ -90,32 +91,49 @@ def checked_revisions(writes: DataFrame) -> DataFrame:
 
 
 class IncrementalIndex:
-    """Chunks of uploads, each (tenant, content) once. ``take`` is a ``foreachBatch`` function: a
-    batch that is delivered again writes the same partition again, and uploads that an earlier batch
-    has are left out."""
+    """Chunks and vectors of uploads, each (tenant, content) once, under its least doc_id. ``take``
+    is a ``foreachBatch`` function: a batch that is delivered again writes the same partition again,
+    so a failed batch is simply retried, and uploads that another batch has are left out. Every
+    upload is registered, with or without chunks."""
 
-    def __init__(self, path: str, size: int = 900):
-        self.path, self.size = path, size
+    def __init__(self, path: str, size: int = 900, embed: Callable[[list[str]], list[list[float]]] | None = None):
+        self.path, self.size, self.embed = path, size, embed
 
     def take(self, batch: DataFrame, batch_id: int) -> None:
+        from quarry.functions.embedding import embedder
         from quarry.operators.chunking import chunk_pages, paginate
 
         spark = batch.sparkSession
-        rows = batch.select("tenant_id", "doc_id", "text", F.sha2(F.concat_ws("\0", "tenant_id", F.coalesce("text", F.lit(""))), 256).alias("content")).dropDuplicates(["content"])
-        ready = self.ready(spark)
-        if ready is not None:
-            rows = rows.join(ready.where(F.col("batch") != batch_id).select("content").distinct(), "content", "left_anti")
-        chunks = chunk_pages(paginate(rows.select(F.col("content").alias("doc_id"), "text")), self.size)
-        out = rows.select("tenant_id", "doc_id", "content").join(chunks.withColumnRenamed("doc_id", "content"), "content")
-        out.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.path)
-
-    def ready(self, spark):
+        content = F.sha2(F.concat_ws("\0", "tenant_id", F.coalesce("text", F.lit(""))), 256)
+        rows = batch.withColumn("content", content).groupBy("tenant_id", "content").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+        known = self._stored(spark, "uploads", "content string, tenant_id string, batch long")
+        rows = written(rows.hint("merge").join(known.where(F.col("batch") != batch_id).select("tenant_id", "content").distinct(), ["tenant_id", "content"], "left_anti"), "uploads")
+        chunks = chunk_pages(paginate(rows.select(F.concat_ws("\0", "tenant_id", "content").alias("doc_id"), "text")), self.size)
+        chunks = chunks.select(F.col("doc_id").alias("upload"), "page", "chunk_no", "text", embedder(self.embed)("text").alias("embedding"))
+        uploads = rows.select("tenant_id", "doc_id", "content", F.concat_ws("\0", "tenant_id", "content").alias("upload"))
+        out = uploads.hint("merge").join(chunks, "upload").drop("upload").withColumn("chunk_id", F.format_string("%s:p%d:c%d", F.col("doc_id").cast("string"), "page", "chunk_no"))
+        self._write(out, "chunks", batch_id)
+        self._write(uploads.drop("upload"), "uploads", batch_id)  # last: only then the batch counts
+
+    def _write(self, rows: DataFrame, name: str, batch_id: int) -> None:
+        rows.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/{name}")
+
+    def _stored(self, spark, name: str, schema: str) -> DataFrame:
         try:
-            return spark.read.parquet(self.path)
-        except Exception as e:  # nothing has been written yet
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
+            return spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], schema)  # nothing has been written yet
+
+    def ready(self, spark) -> DataFrame | None:
+        """The chunks, or None before the first batch."""
+        try:
+            return spark.read.parquet(f"{self.path}/chunks")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
 
 
 def replayed_index(spark, uploads: DataFrame) -> DataFrame:
