@@ -8,19 +8,21 @@ occur. Matches never cross documents. Null and empty texts have no bytes.
 1. *Anchors.* Of the grams of ``GRAM`` bytes in a window of LENGTH bytes the one with the least
    hash is the window's anchor, so equal windows have equal anchors at equal places. Windows that
    share an anchor are neighbours; the text they span is the anchor's context, and there is one
-   anchor in about 37 bytes. Anchors are sorted by range of (gram, context, document, place). All
-   but the first of equal contexts are repeats in all their windows. A gram that isn't repeated is
-   done. What is left are the first ones of different contexts of a repeated gram.
-2. *Suffixes.* Those contexts are cut from the texts. Sampled splitters range-partition them by
-   their leading bytes at the anchor, and a bucket sorts the suffixes at all places of its contexts
-   by multikey quicksort, eight bytes at a time and only among suffixes that are equal so far. Of
-   equal suffixes (in LENGTH bytes) all but the first are repeats.
+   anchor in about 37 bytes. Anchors are sorted by range of (gram, document, place), and one whose
+   gram's hash occurs nowhere else is done: nothing in its windows is repeated.
+2. *Suffixes.* The contexts of the others are cut from the texts. Sampled splitters range-partition
+   them by their leading bytes at the anchor. A bucket compares its contexts of equal leading bytes
+   byte by byte: all windows of a context that an earlier one equals are repeats. Of the contexts that
+   differ it sorts the suffixes at all places by multikey quicksort, eight bytes at a time and only
+   among suffixes that are equal so far. Of equal suffixes (in LENGTH bytes) all but the first are
+   repeats.
 3. *Boundaries.* The first and last group of a bucket may go on in its neighbours. Of those groups
    each bucket hands on the first of every distinct suffix, and these are compared by hash bucket.
 4. The repeats meet their texts.
 
 A gram that very many documents share is split by range in steps 1 and 2, and reaches step 3 with
-at most one suffix of each kind from each bucket.
+at most one suffix of each kind from each bucket. Hashes only say where to look in steps 1 and 2, and
+where buckets meet in step 3, suffixes are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -55,10 +57,10 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of all texts in ``flat``: text number, first and last window start and place of each anchor
-    (in flat), hash of its gram and of its context."""
+    (in flat), and hash of its gram."""
     none = np.zeros(0, np.int64)
     if len(flat) < LENGTH:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     n = len(flat)
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)
@@ -78,8 +80,7 @@ def anchors(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(start)) - 1
         p1, p2, a = start[first], start[last], at[first]
-        context = mix64((sums[p2 + LENGTH] - sums[p1]) * power[p2 + LENGTH]) ^ mix64(((p2 - p1) * 256 + (a - p1)).astype(np.uint64) * _OTHER[0])
-        return owner[first], p1, p2, a, grams[a], mix64(context)
+        return owner[first], p1, p2, a, grams[a]
 
 
 def _keys(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,16 +99,16 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             ids, ties = _keys(batch.column(0), batch.column(1))
             flat, offsets = byte_view(batch.column(1))
-            owner, p1, p2, a, gram, context = anchors(flat, offsets)
+            owner, p1, p2, a, gram = anchors(flat, offsets)
             place = (p1 - offsets[owner]) << 16 | (a - p1) << 8 | (p2 - p1)
             for i in range(0, len(owner), 20_000):
                 s = slice(i, i + 20_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((gram[s] >> np.uint64(16)).astype(np.int64)), pa.array((context[s] >> np.uint64(6)).astype(np.int64)), pa.array(ids[owner[s]]), pa.array(ties[owner[s]]), pa.array(place[s])],
-                    names=["gram", "context", "doc", "tie", "place"],
+                    [pa.array((gram[s] >> np.uint64(16)).astype(np.int64)), pa.array(ids[owner[s]]), pa.array(ties[owner[s]]), pa.array(place[s])],
+                    names=["gram", "doc", "tie", "place"],
                 )
 
-    return docs.mapInArrow(run, "gram long, context long, doc long, tie long, place long")
+    return docs.mapInArrow(run, "gram long, doc long, tie long, place long")
 
 
 def _gathered(batches) -> list[np.ndarray]:
@@ -115,31 +116,30 @@ def _gathered(batches) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts)] if parts else []
 
 
-def compare_anchors(rows: DataFrame) -> DataFrame:
-    """(mark, doc, tie, place): marked, an anchor whose windows are all repeats; else one whose
-    windows must be looked at."""
+def repeated_anchors(rows: DataFrame) -> DataFrame:
+    """(doc, tie, place) of the anchors whose gram occurs elsewhere too. Grams at the edges of a
+    partition may go on in others and stay."""
 
     @released("quarry.llm.shingles")
     def run(batches):
         columns = _gathered(batches)
         if not columns:
             return
-        gram, context, doc, tie, place = columns
+        gram, doc, tie, place = columns
         group = run_starts(gram)
-        first = group | run_starts(context)
+        again = np.zeros(len(gram), dtype=bool)  # equal rows of the input
+        again[1:] = ~group[1:] & (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (place[1:] == place[:-1])
         number = np.cumsum(group) - 1
-        several = np.bincount(number, weights=first) > 1
-        several[[0, -1]] = True  # these may go on in other buckets
-        again = np.zeros(len(gram), dtype=bool)
-        again[1:] = ~first[1:] & (doc[1:] == doc[:-1]) & (tie[1:] == tie[:-1]) & (place[1:] == place[:-1])
-        keep = np.where(first, several[number], ~again)
-        mark, doc, tie, place = ~first[keep], doc[keep], tie[keep], place[keep]
+        several = np.bincount(number, weights=~again) > 1
+        several[[0, -1]] = True
+        keep = several[number] & ~again
+        doc, tie, place = doc[keep], tie[keep], place[keep]
         for i in range(0, len(doc), 20_000):
             s = slice(i, i + 20_000)
-            yield pa.RecordBatch.from_arrays([pa.array(mark[s]), pa.array(doc[s]), pa.array(tie[s]), pa.array(place[s])], names=["mark", "doc", "tie", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(tie[s]), pa.array(place[s])], names=["doc", "tie", "place"])
 
-    order = ["gram", "context", "doc", "tie", "place"]
-    return rows.repartitionByRange(_partitions(rows.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(run, "mark boolean, doc long, tie long, place long")
+    order = ["gram", "doc", "tie", "place"]
+    return rows.repartitionByRange(_partitions(rows.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(run, "doc long, tie long, place long")
 
 
 def _with_texts(docs: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame:
@@ -250,7 +250,8 @@ def suffix_order(flat: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
 
 def compare_suffixes(rows: DataFrame, n: int) -> DataFrame:
     """(doc, tie, a, b): repeated stretches; and, with a bucket, packed suffixes of groups at the
-    edge of a partition for ``compare_boundaries``."""
+    edge of a partition for ``compare_boundaries``. Contexts come in order, so the first of equal ones
+    is kept and each later one is a repeat as a whole."""
 
     def chunk(part: list[tuple], edge_leads: set) -> tuple[list, list]:
         flat = np.frombuffer(b"".join(r[4] for r in part), np.uint8)
@@ -299,7 +300,8 @@ def compare_suffixes(rows: DataFrame, n: int) -> DataFrame:
     def run(batches):
         held: list[tuple] = []
         handed: list[np.ndarray] = []
-        first_lead = None
+        first_lead = lead = None
+        seen: dict[bytes, tuple] = {}  # the contexts of the lead that is read
 
         def marks(found):
             m, h = found
@@ -309,14 +311,25 @@ def compare_suffixes(rows: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c[i : i + 20_000]) for c in m), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["doc", "tie", "a", "b", "bucket", "packed"])
 
         for batch in batches:
+            again = ([], [], [], [])
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if first_lead is None:
-                    first_lead = row[0]
-                # groups stay whole, in a chunk of at most CHUNK contexts and one group
-                if len(held) >= CHUNK and held[-1][0] != row[0]:
-                    yield from marks(chunk(held, {first_lead}))
-                    held = []
-                held.append(row)
+                if row[0] != lead:
+                    if lead is None:
+                        first_lead = row[0]
+                    # groups stay whole, in a chunk of at most CHUNK contexts and one group
+                    if len(held) >= CHUNK:
+                        yield from marks(chunk(held, {first_lead}))
+                        held = []
+                    lead = row[0]
+                    seen.clear()
+                first = seen.setdefault(row[4], row)
+                if first is row:
+                    held.append(row)
+                elif first[1:4] != row[1:4]:
+                    for column, value in zip(again, (row[1], row[2], row[3], row[3] + len(row[4]))):
+                        column.append(value)
+            if again[0]:
+                yield from marks(([np.array(c, dtype=np.int64) for c in again], []))
         if held:
             yield from marks(chunk(held, {first_lead, held[-1][0]}))
         if handed:
@@ -358,11 +371,10 @@ def compare_boundaries(rows: DataFrame, n: int) -> DataFrame:
 def repeated_stretches(docs: DataFrame) -> DataFrame:
     """(doc, tie, a, b): byte ranges whose every string of LENGTH bytes starts earlier as well."""
     n = _partitions(docs.sparkSession)
-    compared = written(compare_anchors(anchor_rows(docs.select("doc_id", "text"))), "anchors")
-    whole = compared.where("mark").select("doc", "tie", F.shiftright("place", 16).alias("a"), (F.shiftright("place", 16) + F.col("place").bitwiseAND(255) + LENGTH).alias("b"))
-    suffixes = written(compare_suffixes(contexts(docs, compared.where("not mark")), n), "suffixes")
+    chosen = written(repeated_anchors(anchor_rows(docs.select("doc_id", "text"))), "anchors")
+    suffixes = written(compare_suffixes(contexts(docs, chosen), n), "suffixes")
     inner = suffixes.where("bucket is null").select("doc", "tie", "a", "b")
-    return whole.unionByName(inner).unionByName(compare_boundaries(suffixes.where("bucket is not null"), n))
+    return inner.unionByName(compare_boundaries(suffixes.where("bucket is not null"), n))
 
 
 def _judged(docs: DataFrame, keep_text: bool) -> DataFrame:
