@@ -39,7 +39,10 @@ BATCH_BYTES = 4 << 20
 SHORT = 24
 NO_PIECE = float("-inf")
 
+NO_ID, START = 1 << 20, 1 << 22  # codes of characters without a piece, and of a word's start
+
 _state: dict = {}
+_pairs: dict[str, dict[int, bool]] = {}
 
 
 class PieceModel:
@@ -54,9 +57,16 @@ class PieceModel:
         self.score = {piece: p.get_score(i) for piece, i in self.ids.items()}
         self.bytes = {int(p.id_to_piece(i)[3:5], 16): i for i in range(size) if p.is_byte(i)}
         self.unknown = p.unk_id()
-        self.endings = {piece[k:] for piece in self.ids for k in range(len(piece))}
         # whole-number scores 0, -1, -2 ... are merge ranks
         self.merges = all(float(s).is_integer() for s in self.score.values())
+        self.endings = set() if self.merges else {piece[k:] for piece in self.ids for k in range(len(piece))}
+        self.backwards: dict = {}  # a trie of the pieces, read from their ends; "" has a piece's id
+        for piece, i in self.ids.items() if self.merges else ():
+            node = self.backwards
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = i
+        self.pieces = {i: piece for piece, i in self.ids.items()}
         self.decoded = [b""] * size
         for piece, i in self.ids.items():
             self.decoded[i] = piece.replace(MARK, " ").encode()
@@ -65,7 +75,8 @@ class PieceModel:
         self.decoded[self.unknown] = "�".encode()
         self.words: dict[str, bytes] = {}
         self.held = 0  # characters of those words
-        self.pairs: dict[tuple[str, str], bool] = {}
+        # whether two pieces stay apart, for as long as the worker lives; they depend on the model alone
+        self.pairs: dict[int, bool] = _pairs.setdefault(path, {})
 
     def normalized(self, text: str) -> str:
         return self.processor.normalize(text)
@@ -110,49 +121,86 @@ class PieceModel:
                 push(before[i])
         return [p for p in parts if p]
 
-    def follows(self, left: str, right: str) -> bool:
-        """Whether merging the text of both gives both; with left empty, whether right is whole."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.merged(left + right) == ([left, right] if left else [right])
-            self.pairs[key] = known
-        return known
+    def code(self, piece: str) -> int:
+        i = self.ids.get(piece)
+        return i if i is not None else NO_ID + ord(piece)
+
+    def text(self, code: int) -> str:
+        return "" if code == START else chr(code - NO_ID) if code >= NO_ID else self.pieces[code]
+
+    def follows(self, left: int, right: int) -> bool:
+        """Whether merging the text of both gives both; at the start, whether right is whole."""
+        a, b = self.text(left), self.text(right)
+        if len(self.pairs) >= CACHE_PAIRS:
+            self.pairs.clear()
+        found = self.pairs[left << 32 | right] = self.merged(a + b) == ([a, b] if a else [b])
+        return found
+
+    def segment_merges(self, words: list[str]) -> list[list[str]]:
+        """``segment`` of a model of merges: the state of a trie node is the code of its last piece."""
+        out, before, scored = [], "", 0
+        last = [START]
+        pairs, follows, backwards, text = self.pairs, self.follows, self.backwards, self.text
+        for word in words:
+            if word.startswith(MARK + MARK):
+                out.append(self.merged(word))
+                continue
+            shared, most = 0, min(len(word), len(before))  # the trie node where the two words part
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
+            del last[shared + 1 :]
+            scored += len(word) - shared
+            for i in range(shared, len(word)):
+                node, j, choice = backwards, i, NO_ID + ord(word[i])
+                while j >= 0:
+                    node = node.get(word[j])
+                    if node is None:
+                        break
+                    piece = node.get("")
+                    if piece is not None:
+                        left = last[j]
+                        apart = pairs.get(left << 32 | piece)
+                        if apart is None:
+                            apart = follows(left, piece)
+                        if apart:
+                            choice = piece
+                            break
+                    j -= 1
+                last.append(choice)
+            pieces, i = [], len(word)
+            while i:
+                piece = text(last[i])
+                pieces.append(piece)
+                i -= len(piece)
+            out.append(pieces[::-1])
+            before = word
+        self.scored += scored
+        return out
 
     def segment(self, words: list[str]) -> list[list[str]]:
         """The pieces of each word; ``words`` are sorted, so equal prefixes are neighbours."""
+        if self.merges:
+            return self.segment_merges(words)
         out = []
         last: list[str] = [""]  # of each prefix of the current path, its last piece
         best: list[float] = [0.0]
         before = ""
-        score, endings, follows, merges = self.score, self.endings, self.follows, self.merges
+        score, endings = self.score, self.endings
         lowest = min(score.values(), default=0.0) - 10.0
         for word in words:
-            if merges and word.startswith(MARK + MARK):
-                out.append(self.merged(word))
-                continue
             shared, most = 0, min(len(word), len(before))  # the trie node where the two words part
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del last[shared + 1 :], best[shared + 1 :]
             self.scored += len(word) - shared
             for i in range(shared + 1, len(word) + 1):
-                choice, value = word[i - 1], best[i - 1] + lowest
-                found = False
+                choice, value, found = word[i - 1], best[i - 1] + lowest, False
                 for j in range(i - 1, -1, -1):
                     piece = word[j:i]
                     if piece not in endings:
                         break
                     s = score.get(piece)
-                    if s is None:
-                        continue
-                    if merges:
-                        if follows(last[j], piece):
-                            choice = piece
-                            break
-                    elif not found or best[j] + s > value:
+                    if s is not None and (not found or best[j] + s > value):
                         choice, value, found = piece, best[j] + s, True
                 last.append(choice)
                 best.append(value)
