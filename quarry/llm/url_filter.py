@@ -9,8 +9,8 @@ decide, and from a few seed words. Its features are hashed into ``FEATURES`` pla
 fixed whatever the corpus; the word counts are joined, not broadcast.
 
 Nulls: a null url, and one without ``://``, has an empty host and path, no rule, and the verdict
-that the model's prior gives. Names of more than 63 characters, which no host has, aren't split.
-Ties of the model allow. Repeated rows are judged alike. Without pages there are no rows.
+that the model's prior gives. Names and words may have any length: a name's substrings are looked up
+in those lengths that words of the pages have. Ties of the model allow. Repeated rows are judged alike. Without pages there are no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ SEEDS = {
 }
 SEED_WEIGHT = 200.0
 FEATURES = 1 << 16
-LONGEST_WORD, LONGEST_NAME = 20, 63
 
 
 def host_of(url: Column) -> Column:
@@ -53,20 +52,30 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def page_words(html: Column) -> Column:
-    """The lower-case ASCII words of a page's visible text."""
+    """The lower-case words of a page's visible text."""
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
-    return F.regexp_extract_all(F.lower(bare), F.lit(rf"\b[a-z]{{1,{LONGEST_WORD}}}\b"), F.lit(0))
+    return F.regexp_extract_all(F.lower(bare), F.lit(r"\p{L}+"), F.lit(0))
 
 
 def viterbi(name: str, known: dict[tuple[int, int], int], total: float) -> list[str]:
-    """The likeliest split of ``name``; ``known`` has the counts of its words by (start, end)."""
+    """The likeliest split of ``name``; ``known`` has the counts of its words by (start, end). A
+    string that isn't a word is taken letter by letter or whole; what it is worth falls with every
+    letter, and one string is worth more than two that make it up."""
     best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
+    words_at: dict[int, list[tuple[int, float]]] = {}
+    for (i, j), n in known.items():
+        if n:
+            words_at.setdefault(j, []).append((i, math.log(n / total)))
+    unknown, letter = math.log(10 / total), math.log(10)
+    # the best start of an unknown string is that of the largest best[i] + i * letter so far
+    start, most = 0, 0.0
     for j in range(1, len(name) + 1):
-        for i in range(max(0, j - LONGEST_WORD), j):
-            n = known.get((i, j), 0)
-            value = best[i] + (math.log(n / total) if n else math.log(10 / total) - (j - i) * math.log(10))
-            if value > best[j]:
-                best[j], back[j] = value, i
+        best[j], back[j] = most + unknown - j * letter, start
+        for i, value in sorted(words_at.get(j, ())):
+            if best[i] + value > best[j]:
+                best[j], back[j] = best[i] + value, i
+        if best[j] + j * letter > most:
+            start, most = j, best[j] + j * letter
     words, j = [], len(name)
     while j:
         words.append(name[back[j] : j])
@@ -75,27 +84,30 @@ def viterbi(name: str, known: dict[tuple[int, int], int], total: float) -> list[
 
 
 def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
-    """(name, words): ``names`` are distinct; each of their substrings is looked up in ``counts``
-    (word, n) by a join."""
+    """(name, words): ``names`` are distinct; their substrings, of the lengths that words have, are
+    looked up in ``counts`` (word, n) by a join. Lengths are few: k different ones take words of
+    k * k / 2 letters together."""
     total = float(counts.agg(F.sum("n")).first()[0] or 0) + 1e4
-    short = names.where(F.length("name").between(1, LONGEST_NAME))
-    cut = F.expr(f"explode(transform(sequence(1, length(name)), i -> transform(sequence(1, least({LONGEST_WORD}, length(name) - i + 1)), k -> struct(i - 1 as i, i - 1 + k as j, substring(name, i, k) as word))))")
-    parts = short.select("name", cut.alias("from_i")).select("name", F.explode("from_i").alias("p")).select("name", "p.*")
+    lengths = sorted(r.k for r in counts.select(F.length("word").alias("k")).distinct().collect())
+    cut = F.explode(F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda k: k <= F.length("name"))).alias("k")
+    parts = (
+        names.where("name <> ''")
+        .select("name", cut)
+        .select("name", "k", F.explode(F.expr("sequence(0, length(name) - k)")).alias("i"))
+        .select("name", "i", (F.col("i") + F.col("k")).alias("j"), F.substring("name", F.col("i") + 1, F.col("k")).alias("word"))
+    )
     found = (
         written(parts, "substrings")
         .hint("merge")
         .join(counts, "word")
         .groupBy("name")
-        .agg(F.collect_list(F.struct("i", "j", "n")).alias("known"))  # at most 63 x 20
+        .agg(F.collect_list(F.struct("i", "j", "n")).alias("known"))  # of one name: its length times the lengths of words
     )
     every = names.hint("merge").join(written(found, "known"), "name", "left")
 
     def run(batches):
         for batch in batches:
-            words = [
-                [name] if len(name) > LONGEST_NAME else viterbi(name, {(k["i"], k["j"]): k["n"] for k in known or ()}, total)
-                for name, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            ]
+            words = [viterbi(name, {(k["i"], k["j"]): k["n"] for k in known or ()}, total) for name, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["name", "words"])
 
     return every.select("name", "known").mapInArrow(run, "name string, words array<string>")
