@@ -14,7 +14,7 @@ with fewer all are used. A beginning is learned only if a likelihood ratio rules
 
 Nulls: a null text scores as an empty one, which has the score of a text without matches. Rows with
 a null id or label don't teach. Repeated rows score alike. With no labelled rows the built-in
-lexicon and weights stand. Other columns are ignored.
+lexicon and weights stand. Other columns are ignored; columns called score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import byte_view, crc_mod, mix64, only, slices, table, written
+from quarry.llm.common import byte_view, crc_mod, mix64, only, released, slices, table, written
 from quarry.llm.shingles import _BASE, _INVERSE, _SYMBOLS, _power, word_hashes
 
 LABELLED = 20_000
@@ -45,7 +45,7 @@ LEXICON = {
 }
 KINDS = ("insult", "directed insult", "threat", "directed threat", "negated", "reported")
 PRIOR = np.array([-3.0, 3.0, 4.0, 0.3, 3.0, -0.5, -0.5])  # of the intercept and the kinds
-MOST = 3  # matches of a kind that count
+MOST = 3  # matches of a kind that ``features`` counts, unless told otherwise; the model counts all
 SCOPE = 4  # words
 
 
@@ -186,8 +186,8 @@ _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?;:,\n"]] = True
 
 
-def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """Matches of each kind, at most MOST, in each text."""
+def features(column: pa.Array, lexicon: Lexicon, most: int | None = MOST) -> np.ndarray:
+    """Matches of each kind, at most ``most`` (None: all), in each text."""
     out = np.zeros((len(column), len(KINDS)), dtype=np.int64)
     column = column.fill_null("")
     hashes, owner, first, last = word_hashes(column)
@@ -209,7 +209,7 @@ def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
         a, b = begin[c], begin[c + 1] if c + 1 < len(begin) else len(clause)
         for kind in match([SYMBOLS[s] for s in symbol[a:b]]):
             out[owner[a], KINDS.index(kind)] += 1
-    return np.minimum(out, MOST)
+    return out if most is None else np.minimum(out, most)
 
 
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,6 +231,7 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _term_counts(texts: DataFrame, wanted: dict[int, np.ndarray] | None = None) -> DataFrame:
     """(kind, term, n): texts that have the term; of ``wanted`` ones if given."""
 
+    @released("quarry.llm.shingles")
     def run(batches):
         for batch in slices(batches, "text"):
             kind, h, _ = _terms(batch.column(0))
@@ -247,6 +248,11 @@ def _term_counts(texts: DataFrame, wanted: dict[int, np.ndarray] | None = None)
     return texts.select("text").mapInArrow(run, "kind long, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n"))
 
 
+def weighed(counts: np.ndarray) -> np.ndarray:
+    """What the model sees of matches: one counts 1, three 2, seven 3, with no end."""
+    return np.log2(1.0 + counts)
+
+
 def _fit(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
     """Weights of a logistic regression with a normal prior around PRIOR, by Newton's steps."""
     x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
@@ -295,23 +301,26 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[Lex
                 words.append(h)
     lexicon = Lexicon.built_in(words, prefixes)
 
+    @released("quarry.llm.shingles")
     def count(batches):
         for batch in slices(batches, "text"):
-            f = features(batch.column(0), lexicon)
+            f = features(batch.column(0), lexicon, None)
             yield pa.RecordBatch.from_arrays([pa.array(list(f), pa.list_(pa.int64())), batch.column(1)], names=["found", "toxic"])
 
     rows = sample.select("text", "toxic").mapInArrow(count, "found array<long>, toxic boolean").groupBy("found").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b")).collect()
-    return lexicon, _fit(np.array([r.found for r in rows], float), np.array([r.a for r in rows], float), np.array([r.b for r in rows], float))
+    return lexicon, _fit(weighed(np.array([r.found for r in rows], float)), np.array([r.a for r in rows], float), np.array([r.b for r in rows], float))
 
 
 def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray]) -> DataFrame:
     """``docs`` with score and predicted added; needs a column text."""
     lexicon, weights = model
+    docs = docs.drop("score", "predicted")
     place = docs.columns.index("text")
 
+    @released("quarry.llm.shingles")
     def run(batches):
         for batch in slices(batches, "text"):
-            x = features(batch.column(place), lexicon)
+            x = weighed(features(batch.column(place), lexicon, None))
             s = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
