@@ -24,6 +24,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -125,6 +126,13 @@ def _encoder(path: str, dtype: str) -> UnitEncoder:
     return _state["encoder"]
 
 
+def _put(store, source: str, target: str) -> None:
+    """Rename; some stores don't rename onto a file that an earlier try has left."""
+    if store.get_file_info(target).type != pafs.FileType.NotFound:
+        store.delete_file(target)
+    store.move(source, target)
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, bits: int = 16) -> DataFrame:
     """Encode ``docs`` (doc_id, text), append ``end_id`` to each, write shards in ascending doc_id
     order and return the manifest (shard, n_docs, n_tokens, base_doc, base_token)."""
@@ -152,13 +160,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         for name, data in ((f"{shard}.offsets", offsets.tobytes()), (f"{shard}.docs", np.concatenate(ids).tobytes())):
             with store.open_output_stream(f"{root}/{name}.{attempt}.tmp") as f:
                 f.write(data)
-            store.move(f"{root}/{name}.{attempt}.tmp", f"{root}/{name}")
-        store.move(temporary, f"{root}/{shard}.ids")
+            _put(store, f"{root}/{name}.{attempt}.tmp", f"{root}/{name}")
+        _put(store, temporary, f"{root}/{shard}.ids")
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [len(counts)], "n_tokens": [int(offsets[-1])]})
 
     shards = (
         only(docs, doc_id="long", text="string")
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
+        # very many rows of one id, or of none, are split by the beginnings of their texts
+        .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64).asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
         .mapInArrow(write, "shard int, n_docs long, n_tokens long")
     )
