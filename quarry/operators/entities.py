@@ -22,21 +22,30 @@ SCALES = {"billion": 1.0, "million": 1e-3, "thousand": 1e-6}
 TRUSTED_SOURCES = ("table_caption", "inline_unit", "structured_table", "provider_metadata")
 
 
+FEW_ALIASES = 200
+
+
 def mentions(texts: DataFrame, aliases: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, company) of (key, text) and (alias, company): an alias of one short Latin word must
-    stand as a word, any other may stand anywhere. Words are joined by equality; only the few long
-    or multi-word aliases, whose number is checked, are looked up in each text."""
+    stand as a word, any other may stand anywhere. Words are joined by equality. Up to FEW_ALIASES other
+    aliases are looked up in each text; more are joined by their first characters, as many as the
+    shortest has, with the texts' runs of that length, and then looked for in those texts alone."""
     word = (F.length("alias") < 6) & F.col("alias").rlike("^[a-z0-9]+$")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
     by_word = texts.select(key, words.alias("ws")).select(key, F.explode("ws").alias("alias")).hint("merge").join(aliases.where(word), "alias").select(key, "company")
-    long = aliases.where(~word)
-    n = long.count()
-    if n > 10_000:
-        raise ValueError(f"{n} aliases can't be looked up in every text; make them words or split them")
-    pairs = [(r.alias, r.company) for r in long.collect()]
+    long = aliases.where(~word & (F.length("alias") > 0))
+    n, k = long.agg(F.count("*"), F.min(F.length("alias"))).first()
     low = F.lower("text")
-    found = F.filter(F.array(*(F.when(low.contains(a), F.lit(c)) for a, c in pairs)), lambda x: x.isNotNull()) if pairs else F.array().cast("array<string>")
-    anywhere = texts.select(key, found.alias("cs")).select(key, F.explode("cs").alias("company"))
+    if n <= FEW_ALIASES:
+        pairs = [(r.alias, r.company) for r in long.select("alias", "company").collect()]
+        found = F.filter(F.array(*(F.when(low.contains(a), F.lit(c)) for a, c in pairs)), lambda x: x.isNotNull()) if pairs else F.array().cast("array<string>")
+        anywhere = texts.select(key, found.alias("cs")).select(key, F.explode("cs").alias("company"))
+    else:
+        heads = written(long.select(F.substring("alias", 1, k).alias("head"), "alias", "company"), "aliases")
+        runs = F.when(F.length("low") >= k, F.transform(F.sequence(F.lit(1), F.length("low") - (k - 1)), lambda i: F.substring(F.col("low"), i, F.lit(k))))
+        lowered = texts.select(key, low.alias("low"))
+        near = lowered.select(key, F.explode(F.array_distinct(runs)).alias("head")).hint("merge").join(heads, "head").select(key, "alias", "company")
+        anywhere = written(near, "near").hint("merge").join(lowered, key).where(F.contains("low", "alias")).select(key, "company")
     return by_word.unionByName(anywhere).distinct()
 
 

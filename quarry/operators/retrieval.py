@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators.ranking import top_k
+from quarry.operators.ranking import TIE, top_k
 from quarry.session import scratch_path, written
 
 K1, B = 1.2, 0.75
@@ -284,7 +284,7 @@ def lexical_rerank(hits: DataFrame, k: int = 10) -> DataFrame:
     """0.85 overlap + 0.15 prior, ties by the former rank. ``hits`` has query_tokens, text_tokens."""
     over = T.overlap(F.col("query_tokens"), F.col("text_tokens"))
     prior = F.least(F.lit(1.0), F.when(F.col("score") <= 1.0, F.col("score")).otherwise(F.col("score") / 10.0))
-    rows = hits.withColumn("rerank_score", F.round(F.least(F.lit(1.0), over * 0.85 + prior * 0.15), 4))
+    rows = hits.withColumn("rerank_score", F.round(F.least(F.lit(1.0), over * 0.85 + prior * 0.15) + TIE, 4))
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
     return rows.withColumn("new_rank", F.row_number().over(order).cast("long")).where(F.col("new_rank") <= k)
 

@@ -60,7 +60,7 @@ b AS (SELECT query_id, doc_id, score, rank, 'bm25' AS m FROM hits UNION ALL SELE
 f AS (SELECT d, query_id, doc_id, round(sum(CASE m WHEN 'dense' THEN 1.0 ELSE 1.1 END / (60 + rank)), 6) AS score, min(CASE m WHEN 'dense' THEN 0 ELSE 100000 END + rank) AS seen FROM b JOIN (VALUES (10), (20)) t(d) ON rank <= d GROUP BY 1, 2, 3),
 g AS (SELECT *, row_number() OVER (PARTITION BY d, query_id ORDER BY score DESC, seen) AS rank FROM f), pool AS (SELECT * FROM g WHERE d = 20 AND rank <= 20),
 t AS (SELECT pool.query_id, pool.doc_id, rank, score, list_distinct({WORDS.replace("text", "d.text")}) AS dw, list_distinct({WORDS.replace("text", "q.text")}) AS qw FROM pool JOIN documents d USING (doc_id) JOIN questions q ON q.query_id = pool.query_id),
-rr AS (SELECT query_id, doc_id, rank, round(least(1.0, CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, dw)) / len(qw) ELSE 0.0 END * 0.85 + least(1.0, score) * 0.15), 4) AS rerank_score FROM t)
+rr AS (SELECT query_id, doc_id, rank, round(least(1.0, CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, dw)) / len(qw) ELSE 0.0 END * 0.85 + least(1.0, score) * 0.15) + 1e-9, 4) AS rerank_score FROM t)
 SELECT m AS mode, query_id, rank, doc_id, score FROM b WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, rank, doc_id, score FROM g WHERE d = 10 AND rank <= 10
 UNION ALL SELECT * FROM (SELECT 'hybrid_rerank', query_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rank, doc_id, rerank_score FROM rr) WHERE rank <= 10""")
 def txt10_retrieval_modes(spark, sf_dir):

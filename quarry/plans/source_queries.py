@@ -83,11 +83,11 @@ def src12_kpi_rows(spark, sf_dir):
     return S.kpi_rejects(rows).groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH r AS (SELECT source AS report, doc_id, text FROM documents), p AS (SELECT 'r' || doc_id AS report_id, unnest([substr(text, 1, 300), ' ', substr(text, 301, 300)]) AS text, unnest([1, 2, 3]) AS no FROM r WHERE text IS NOT NULL)
+@query("""WITH r AS (SELECT source AS report, doc_id, text FROM documents), p AS (SELECT 'r' || doc_id AS report_id, unnest([substr(text, 1, 300), ' ', substr(text, 301)]) AS text, unnest([1, 2, 3]) AS no FROM r WHERE text IS NOT NULL)
 SELECT report_id, report_id || '/page_' || lpad(CAST(no AS VARCHAR), 4, '0') AS page_id, md5(trim(text)) AS text_md5 FROM p WHERE trim(text) <> ''""")
 def src13_page_corpus(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null")
-    reports = d.select(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("report_id"), F.concat_ws(S.PAGE_SPLIT, F.substring("text", 1, 300), F.lit(" "), F.substring("text", 301, 300)).alias("mmd_text"))
+    reports = d.select(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("report_id"), F.concat_ws(S.PAGE_SPLIT, F.substring("text", 1, 300), F.lit(" "), F.expr("substring(text, 301)")).alias("mmd_text"))
     pages, _ = S.page_corpus(reports.unionByName(reports))
     return pages.select("report_id", "page_id", F.md5("text").alias("text_md5"))
 
@@ -181,9 +181,9 @@ def src28_candidate_cache(spark, sf_dir):
     return rows.select("query_id", "mode", "n", (F.col("n") == F.col("d")).alias("unique_chunks"), F.sha2(F.array_join(F.transform("c", lambda x: x["chunk_id"].cast("string")), "\n"), 256).alias("order_sha256"))
 
 
-@query("SELECT r.id AS doc_id, coalesce(CASE WHEN d.n_chars > 1000 THEN 'ready' WHEN d.doc_id IS NOT NULL THEN 'pending' END, 'missing') AS status FROM (SELECT event_id AS id FROM events WHERE event_id % 5 = 0) r LEFT JOIN documents d ON d.doc_id = r.id")
+@query("SELECT r.id AS doc_id, coalesce(CASE WHEN d.n_chars > 1000 THEN 'ready' WHEN d.doc_id IS NOT NULL THEN 'pending' END, 'missing') AS status FROM (SELECT event_id AS id FROM events) r LEFT JOIN documents d ON d.doc_id = r.id")
 def src29_index_status(spark, sf_dir):
-    asked = table(spark, sf_dir, "events").where("event_id % 5 = 0").select(F.col("event_id").alias("doc_id"))
+    asked = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"))
     known = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") > 1000, "ready").otherwise("pending").alias("status"))
     return asked.hint("merge").join(known, "doc_id", "left").select("doc_id", F.coalesce("status", F.lit("missing")).alias("status"))
 

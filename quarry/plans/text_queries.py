@@ -20,11 +20,11 @@ def docs(spark, sf_dir):
 
 
 def questions(spark, sf_dir):
-    """Benchmark passages cut to their first eight words."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
+    """Benchmark passages, whole."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-QUESTIONS = "questions AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS text FROM benchmark)"
+QUESTIONS = "questions AS (SELECT item_id AS query_id, text FROM benchmark)"
 
 
 @query(f"SELECT doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_distinct, md5(array_to_string(list_sort(list_distinct(w)), ' ')) AS tokens_md5 FROM (SELECT doc_id, {WORDS} AS w FROM documents)")
@@ -102,7 +102,7 @@ def txt04_lexical_search(spark, sf_dir):
 
 
 @query(BM25 + f""", t AS (SELECT h.*, list_distinct({WORDS.replace("text", "d.text")}) AS dw, list_distinct({WORDS.replace("text", "q.text")}) AS qw FROM hits h JOIN documents d USING (doc_id) JOIN questions q USING (query_id)),
-s AS (SELECT query_id, doc_id, rank, round(least(1.0, CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, dw)) / len(qw) ELSE 0.0 END * 0.85 + least(1.0, CASE WHEN score <= 1 THEN score ELSE score / 10.0 END) * 0.15), 4) AS rerank_score FROM t)
+s AS (SELECT query_id, doc_id, rank, round(least(1.0, CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, dw)) / len(qw) ELSE 0.0 END * 0.85 + least(1.0, CASE WHEN score <= 1 THEN score ELSE score / 10.0 END) * 0.15) + 1e-9, 4) AS rerank_score FROM t)
 SELECT query_id, doc_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS new_rank FROM s""")
 def txt11_lexical_rerank(spark, sf_dir):
     hits = R.bm25(questions(spark, sf_dir), docs(spark, sf_dir))

@@ -68,6 +68,16 @@ def test_titles_match_by_whole_words_inside(spark):
     assert {(r.company, r.ticker) for r in resolve_tickers(companies, curated, directory).collect()} == {("Acme", "AAA"), ("Initech", None), ("co", None)}
 
 
+def test_many_aliases_give_the_same_mentions(spark, monkeypatch):
+    from quarry.operators import entities
+
+    texts = spark.createDataFrame([(1, "The Acme Group and 苹果公司 met"), (2, "acmegroup; acme group, ibm"), (3, None), (4, "ibmx")], "doc_id long, text string")
+    aliases = spark.createDataFrame([("acme group", "Acme"), ("苹果", "Apple"), ("ibm", "IBM"), ("ibmx corp", "X")], "alias string, company string")
+    few = sorted(map(tuple, entities.mentions(texts, aliases).collect()))
+    monkeypatch.setattr(entities, "FEW_ALIASES", 0)
+    assert sorted(map(tuple, entities.mentions(texts, aliases).collect())) == few == [(1, "Acme"), (1, "Apple"), (2, "Acme"), (2, "IBM")]
+
+
 def test_containment_of_short_passages(spark):
     texts = spark.createDataFrame([(1, "one two three four five six seven"), (2, "xone twox"), (3, "a b"), (4, "ne two three f"), (5, "")], "doc_id long, body string")
     passages = spark.createDataFrame([(1, "one two three four five six"), (2, "ne two"), (3, "two three four"), (4, "b"), (5, "e two three f")], "query_id long, passage string")
