@@ -395,7 +395,10 @@ def str02_delivery(spark, sf_dir):
     return delivery_replay(e.select(F.concat_ws("-", F.lit("m"), (F.floor(F.col("event_id") / 6)).cast("string")).alias("message_id"), kind.alias("action"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at")))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT event_id // 8 AS thread_id, event_id AS seq, event_id % 3 AS expected, row_number() OVER (PARTITION BY event_id // 8 ORDER BY event_id) AS i FROM events),
+r AS (SELECT thread_id, seq, expected, i, expected = 0 AS accepted, CASE WHEN expected = 0 THEN 1 ELSE 0 END AS revision FROM w WHERE i = 1
+  UNION ALL SELECT w.thread_id, w.seq, w.expected, w.i, w.expected = r.revision, r.revision + CASE WHEN w.expected = r.revision THEN 1 ELSE 0 END FROM r JOIN w ON w.thread_id = r.thread_id AND w.i = r.i + 1)
+SELECT thread_id, seq, expected, accepted FROM r""")
 def str07_revisions(spark, sf_dir):
     from quarry.streaming.delivery import checked_revisions
 
@@ -416,3 +419,14 @@ def txt07_hash_embedding(spark, sf_dir):
     from quarry.functions.embedding import embedder
 
     return table(spark, sf_dir, "documents").select("doc_id", embedder()("text").alias("embedding"))
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{4e00}-\\x{9fff}]+')) AS token FROM documents), h AS (SELECT doc_id, sha256(token) AS h FROM t),
+b AS (SELECT doc_id, i.range AS p, sum(16 * (strpos('0123456789abcdef', substr(h, CAST(i.range * 2 + 1 AS BIGINT), 1)) - 1) + strpos('0123456789abcdef', substr(h, CAST(i.range * 2 + 2 AS BIGINT), 1)) - 1) AS s, count(*) AS n FROM h, range(32) i GROUP BY 1, 2),
+v AS (SELECT doc_id, k.range AS place, (CAST(s AS DOUBLE) / 255 - 0.5 * n) * (1 + (k.range % 7) * 0.05::DOUBLE) AS v FROM b, range(384) k WHERE k.range % 32 = p), n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM v GROUP BY 1)
+SELECT d.doc_id, k.range AS place, coalesce(round(v / norm, 6), 0.0) AS value FROM documents d CROSS JOIN range(384) k LEFT JOIN v ON v.doc_id = d.doc_id AND v.place = k.range LEFT JOIN n ON n.doc_id = d.doc_id""")
+def txt07_embedding_places(spark, sf_dir):
+    from quarry.functions.embedding import embedder
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(embedder(element="double")(F.coalesce("text", F.lit("")))).alias("place", "value"))
+    return rows.select("doc_id", F.col("place").cast("long").alias("place"), "value")

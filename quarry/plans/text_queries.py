@@ -214,7 +214,14 @@ def txt22_injection_scan(spark, sf_dir):
     return rows.select("conv_id", "turn", F.explode(found).alias("finding"))
 
 
-@query()
+def _redacted_sql() -> str:
+    sql = "coalesce(text, '')"
+    for _, _, pattern in T.INJECTIONS:
+        sql = f"regexp_replace({sql}, '{pattern}', '{T.REDACTED}', 'g')"
+    return sql
+
+
+@query(f"SELECT conv_id, turn, md5({_redacted_sql()}) AS text_md5 FROM conversations")
 def txt22_injection_redaction(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return rows.select("conv_id", "turn", F.md5(T.redacted(F.coalesce("text", F.lit("")))).alias("text_md5"))
@@ -289,7 +296,8 @@ def src07_html_text(spark, sf_dir):
     return rows.select("page_id", F.length("text").alias("n_chars"), F.size("tables").alias("n_tables"), F.md5("text").alias("text_md5"))
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), s AS (SELECT doc_id, list_filter(list_transform(ls, lambda x, i: trim(CASE WHEN i > 1 THEN '## ' ELSE '' END || x || CASE WHEN i < len(ls) THEN chr(10) ELSE '' END)), lambda x: length(x) > 0) AS ss FROM l)
+SELECT doc_id, CAST(unnest(range(len(ss))) AS INT) AS page, md5(unnest(ss)) AS section_md5 FROM s""")
 def src05_markdown_sections(spark, sf_dir):
     heads = F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n## ")
     return docs(spark, sf_dir).select("doc_id", F.posexplode(C.split_markdown(heads)).alias("page", "section")).select("doc_id", "page", F.md5("section").alias("section_md5"))
