@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import re
 import sys
 from collections.abc import Callable, Iterable, Iterator
@@ -12,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import scratch_path, shared_dir, table, written, written_with  # noqa: F401
@@ -59,6 +60,13 @@ def released(*modules: str) -> Callable:
     return around
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let the shuffle files of finished jobs go now. Spark drops them when the driver's heap is
+    collected, which may not happen before the next job has written as much again."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, end to end, and the offsets of its values (null: empty)."""
     data = column.fill_null("").cast(pa.large_string())

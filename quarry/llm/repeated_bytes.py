@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SLICE_BYTES, byte_view, mix64, only, released, run_starts, slices, table, written
+from quarry.llm.common import SLICE_BYTES, byte_view, forget_shuffles, mix64, only, released, run_starts, slices, table, written
 from quarry.llm.shingles import _BASE, _INVERSE, _SYMBOLS, _power
 
 LENGTH = 100
@@ -372,7 +372,9 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     """(doc, tie, a, b): byte ranges whose every string of LENGTH bytes starts earlier as well."""
     n = _partitions(docs.sparkSession)
     chosen = written(repeated_anchors(anchor_rows(docs.select("doc_id", "text"))), "anchors")
+    forget_shuffles(docs.sparkSession)
     suffixes = written(compare_suffixes(contexts(docs, chosen), n), "suffixes")
+    forget_shuffles(docs.sparkSession)
     inner = suffixes.where("bucket is null").select("doc", "tie", "a", "b")
     return inner.unionByName(compare_boundaries(suffixes.where("bucket is not null"), n))
 
