@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat_rotation
+from quarry.llm import chat_rotation, conversation_trie, fill_in_middle
 from quarry.llm.chat_rotation import op7_chat_rotation
+from quarry.llm.conversation_trie import op11_conversation_trie
 from quarry.llm.decontamination import op3_decontamination
+from quarry.llm.fill_in_middle import op13_fill_in_middle
 from quarry.llm.language_id import op6_language_id
+from quarry.llm.mixture import op12_mixture
 from quarry.llm.near_duplicates import op9_near_duplicates
 from quarry.llm.repeated_bytes import op1_repeated_bytes
 from quarry.llm.sentence_pieces import op10_sentence_pieces
@@ -25,8 +28,11 @@ _QUERIES = [
     op8_toxicity,
     op9_near_duplicates,
     op10_sentence_pieces,
+    op11_conversation_trie,
+    op12_mixture,
+    op13_fill_in_middle,
 ]
-_SQL = {"op7_chat_rotation": chat_rotation.SQL}
+_SQL = {"op7_chat_rotation": chat_rotation.SQL, "op11_conversation_trie": conversation_trie.SQL, "op13_fill_in_middle": fill_in_middle.SQL}
 
 
 def queries():
