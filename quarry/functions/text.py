@@ -67,6 +67,8 @@ METRIC_ALIASES = (
 )
 METRIC_WORDS = ("revenue", "ebitda", "margin", "operating_margin", "r_and_d", "研发", "收入", "利润率", "net_income", "gross_margin", "eps", "debt", "capex")
 RISK_WORDS = ("risk", "supply", "supply_chain", "风险", "供应链")
+RERANK_METRIC_WORDS = ("revenue", "ebitda", "margin", "operating_margin", "r_and_d", "研发", "收入", "gpu", "利润率")
+RERANK_RISK_WORDS = ("risk", "supply", "supply_chain", "风险", "供应链", "capex")
 
 
 def any_of(text: Column, words) -> Column:
@@ -99,14 +101,59 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(latin_tokens(text), cjk_tokens(text)))
 
 
+GROUP_OF = {m: g for g, group in enumerate(SYNONYMS) for m in group}
+# what a token that is in no group may be of a group's members: a part of two characters or more
+PARTS = tuple(sorted({m[i:j] for m in group for i in range(len(m)) for j in range(i + 2, len(m) + 1)} - GROUP_OF.keys()) for group in SYNONYMS)
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with the value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def synonym_groups(found: Column) -> Column:
+    """The numbers of the groups that a set of tokens touches. A token in a group touches that group
+    alone; another one all groups with a member that holds it (from two characters) or lies in it."""
+    either = "|".join
+    lies_in = sorted(set().union(*PARTS))
+    likely = F.filter(found, lambda t: t.isin(*lies_in) | t.rlike(either(GROUP_OF)))
+
+    def touches(g: int):
+        whole, part = f"^(?:{either([*SYNONYMS[g], *PARTS[g]])})$", f"^(?!(?:{either(GROUP_OF)})$).*(?:{either(SYNONYMS[g])})"
+        return lambda t: t.rlike(f"{whole}|{part}")
+
+    return _bound(likely, lambda near: F.filter(F.array(*(F.when(F.exists(near, touches(g)), F.lit(g)) for g in range(len(SYNONYMS)))), lambda g: g.isNotNull()))
+
+
+def _members() -> Column:
+    return F.array(*(F.array(*map(F.lit, group)) for group in SYNONYMS))
+
+
 def expand_synonyms(found: Column) -> Column:
-    """Tokens with the whole group of each token that is in one, or that holds or lies in a member."""
-    extra = []
-    for group in SYNONYMS:
-        members = F.array(*(F.lit(m) for m in group))
-        touches = F.exists(found, lambda t: F.array_contains(members, t) | F.exists(members, lambda m: ((F.length(t) > 1) & m.contains(t)) | t.contains(m)))
-        extra.append(F.when(touches, members).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.concat(found, *extra))
+    """Tokens with all members of the groups that they touch."""
+    return F.array_distinct(F.concat(found, F.flatten(F.transform(synonym_groups(found), lambda g: _members()[g]))))
+
+
+def closed_tokens(text: Column) -> Column:
+    return _bound(tokens(text), expand_synonyms)
+
+
+def closed_terms(text: Column) -> Column:
+    """``closed_tokens`` in short: tokens that are in no group, and one term ``#g`` for each group."""
+    return _bound(
+        tokens(text), lambda found: F.concat(F.array_except(found, F.array(*map(F.lit, GROUP_OF))), F.transform(synonym_groups(found), lambda g: F.concat(F.lit("#"), g.cast("string"))))
+    )
+
+
+def term_weight(term: Column) -> Column:
+    """How many tokens a term of ``closed_terms`` stands for."""
+    sizes = F.array(*(F.lit(len(group)) for group in SYNONYMS))
+    return F.when(term.startswith("#"), F.get(sizes, F.try_to_number(F.substring(term, 2, 2), F.lit("99")).cast("int"))).otherwise(1)
+
+
+def holds(closed: Column, words) -> Column:
+    """Whether closed tokens have one of the words."""
+    return F.arrays_overlap(closed, F.array(*map(F.lit, words)))
 
 
 def overlap(query_tokens: Column, text_tokens: Column) -> Column:

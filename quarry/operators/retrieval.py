@@ -6,10 +6,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.impacts import candidates
 from quarry.operators.ranking import TIE, top_k
 from quarry.session import scratch_path, written
 
@@ -30,121 +31,210 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.latin_tokens(F.coalesce("text", F.lit("")), phrases=False))).alias("term"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
+def scoped(rows: DataFrame, scopes: DataFrame | None, on: str, key: str) -> DataFrame:
+    """``rows`` with their ``scope``: one for all, or each of theirs in ``scopes`` (key, scope)."""
+    if scopes is None:
+        return rows.withColumn("scope", F.lit(0).cast("long"))
+    return rows.hint("merge").join(scopes.select(F.col(key).alias(on), "scope").distinct(), on)
+
+
+def found_in(terms: DataFrame, postings: DataFrame, k: int, scopes: bool, **pruning) -> DataFrame:
+    """``candidates``; a query with several scopes is searched in each by itself, and a document found
+    in more than one has its best score."""
+    if not scopes:
+        return candidates(terms, postings, k, **pruning)
+    found = candidates(terms.withColumn("query_id", F.struct("query_id", "scope")), postings, k, **pruning)
+    return found.groupBy(F.col("query_id.query_id").alias("query_id"), "key").agg(F.max("score").alias("score"))
+
+
+def wanted_terms(terms: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (term, ...) whose term is one of ``terms``, or null. The terms are broadcast if there are
+    at most BROADCAST_ROWS of them, so that nothing else leaves the tasks."""
+    wanted = written(terms.select("term", F.lit(True).alias("wanted")).distinct(), "terms")
+    met = rows.join(F.broadcast(wanted), "term", "left") if wanted.count() <= BROADCAST_ROWS else rows.hint("merge").join(wanted, "term", "left")
+    return met.where(F.col("term").isNull() | F.col("wanted")).drop("wanted")
+
+
+Scopes = tuple[DataFrame, DataFrame]
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, key: str = "doc_id", scopes: Scopes | None = None, own_statistics: bool = False, **pruning) -> DataFrame:
     """(query_id, key, score, rank): the k best documents of each query. idf is
     ln(1 + (N - df + 0.5) / (df + 0.5)); documents of no terms count for N and the mean length.
 
     Texts are read once: each gives its occurrences of the queries' terms and, with a null term, its
-    length. The terms are broadcast if there are at most BROADCAST_ROWS of them, so that nothing else
-    leaves the tasks; more of them meet the counted terms in a shuffle."""
+    length. Terms and postings meet only where ``scopes``, two tables (query_id, scope) and (key,
+    scope), give them a scope in common, before anything is ranked; N, df and the mean length are
+    the corpus's, or with ``own_statistics`` the scope's. Frequent terms are pruned (``impacts``)."""
     terms = written(query_terms(queries), "query-terms")
-    wanted = written(terms.select("term", F.lit(True).alias("wanted")).distinct(), "terms")
     words = T.latin_tokens(F.coalesce("text", F.lit("")), phrases=False)
     rows = docs.select(key, words.alias("words")).select(key, F.size("words").cast("long").alias("dl"), F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term"))
-    counted = lambda rows: rows.groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
-    kept = (F.col("term").isNull()) | F.col("wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        post = counted(rows.join(F.broadcast(wanted), "term", "left").where(kept))
+    post = written(wanted_terms(terms, rows).groupBy("term", key, "dl").agg(F.count("*").alias("tf")), "postings")
+    mine, lengths = post.where("term is not null"), post.where("term is null")
+    if scopes is not None:
+        terms = written(scoped(terms, scopes[0], "query_id", "query_id"), "scoped-terms")
+        owned = written(scopes[1].select(key, "scope").distinct(), "scopes")
+        inside = written(mine.hint("merge").join(owned, key), "scoped-postings")
     else:
-        post = counted(rows).hint("merge").join(wanted, "term", "left").where(kept).drop("wanted")
-    post = written(post, "postings")
-    n, total = post.where("term is null").agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf"))).first()
-    mean = (total / n if n else 0) or 1.0
-    mine = post.where("term is not null")
-    df = mine.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.log(1 + (F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean))))
-    scored = (
-        mine.hint("merge")
-        .join(written(df.hint("merge").join(terms, "term"), "weighed-terms"), "term")
-        .groupBy("query_id", key)
-        .agg(F.round(F.sum(part), 4).alias("score"))
-    )
+        terms, inside = scoped(terms, None, "query_id", "query_id"), scoped(mine, None, key, key)
+    if own_statistics and scopes is not None:
+        shape = lengths.hint("merge").join(owned, key).groupBy("scope").agg(F.sum("tf").cast("double").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("mean"))
+        df = inside.groupBy("scope", "term").agg(F.count("*").alias("df")).hint("merge").join(written(shape, "scope-shapes"), "scope")
+        inside = inside.hint("merge").join(written(df, "scope-df"), ["scope", "term"])
+    else:
+        n, total = lengths.agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf"))).first()
+        df = written(mine.groupBy("term").agg(F.count("*").alias("df")), "df")
+        inside = inside.hint("merge").join(df, "term").withColumns({"n": F.lit(float(n or 0)), "mean": F.lit(float(total / n if n else 0))})
+    mean = F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
+    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    impact = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
+    scored = found_in(terms.withColumn("weight", F.lit(1.0)), inside.select("scope", "term", F.col(key).alias("key"), impact.alias("impact")), k, scopes is not None, **pruning)
+    scored = scored.select("query_id", F.col("key").alias(key), F.round("score", 4).alias("score"))
     return top_k(scored, k, tie=key).withColumnRenamed("top_rank", "rank")
 
 
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096, scopes: Scopes | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank) for (query_id, embedding) against (vec_id, embedding).
 
-    Both sides are packed in blocks, the queries' in files of the shared folder. A task holds one block
-    of the vectors that it reads anyway and takes the query blocks one by one; each pair of blocks is
-    one matrix product, of which only the k best a query are shuffled. Vectors don't leave their task.
-    A null, empty or zero vector matches nothing."""
+    Both sides are packed in blocks of one scope, the queries' in files of the shared folder. A task
+    holds one block of the vectors that it reads anyway and takes its scope's query blocks one by one;
+    each pair of blocks is one matrix product, of which only the k best a query are shuffled. Vectors
+    don't leave their task, unless ``scopes``, tables (query_id, scope) and (vec_id, scope), give them
+    their scopes; a query meets no vector outside of its own. A null, empty or zero vector matches nothing."""
 
     def packed(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, block):
                 part = batch.slice(i, block)
-                rows = [(key, v) for key, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if v and None not in v and any(v)]
-                for width in sorted({len(v) for _, v in rows}):
-                    same = [(key, v) for key, v in rows if len(v) == width]
+                rows = [(scope, len(v), key, v) for key, v, scope in zip(*(c.to_pylist() for c in part.columns)) if v and None not in v and any(v)]
+                for kind in sorted({r[:2] for r in rows}):
+                    same = [r[2:] for r in rows if r[:2] == kind]
                     m = np.array([v for _, v in same], np.float64)
-                    yield np.array([key for key, _ in same], np.int64), m / np.linalg.norm(m, axis=1, keepdims=True)
+                    yield kind, np.array([key for key, _ in same], np.int64), m / np.linalg.norm(m, axis=1, keepdims=True)
 
     def pack(batches):
-        for q, m in packed(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([m.shape[1]], pa.int32()), pa.array([q.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["width", "q", "q_m"])
+        for (scope, width), q, m in packed(batches):
+            columns = [pa.array([scope], pa.int64()), pa.array([width], pa.int32()), pa.array([q.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["scope", "width", "q", "q_m"])
+
+    def dealt(rows: DataFrame, key: str, side: int) -> DataFrame:
+        """(key, embedding, scope number), scopes together."""
+        if scopes is None:
+            return rows.select(key, "embedding", F.lit(0).cast("long").alias("scope"))
+        own = scopes[side].select(key, F.xxhash64("scope").alias("scope")).distinct()
+        return rows.select(key, "embedding").hint("merge").join(own, key).select(key, "embedding", "scope").sortWithinPartitions("scope")
 
     path = scratch_path(queries.sparkSession, "query-blocks")
-    queries.select("query_id", "embedding").mapInArrow(pack, "width int, q binary, q_m binary").write.parquet(path)
+    dealt(queries, "query_id", 0).mapInArrow(pack, "scope long, width int, q binary, q_m binary").write.parquet(path)
 
     def multiply(batches):
         store, folder = pafs.FileSystem.from_uri(path)
         files = sorted(f.path for f in store.get_file_info(pafs.FileSelector(folder)) if f.path.endswith(".parquet"))
-        for v, m in packed(batches):
+        for (scope, width), v, m in packed(batches):
             for file in files:
                 with store.open_input_file(file) as source:
-                    for one in pq.ParquetFile(source).iter_batches(batch_size=1):
-                        for width, q, q_m in zip(*(c.to_pylist() for c in one.columns)):
-                            if width != m.shape[1]:
+                    blocks = pq.ParquetFile(source)
+                    kinds = blocks.read(columns=["scope", "width"]).to_pylist() if blocks.metadata.num_rows else []
+                    if {"scope": scope, "width": width} not in kinds:
+                        continue
+                    for one in blocks.iter_batches(batch_size=1):
+                        for q_scope, q_width, q, q_m in zip(*(c.to_pylist() for c in one.columns)):
+                            if (q_scope, q_width) != (scope, width):
                                 continue
                             q = np.frombuffer(q, np.int64)
                             s = np.round(np.frombuffer(q_m).reshape(len(q), -1) @ m.T, 4)
                             order = np.lexsort((np.broadcast_to(v, s.shape), -s), axis=1)[:, :k]
                             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, order.shape[1])), pa.array(v[order].ravel()), pa.array(np.take_along_axis(s, order, axis=1).ravel())], names=["query_id", "vec_id", "score"])
 
-    best = vectors.select("vec_id", "embedding").mapInArrow(multiply, "query_id long, vec_id long, score double")
+    best = dealt(vectors, "vec_id", 1).mapInArrow(multiply, "query_id long, vec_id long, score double")
+    if scopes is not None:  # a query and a vector may share several scopes
+        best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return top_k(best, k, tie="vec_id").withColumnRenamed("top_rank", "rank")
 
 
-def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score): share of the query's tokens in a chunk, with a bonus where its
-    type answers the query. Candidates come from shared tokens, never from all pairs."""
-    q = queries.select("query_id", T.tokens(F.col("text")).alias("query_tokens"))
-    wants_metric = F.exists("query_tokens", lambda t: t.isin("revenue", "ebitda", "margin", "operating_margin", "r_and_d", "net_income", "gross_margin", "eps", "debt", "capex"))
-    wants_risk = F.exists("query_tokens", lambda t: t.isin("risk", "supply", "supply_chain"))
-    q = q.select("query_id", F.size("query_tokens").alias("n"), wants_metric.alias("m"), wants_risk.alias("r"), F.explode("query_tokens").alias("token"))
-    c = chunks.select("chunk_id", T.chunk_type(F.col("text")).alias("chunk_type"), T.tokens(F.col("text")).alias("tokens")).select("chunk_id", "chunk_type", F.explode("tokens").alias("token"))
-    shared = q.hint("merge").join(c, "token").groupBy("query_id", "chunk_id", "n", "m", "r", "chunk_type").agg(F.count("*").alias("common"))
-    bonus = F.when((F.col("chunk_type") == "financial_metric") & F.col("m"), 0.15).when((F.col("chunk_type") == "risk_signal") & F.col("r"), 0.15).otherwise(0.0)
-    return shared.select("query_id", "chunk_id", F.round(F.least(F.lit(1.0), F.col("common") / F.col("n") + bonus), 4).alias("score"))
+def closed_queries(queries: DataFrame) -> DataFrame:
+    """(query_id, query_text, n, m, r, numeric, term, weight) of queries (query_id, text): a row for each
+    term of the closed tokens (``text.closed_terms``), n tokens in all; whether they ask for a metric
+    or a risk, and whether the text asks for a number."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    q = written(queries.select("query_id", low.alias("query_text"), T.closed_tokens(F.col("text")).alias("closed"), T.closed_terms(F.col("text")).alias("terms"), T.any_of(low, T.NUMERIC_HINTS).alias("numeric")), "closed-queries")
+    q = q.select("query_id", "query_text", F.size("closed").alias("n"), T.holds(F.col("closed"), T.METRIC_WORDS).alias("m"), T.holds(F.col("closed"), T.RISK_WORDS).alias("r"), "numeric", F.explode_outer("terms").alias("term"))
+    return q.withColumn("weight", T.term_weight(F.col("term")))
 
 
-FACT = "struct<metric:string,value:string,scope:string,row_label:string,source:string>"
+def closed_postings(terms: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
+    """(chunk_id, chunk_type, columns, term): the closed terms of chunks (chunk_id, text) that queries have."""
+    c = chunks.select("chunk_id", T.chunk_type(F.coalesce("text", F.lit(""))).alias("chunk_type"), *columns, F.explode(T.closed_terms(F.col("text"))).alias("term"))
+    return wanted_terms(terms.where("term is not null"), c)
+
+
+def _type_bonus() -> Column:
+    return F.when((F.col("chunk_type") == "financial_metric") & F.col("m"), 0.15).when((F.col("chunk_type") == "risk_signal") & F.col("r"), 0.15).otherwise(0.0)
+
+
+def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score): share of the query's tokens in a chunk, both closed under synonyms,
+    with a bonus where its type answers the query. Candidates come from shared tokens, never from all pairs."""
+    q = written(closed_queries(queries), "query-terms")
+    shared = q.hint("merge").join(closed_postings(q, chunks), "term").groupBy("query_id", "chunk_id", "n", "m", "r", "chunk_type").agg(F.sum("weight").alias("common"))
+    return shared.select("query_id", "chunk_id", F.round(F.least(F.lit(1.0), F.col("common") / F.col("n") + _type_bonus()), 4).alias("score"))
+
+
+def lexical_search(queries: DataFrame, chunks: DataFrame, k: int = 10, scopes: Scopes | None = None, **pruning) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k best chunks by ``lexical_scores``, those of a query's
+    scopes only (tables (query_id, scope) and (chunk_id, scope)), without scoring all that share a
+    frequent token."""
+    q = written(closed_queries(queries), "query-terms")
+    post = written(closed_postings(q, chunks), "closed-postings")
+    terms = q.where("term is not null").select("query_id", "term", (F.col("weight") / F.col("n")).alias("weight"))
+    inside = scoped(post, scopes and scopes[1], "chunk_id", "chunk_id").select("scope", "term", F.col("chunk_id").alias("key"), F.lit(1.0).alias("impact"))
+    found = found_in(scoped(terms, scopes and scopes[0], "query_id", "query_id"), inside, k, scopes is not None, more=0.15, most=1.0, **pruning)
+    kinds = written(found, "lexical-pairs").withColumnRenamed("key", "chunk_id").hint("merge").join(post.select("chunk_id", "chunk_type").distinct(), "chunk_id")
+    rows = kinds.hint("merge").join(q.select("query_id", "m", "r").distinct(), "query_id")
+    scores = rows.select("query_id", "chunk_id", F.round(F.least(F.lit(1.0), F.col("score") + _type_bonus()), 4).alias("score"))
+    return top_k(scores, k, tie="chunk_id").withColumnRenamed("top_rank", "rank")
+
+
+FACT = "struct<metric:string,value:string,scope:string,row_label:string,source:string,alias:string>"
+
+
+def asked_metrics(queries: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(query_id, metric) where a query's lower-case text names a metric: by its aliases, or else by its
+    name. Names are looked for at their first four characters, by equal keys."""
+    known = F.filter(F.array(*(F.when(T.asks_for(F.col("query_text"), F.lit(name)), F.lit(name)) for name, _ in T.METRIC_ALIASES)), lambda m: m.isNotNull())
+    by_alias = queries.select("query_id", F.explode(known).alias("metric"))
+    names = metrics.where(~F.col("metric").isin(*(name for name, _ in T.METRIC_ALIASES))).withColumn("name", F.replace("metric", F.lit("_"), F.lit(" ")))
+    names = names.withColumn("start", F.substring("name", 1, 4))
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("query_text")))
+    starts = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, range(1, 5))), lambda size: F.transform(at, lambda i: F.substring(F.col("query_text"), i, size)))))
+    by_name = queries.select("query_id", "query_text", F.explode(starts).alias("start")).hint("merge").join(names, "start").where(F.contains("query_text", "name"))
+    return by_alias.unionByName(by_name.select("query_id", "metric")).distinct()
 
 
 def keyword_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score): ``lexical_scores`` for chunks (chunk_id, text, fact FACT) that may
     carry a financial fact. Where a numeric query asks for the fact's metric, the score is lifted to a
-    floor and rewarded for a value, its scope, a total and a table; where it asks for another, it is
-    cut. Candidates share a token or the metric asked for; a chunk with neither scores at most 0.15
-    by its type alone and is left out. The text isn't carried: tokens, facts and ids move."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    has = lambda words: F.exists("query_tokens", lambda t: t.isin(*words))
-    q = queries.select("query_id", "text", T.tokens(F.col("text")).alias("query_tokens"), T.any_of(low, T.NUMERIC_HINTS).alias("numeric"))
-    q = q.select("query_id", "query_tokens", "numeric", F.size("query_tokens").alias("n"), has(T.METRIC_WORDS).alias("m"), has(T.RISK_WORDS).alias("r"), F.lower(F.coalesce("text", F.lit(""))).alias("query_text"))
-    c = written(chunks.select("chunk_id", T.chunk_type(F.coalesce("text", F.lit(""))).alias("chunk_type"), F.col("fact").cast(FACT).alias("fact"), T.tokens(F.col("text")).alias("tokens")), "chunk-tokens")
-    token = q.select("query_id", F.explode("query_tokens").alias("token")).hint("merge").join(c.select("chunk_id", F.explode("tokens").alias("token")), "token")
-    metrics = written(c.where("fact.metric <> ''").select(F.col("fact.metric").alias("metric")).distinct(), "metrics")
-    asked = q.where("numeric").select("query_id", "query_text").join(metrics, T.asks_for(F.col("query_text"), F.col("metric"))).select("query_id", "metric")  # a few dozen metrics
-    by_fact = written(asked, "asked").hint("merge").join(c.where("fact.metric <> ''").select("chunk_id", F.col("fact.metric").alias("metric")), "metric")
-    common = token.select("query_id", "chunk_id", F.lit(1).alias("one")).unionByName(by_fact.select("query_id", "chunk_id", F.lit(0).alias("one"))).groupBy("query_id", "chunk_id").agg(F.sum("one").alias("common"))
-    rows = written(common, "candidates").hint("merge").join(c.drop("tokens"), "chunk_id").hint("merge").join(q.drop("query_tokens"), "query_id")
-    metric = F.coalesce("fact.metric", F.lit(""))
-    over = F.col("common") / F.col("n") + F.when((F.col("chunk_type") == "financial_metric") & F.col("m"), 0.15).otherwise(0.0)
+    floor and rewarded for a value, its scope, a total (in its row's label, or else its alias) and a
+    table; where it asks for another, it is cut. Candidates share a token or the metric asked for; a
+    chunk with neither scores at most 0.15 by its type alone and is left out. The text isn't carried:
+    tokens, facts and ids move."""
+    q = written(closed_queries(queries), "query-terms")
+    had = chunks.select("fact.*").columns
+    fact = F.when(F.col("fact").isNotNull(), F.struct(*((F.col(f"fact.{c}") if c in had else F.lit(None)).cast("string").alias(c) for c in ("metric", "value", "scope", "row_label", "source", "alias")))).cast(FACT)
+    c = written(chunks.select("chunk_id", "text", T.chunk_type(F.coalesce("text", F.lit(""))).alias("chunk_type"), fact.alias("fact")).drop("text"), "chunk-facts")
+    token = q.select("query_id", "term", "weight").hint("merge").join(closed_postings(q, chunks), "term").select("query_id", "chunk_id", F.col("weight").alias("one"))
+    heads = written(q.select("query_id", "query_text", "n", "m", "r", "numeric").distinct(), "query-heads")
+    with_fact = c.where("fact.metric <> ''").select("chunk_id", F.col("fact.metric").alias("metric"))
+    asked = written(asked_metrics(heads.where("numeric"), with_fact.select("metric").distinct()), "asked")
+    by_fact = asked.hint("merge").join(with_fact, "metric").select("query_id", "chunk_id", F.lit(0).alias("one"))
+    common = written(token.unionByName(by_fact).groupBy("query_id", "chunk_id").agg(F.sum("one").alias("common")), "candidates")
+    rows = common.hint("merge").join(c, "chunk_id").hint("merge").join(heads, "query_id").withColumn("metric", F.col("fact.metric"))
+    rows = rows.hint("merge").join(asked.withColumn("right", F.lit(True)), ["query_id", "metric"], "left")
+    over = F.when(F.col("n") > 0, F.col("common") / F.col("n")).otherwise(0.0) + F.when((F.col("chunk_type") == "financial_metric") & F.col("m"), 0.15).otherwise(0.0)
     scope = F.when(F.lower("fact.scope") == "consolidated", 0.22).when(F.lower("fact.scope") == "segment", 0.02).otherwise(0.0)
-    reward = 0.4 + F.when(F.coalesce("fact.value", F.lit("")) != "", 0.1).otherwise(0.0) + scope + F.when(F.lower("fact.row_label").contains("total"), 0.08).otherwise(0.0) + F.when(F.col("fact.source") == "html_table", 0.05).otherwise(0.0)
-    financial = F.when(~F.col("numeric") | (metric == ""), over).when(T.asks_for(F.col("query_text"), metric), F.greatest(over, F.lit(0.55)) + reward).otherwise(over * 0.35)
+    label = F.lower(F.coalesce(F.nullif(F.col("fact.row_label"), F.lit("")), F.col("fact.alias"), F.lit("")))
+    reward = 0.4 + F.when(F.coalesce("fact.value", F.lit("")) != "", 0.1).otherwise(0.0) + scope + F.when(label.contains("total"), 0.08).otherwise(0.0) + F.when(F.col("fact.source") == "html_table", 0.05).otherwise(0.0)
+    financial = F.when(~F.col("numeric") | (F.coalesce("metric", F.lit("")) == ""), over).when(F.col("right"), F.greatest(over, F.lit(0.55)) + reward).otherwise(over * 0.35)
     total = financial + F.when((F.col("chunk_type") == "risk_signal") & F.col("r"), 0.15).otherwise(0.0)
     return rows.where((F.col("common") > 0) | F.col("fact").isNotNull()).select("query_id", "chunk_id", F.round(F.least(F.lit(1.0), total), 4).alias("score")).where("score > 0")
 
@@ -152,27 +242,27 @@ def keyword_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 MODES = ("bm25", "dense", "hybrid", "hybrid_rerank")
 
 
-def retrieve(modes, queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 10, candidates: int = 30, weights: dict[str, float] | None = None, in_scope: DataFrame | None = None) -> DataFrame:
+def retrieve(modes, queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 10, candidates: int = 30, weights: dict[str, float] | None = None, in_scope: DataFrame | None = None, scopes: Scopes | None = None) -> DataFrame:
     """(mode, query_id, rank, doc_id, score) of each of MODES that is asked for, for queries (query_id,
     text, embedding), docs (doc_id, text) and vectors (doc_id, embedding). Both channels are searched
     once, as deep as the deepest mode needs; hybrid lists are fused by reciprocal rank, one channel
-    stands for both where the other is empty, and reranking is by overlap. ``in_scope`` (query_id,
-    doc_id) narrows each query to its own documents, its company's for instance; without it the whole
-    corpus is searched."""
+    stands for both where the other is empty, and reranking is by overlap. ``scopes``, two tables
+    (query_id, scope) and (doc_id, scope), narrow each query to the documents of its scopes, its
+    company's for instance, before anything is ranked; ``in_scope`` (query_id, doc_id) names them one
+    by one. Without either the whole corpus is searched."""
     from quarry.operators.ranking import fuse
 
     if unknown := set(modes) - set(MODES):
         raise ValueError(f"no such mode: {sorted(unknown)}")
     deep = max(k, candidates) if "hybrid_rerank" in modes else k
-    depth = deep if in_scope is None else docs.count()
+    if in_scope is not None:
+        scopes = (queries.select("query_id", F.col("query_id").alias("scope")), in_scope.select("doc_id", F.col("query_id").alias("scope")))
     found = {}
     if set(modes) - {"dense"}:
-        found["bm25"] = bm25(queries, docs, depth)
+        found["bm25"] = bm25(queries, docs, deep, scopes=scopes)
     if set(modes) - {"bm25"}:
-        found["dense"] = cosine_top_k(queries.select("query_id", "embedding"), vectors.select(F.col("doc_id").alias("vec_id"), "embedding"), depth).withColumnRenamed("vec_id", "doc_id")
-    if in_scope is not None:
-        own = in_scope.select("query_id", "doc_id").distinct()
-        found = {m: top_k(d.drop("rank").hint("merge").join(own, ["query_id", "doc_id"]), deep, tie="doc_id").withColumnRenamed("top_rank", "rank") for m, d in found.items()}
+        named = scopes and (scopes[0], scopes[1].withColumnRenamed("doc_id", "vec_id"))
+        found["dense"] = cosine_top_k(queries.select("query_id", "embedding"), vectors.select(F.col("doc_id").alias("vec_id"), "embedding"), deep, scopes=named).withColumnRenamed("vec_id", "doc_id")
     found = {m: written(d.select("query_id", "rank", "doc_id", "score"), m) for m, d in found.items()}
     out = [found[m].where(F.col("rank") <= k).withColumn("mode", F.lit(m)) for m in modes if m in found]
     for mode in (m for m in modes if m.startswith("hybrid")):
@@ -181,8 +271,8 @@ def retrieve(modes, queries: DataFrame, docs: DataFrame, vectors: DataFrame, k:
         fused = fuse(both.withColumnRenamed("doc_id", "chunk_id"), weights).where(F.col("rank") <= d).select("query_id", "rank", F.col("chunk_id").alias("doc_id"), F.col("fusion_score").alias("score"))
         if mode == "hybrid_rerank":
             pool = written(fused, "pool")
-            words = docs.hint("merge").join(pool.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", T.tokens(F.col("text")).alias("text_tokens"))
-            rows = pool.hint("merge").join(words, "doc_id").hint("merge").join(queries.select("query_id", T.tokens(F.col("text")).alias("query_tokens")), "query_id")
+            words = docs.hint("merge").join(pool.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", T.tokens(F.col("text")).alias("text_tokens"), T.chunk_type(F.coalesce("text", F.lit(""))).alias("chunk_type"))
+            rows = pool.withColumn("retrieval_method", F.lit("hybrid_rrf")).hint("merge").join(words, "doc_id").hint("merge").join(queries.select("query_id", T.tokens(F.col("text")).alias("query_tokens")), "query_id")
             fused = lexical_rerank(rows, k).select("query_id", F.col("new_rank").alias("rank"), "doc_id", F.col("rerank_score").alias("score"))
         out.append(fused.withColumn("mode", F.lit(mode)))
     columns = ("mode", "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
@@ -236,16 +326,21 @@ def rerank_faults(final: DataFrame, pool: DataFrame, k: int) -> DataFrame:
 
 def paragraph_search(queries: DataFrame, docs: DataFrame, k: int = 5, snippet: int = 400) -> DataFrame:
     """(query_id, doc_id, paragraph, score, snippet, rank): the k paragraphs with the largest share of a
-    query's tokens, by tokens shared. Only the paragraphs that are shown are fetched again."""
+    query's tokens; one that the query, trimmed, stands in has all of 1.0. The queries' tokens are
+    broadcast if they are few, so other tokens stay in their tasks, and only the paragraphs that are
+    shown are fetched again."""
     from quarry.operators.chunking import paragraphs
 
     parts = docs.select("doc_id", F.posexplode(paragraphs(F.coalesce("text", F.lit("")))).alias("paragraph", "body"))
-    q = queries.select("query_id", T.tokens(F.col("text")).alias("t")).select("query_id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    p = parts.select("doc_id", "paragraph", F.explode(T.tokens(F.col("body"))).alias("token"))
-    scored = q.hint("merge").join(p, "token").groupBy("query_id", "n", "doc_id", "paragraph").agg(F.count("*").alias("common"))
+    q = written(queries.select("query_id", T.tokens(F.col("text")).alias("t")).select("query_id", F.size("t").alias("n"), F.explode("t").alias("term")), "query-tokens")
+    p = wanted_terms(q, parts.select("doc_id", "paragraph", F.explode(T.tokens(F.col("body"))).alias("term")))
+    scored = q.hint("merge").join(p, "term").groupBy("query_id", "n", "doc_id", "paragraph").agg(F.count("*").alias("common"))
+    bodies = parts.select(F.struct("doc_id", "paragraph").alias("doc_id"), "body")
+    inside = containing(queries.select("query_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "").alias("passage")), bodies).select("query_id", "doc_id.doc_id", "doc_id.paragraph", F.lit(1.0).alias("score"))
+    shares = scored.select("query_id", "doc_id", "paragraph", F.round(F.col("common") / F.col("n"), 4).alias("score"))
+    best = shares.unionByName(inside).groupBy("query_id", "doc_id", "paragraph").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "paragraph")
-    best = scored.select("query_id", "doc_id", "paragraph", F.round(F.col("common") / F.col("n"), 4).alias("score")).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
-    best = written(best, "best-paragraphs")
+    best = written(best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k), "best-paragraphs")
     return best.hint("merge").join(parts, ["doc_id", "paragraph"]).select("query_id", "doc_id", "paragraph", "score", F.substring("body", 1, snippet).alias("snippet"), "rank")
 
 
@@ -281,10 +376,21 @@ def containing(passages: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def lexical_rerank(hits: DataFrame, k: int = 10) -> DataFrame:
-    """0.85 overlap + 0.15 prior, ties by the former rank. ``hits`` has query_tokens, text_tokens."""
-    over = T.overlap(F.col("query_tokens"), F.col("text_tokens"))
+    """0.85 overlap + 0.15 prior, ties by the former rank. ``hits`` has query_tokens and text_tokens, both
+    closed under synonyms here; where it has chunk_type, 0.12 is added to the overlap of a metric or risk
+    chunk that the query asks for, and where it has retrieval_method, 0.03 for a fused one. A query
+    of no tokens scores 0."""
+    q, t = T._bound(F.col("query_tokens"), T.expand_synonyms), T._bound(F.col("text_tokens"), T.expand_synonyms)
+    rows = hits.withColumns({"_q": q, "_t": t})
+    over = T.overlap(F.col("_q"), F.col("_t"))
+    if "chunk_type" in hits.columns:
+        kind = F.coalesce("chunk_type", F.lit("narrative"))
+        over = over + F.when((kind == "financial_metric") & T.holds(F.col("_q"), T.RERANK_METRIC_WORDS), 0.12).when((kind == "risk_signal") & T.holds(F.col("_q"), T.RERANK_RISK_WORDS), 0.12).otherwise(0.0)
+    if "retrieval_method" in hits.columns:
+        over = over + F.when(F.coalesce("retrieval_method", F.lit("")).contains("rrf"), 0.03).otherwise(0.0)
     prior = F.least(F.lit(1.0), F.when(F.col("score") <= 1.0, F.col("score")).otherwise(F.col("score") / 10.0))
-    rows = hits.withColumn("rerank_score", F.round(F.least(F.lit(1.0), over * 0.85 + prior * 0.15) + TIE, 4))
+    score = F.when(F.size("_q") > 0, F.least(F.lit(1.0), over * 0.85 + prior * 0.15)).otherwise(0.0)
+    rows = rows.withColumn("rerank_score", F.round(score + TIE, 4)).drop("_q", "_t")
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
     return rows.withColumn("new_rank", F.row_number().over(order).cast("long")).where(F.col("new_rank") <= k)
 

@@ -12,6 +12,7 @@ from quarry.operators.chunking import paginate
 from quarry.plans.ranking_queries import CASES, _cases
 from quarry.plans.registry import query
 from quarry.plans.standins import CALLS, FACTS, HITS, QRELS, calls, facts, hits, qrels
+from quarry.plans.text_queries import SYN, closed_sql
 from quarry.session import table
 
 ALIASES = (("idiot", "Acme"), ("license", "License Co"), ("licensed under", "License Co"), ("the", "The Group"), ("which", "Which"), ("ntion", "Part"))
@@ -54,6 +55,15 @@ def jon12_synonyms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(T.expand_synonyms(F.array_distinct(F.concat(F.array(F.lit("risk")), long)))).cast("long").alias("n_tokens"))
 
 
+@query(f"""WITH {SYN}, t AS (SELECT item_id, text || CASE item_id % 4 WHEN 0 THEN ' operating_margin' WHEN 1 THEN ' salesforce' WHEN 2 THEN ' profit' ELSE '' END AS text FROM benchmark), {closed_sql("c", "t", "item_id")}
+SELECT id AS item_id, len(w) AS n_tokens, md5(array_to_string(list_sort(w), ' ')) AS tokens_md5 FROM c""")
+def jon12_closed_tokens(spark, sf_dir):
+    """All tokens of a passage, closed; words with a direct hit, with a member inside and inside a member."""
+    tail = F.when(F.col("item_id") % 4 == 0, " operating_margin").when(F.col("item_id") % 4 == 1, " salesforce").when(F.col("item_id") % 4 == 2, " profit").otherwise("")
+    closed = table(spark, sf_dir, "benchmark").select("item_id", T.closed_tokens(F.concat("text", tail)).alias("w"))
+    return closed.select("item_id", F.size("w").cast("long").alias("n_tokens"), F.md5(F.array_join(F.array_sort("w"), " ")).alias("tokens_md5"))
+
+
 @query("SELECT count(*) AS n_shared, count(*) = 0 AS disjoint FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F') a JOIN (SELECT DISTINCT c_custkey AS o_custkey FROM customer WHERE c_acctbal < -900) b USING (o_custkey)")
 def jon15_disjointness(spark, sf_dir):
     a = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_custkey").distinct()

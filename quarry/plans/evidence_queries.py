@@ -10,7 +10,7 @@ from quarry.operators import periods as P
 from quarry.operators import retrieval as R
 from quarry.plans.registry import query
 from quarry.plans.standins import FACTS, HITS, facts, hits
-from quarry.plans.text_queries import BM25, QUESTIONS, WORDS, docs, questions
+from quarry.plans.text_queries import BM25, QUESTIONS, SYN, WORDS, closed_sql, docs, questions
 from quarry.session import table
 
 # Parts stand for chunks with facts, and one question a part type for queries.
@@ -43,13 +43,14 @@ def _asked(spark, sf_dir):
     return types.select("query_id", F.concat(lead, F.lower("p_type")).alias("text"))
 
 
-@query(f"""WITH {CHUNKS}, {ASKED}, q AS (SELECT query_id, query_id % 4 AS m, list_distinct({WORDS}) AS w FROM asked), c AS (SELECT *, list_distinct(regexp_extract_all(replace(text, 'supply chain', 'supply_chain'), '[a-z0-9_]+')) AS cw, CASE WHEN contains(text, 'supply chain risk') THEN 'risk_signal' WHEN contains(text, 'revenue and margin') THEN 'financial_metric' ELSE 'narrative' END AS kind FROM chunks),
-p AS (SELECT query_id, m, chunk_id, kind, metric, value, scope, row_label, source, len(list_intersect(w, cw)) AS common, len(list_intersect(w, cw)) / len(w) AS o, m IN (0, 1, 2) AS numeric,
-  CASE WHEN m = 0 THEN metric = 'revenue' WHEN m = 1 THEN metric = 'debt' WHEN m = 2 THEN metric = 'free_cash' ELSE false END AS right_one FROM q, c),
-r AS (SELECT *, o + CASE WHEN kind = 'financial_metric' AND m IN (1, 2) THEN 0.15 ELSE 0.0 END AS x, CASE WHEN kind = 'risk_signal' AND m = 1 THEN 0.15 ELSE 0.0 END AS y,
+@query(f"""WITH {CHUNKS}, {ASKED}, {SYN}, c_ AS (SELECT chunk_id, replace(text, 'supply chain', 'supply_chain') AS text FROM chunks), {closed_sql("qs", "asked", "query_id")}, {closed_sql("cs", "c_", "chunk_id")},
+q AS (SELECT id AS query_id, id % 4 AS m, w FROM qs), c AS (SELECT chunks.*, w AS cw, CASE WHEN contains(text, 'supply chain risk') THEN 'risk_signal' WHEN contains(text, 'revenue and margin') THEN 'financial_metric' ELSE 'narrative' END AS kind FROM chunks JOIN cs ON cs.id = chunk_id),
+p AS (SELECT query_id, m, chunk_id, kind, metric, value, scope, row_label, source, len(list_intersect(w, cw)) AS common, len(list_intersect(w, cw)) / len(w) AS o, list_has_any(w, {list(T.METRIC_WORDS)}) AS metric_asked, list_has_any(w, {list(T.RISK_WORDS)}) AS risk_asked,
+  coalesce(CASE WHEN m = 0 THEN metric = 'revenue' WHEN m = 1 THEN metric = 'debt' WHEN m = 2 THEN metric = 'free_cash' ELSE false END, false) AS right_one FROM q, c),
+r AS (SELECT *, o + CASE WHEN kind = 'financial_metric' AND metric_asked THEN 0.15 ELSE 0.0 END AS x, CASE WHEN kind = 'risk_signal' AND risk_asked THEN 0.15 ELSE 0.0 END AS y,
   0.4 + CASE WHEN value <> '' THEN 0.1 ELSE 0.0 END + CASE lower(scope) WHEN 'consolidated' THEN 0.22 WHEN 'segment' THEN 0.02 ELSE 0.0 END + CASE WHEN contains(lower(row_label), 'total') THEN 0.08 ELSE 0.0 END + CASE WHEN source = 'html_table' THEN 0.05 ELSE 0.0 END AS reward
   FROM p WHERE common > 0 OR right_one)
-SELECT query_id, chunk_id, round(least(1.0, CASE WHEN m = 0 AND NOT numeric OR m = 3 OR metric IS NULL THEN x WHEN m = 0 AND metric IS NULL THEN x WHEN right_one THEN greatest(x, 0.55) + reward ELSE x * 0.35 END + y), 4) AS score FROM r""")
+SELECT query_id, chunk_id, round(least(1.0, CASE WHEN m = 3 OR metric IS NULL THEN x WHEN right_one THEN greatest(x, 0.55) + reward ELSE x * 0.35 END + y), 4) AS score FROM r""")
 def txt03_keyword_score(spark, sf_dir):
     return R.keyword_scores(_asked(spark, sf_dir), _chunks(spark, sf_dir))
 
@@ -59,8 +60,9 @@ dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 b AS (SELECT query_id, doc_id, score, rank, 'bm25' AS m FROM hits UNION ALL SELECT query_id, doc_id, score, rank, 'dense' FROM dense),
 f AS (SELECT d, query_id, doc_id, round(sum(CASE m WHEN 'dense' THEN 1.0 ELSE 1.1 END / (60 + rank)), 6) AS score, min(CASE m WHEN 'dense' THEN 0 ELSE 100000 END + rank) AS seen FROM b JOIN (VALUES (10), (20)) t(d) ON rank <= d GROUP BY 1, 2, 3),
 g AS (SELECT *, row_number() OVER (PARTITION BY d, query_id ORDER BY score DESC, seen) AS rank FROM f), pool AS (SELECT * FROM g WHERE d = 20 AND rank <= 20),
-t AS (SELECT pool.query_id, pool.doc_id, rank, score, list_distinct({WORDS.replace("text", "d.text")}) AS dw, list_distinct({WORDS.replace("text", "q.text")}) AS qw FROM pool JOIN documents d USING (doc_id) JOIN questions q ON q.query_id = pool.query_id),
-rr AS (SELECT query_id, doc_id, rank, round(least(1.0, CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, dw)) / len(qw) ELSE 0.0 END * 0.85 + least(1.0, score) * 0.15) + 1e-9, 4) AS rerank_score FROM t)
+{SYN}, pd AS (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM pool)), {closed_sql("qs", "questions", "query_id")}, {closed_sql("pds", "pd", "doc_id")},
+t AS (SELECT pool.query_id, pool.doc_id, rank, score, pds.w AS dw, qs.w AS qw FROM pool JOIN pds ON pds.id = pool.doc_id JOIN qs ON qs.id = pool.query_id),
+rr AS (SELECT query_id, doc_id, rank, round(least(1.0, (len(list_intersect(qw, dw)) / len(qw) + 0.03) * 0.85 + least(1.0, score) * 0.15) + 1e-9, 4) AS rerank_score FROM t)
 SELECT m AS mode, query_id, rank, doc_id, score FROM b WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, rank, doc_id, score FROM g WHERE d = 10 AND rank <= 10
 UNION ALL SELECT * FROM (SELECT 'hybrid_rerank', query_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rank, doc_id, rerank_score FROM rr) WHERE rank <= 10""")
 def txt10_retrieval_modes(spark, sf_dir):
@@ -70,6 +72,25 @@ def txt10_retrieval_modes(spark, sf_dir):
     return R.retrieve(R.MODES, q, docs(spark, sf_dir), v, 10, 20, {"dense": 1.0, "bm25": 1.1})
 
 
+@query(f"""WITH {QUESTIONS}, sc AS (SELECT doc_id, source AS scope FROM documents UNION SELECT doc_id, 'lang-' || lang FROM documents), qsc AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'lang-fr' ELSE 'src' || item_id % 20 END AS scope FROM benchmark),
+lengths AS (SELECT doc_id, {WORDS} AS w FROM documents), stats AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS mean FROM lengths),
+post AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM lengths) GROUP BY 1, 2, 3),
+terms AS (SELECT query_id, unnest(list_distinct({WORDS})) AS term FROM questions), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1), own AS (SELECT query_id, doc_id FROM qsc JOIN sc USING (scope)),
+b AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 4) AS score FROM own JOIN terms USING (query_id) JOIN post USING (term, doc_id) JOIN df USING (term), stats GROUP BY 1, 2),
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT query_id, doc_id, round(list_cosine_similarity(q.e, x.e), 4) AS score FROM own JOIN v q ON q.vec_id = query_id JOIN v x ON x.vec_id = doc_id),
+r AS (SELECT 'bm25' AS mode, query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b JOIN (SELECT vec_id AS query_id FROM v) USING (query_id) UNION ALL SELECT 'dense', query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) FROM d),
+f AS (SELECT query_id, doc_id, round(sum(CASE mode WHEN 'dense' THEN 1.0 ELSE 1.1 END / (60 + rank)), 6) AS score, min(CASE mode WHEN 'dense' THEN 0 ELSE 100000 END + rank) AS seen FROM r WHERE rank <= 10 GROUP BY 1, 2)
+SELECT mode, query_id, rank, doc_id, score FROM r WHERE rank <= 10 UNION ALL SELECT * FROM (SELECT 'hybrid', query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS rank, doc_id, score FROM f) WHERE rank <= 10""")
+def txt10_scoped_modes(spark, sf_dir):
+    """Sources and languages stand for companies; a question is asked of one of them."""
+    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    own = d.select("doc_id", F.explode(F.array("source", F.concat(F.lit("lang-"), "lang"))).alias("scope"))
+    asked = b.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, "lang-fr").otherwise(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))).alias("scope"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = questions(spark, sf_dir).hint("merge").join(v.withColumnRenamed("doc_id", "query_id"), "query_id")
+    return R.retrieve(("bm25", "dense", "hybrid"), q, docs(spark, sf_dir), v, 10, scopes=(asked, own))
+
+
 @query(f"""WITH {HITS}, h AS (SELECT query_id, CASE WHEN rank = 7 AND query_id % 3 = 0 THEN NULL ELSE chunk_id END AS chunk_id, doc, CASE WHEN rank = 9 AND query_id % 7 = 0 THEN 'other' ELSE 'c' || query_id END AS company, mode FROM hits WHERE rank <= CASE WHEN query_id % 11 = 0 THEN 12 ELSE 10 END AND mode = 'bm25' AND query_id % 13 <> 0),
 g AS (SELECT s_suppkey AS query_id, count(h.query_id) AS n, count(CASE WHEN h.query_id IS NOT NULL AND chunk_id IS NULL THEN 1 END) AS blank, count(CASE WHEN h.query_id IS NOT NULL AND CAST(substr(doc, 2) AS INT) % 50 = 1 THEN 1 END) AS outside, count(CASE WHEN company = 'other' THEN 1 END) AS foreign_ FROM supplier LEFT JOIN h ON h.query_id = s_suppkey GROUP BY 1)
 SELECT query_id, CASE WHEN n = 0 THEN 'no_candidates' WHEN n > 10 THEN 'too_many' WHEN blank > 0 THEN 'missing_or_duplicate_chunk' WHEN outside > 0 THEN 'outside_corpus' WHEN foreign_ > 0 THEN 'cross_company' ELSE 'ok' END AS reason FROM g""")

@@ -24,6 +24,17 @@ def questions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+SYN = "syn(member, g) AS (VALUES " + ", ".join(f"('{m}', {g})" for m, g in T.GROUP_OF.items()) + ")"
+
+
+def closed_sql(name: str, source: str, key: str) -> str:
+    """Statement parts that make ``name`` (id, w): the tokens of ``source``, closed under synonyms."""
+    members = ", ".join(f"'{m}'" for m in T.GROUP_OF)
+    return f"""{name}_t AS (SELECT DISTINCT {key} AS id, unnest({WORDS}) AS token FROM {source}),
+{name}_g AS (SELECT DISTINCT token, g FROM (SELECT DISTINCT token FROM {name}_t), syn WHERE token = member OR (NOT list_contains([{members}], token) AND length(token) > 1 AND (contains(token, member) OR contains(member, token)))),
+{name} AS (SELECT id, list(DISTINCT token) AS w FROM (SELECT id, token FROM {name}_t UNION SELECT id, member FROM {name}_t JOIN {name}_g USING (token) JOIN syn USING (g)) GROUP BY id)"""
+
+
 QUESTIONS = "questions AS (SELECT item_id AS query_id, text FROM benchmark)"
 
 
@@ -90,33 +101,39 @@ def txt06_dense(spark, sf_dir):
 
 
 @query(f"""
-WITH {QUESTIONS}, {CTX_PAGES}, q AS (SELECT query_id, list_distinct({WORDS}) AS w FROM questions), qt AS (SELECT query_id, len(w) AS n, unnest(w) AS token FROM q),
-ct AS (SELECT doc_id || ':p' || page AS chunk_id, unnest(list_distinct({WORDS})) AS token FROM pages_),
+WITH {QUESTIONS}, {CTX_PAGES}, {SYN}, c_ AS (SELECT doc_id || ':p' || page AS chunk_id, text FROM pages_), {closed_sql("qs", "questions", "query_id")}, {closed_sql("cs", "c_", "chunk_id")},
+qt AS (SELECT id AS query_id, len(w) AS n, unnest(w) AS token FROM qs), ct AS (SELECT id AS chunk_id, unnest(w) AS token FROM cs),
 s AS (SELECT query_id, chunk_id, round(least(1.0, count(*) / max(n)), 4) AS score FROM qt JOIN ct USING (token) GROUP BY 1, 2)
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
 def txt04_lexical_search(spark, sf_dir):
-    from quarry.operators.ranking import top_k
-
     pages = C.paginate(docs(spark, sf_dir)).select(F.format_string("%d:p%d", "doc_id", "page").alias("chunk_id"), "text")
-    return top_k(R.lexical_scores(questions(spark, sf_dir), pages), 10).withColumnRenamed("top_rank", "rank")
+    return R.lexical_search(questions(spark, sf_dir), pages)
+
 
+RERANKED = f"""
+{SYN}, hd AS (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM hits)), {closed_sql("qs", "questions", "query_id")}, {closed_sql("ds", "hd", "doc_id")}"""
 
-@query(BM25 + f""", t AS (SELECT h.*, list_distinct({WORDS.replace("text", "d.text")}) AS dw, list_distinct({WORDS.replace("text", "q.text")}) AS qw FROM hits h JOIN documents d USING (doc_id) JOIN questions q USING (query_id)),
-s AS (SELECT query_id, doc_id, rank, round(least(1.0, CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, dw)) / len(qw) ELSE 0.0 END * 0.85 + least(1.0, CASE WHEN score <= 1 THEN score ELSE score / 10.0 END) * 0.15) + 1e-9, 4) AS rerank_score FROM t)
+
+@query(BM25 + f""", {RERANKED},
+t AS (SELECT h.*, ds.w AS dw, qs.w AS qw, CASE doc_id % 3 WHEN 0 THEN 'financial_metric' WHEN 1 THEN 'risk_signal' ELSE 'narrative' END AS kind, doc_id % 2 = 0 AS fused FROM hits h JOIN ds ON ds.id = doc_id JOIN qs ON qs.id = query_id),
+o AS (SELECT *, len(list_intersect(qw, dw)) / len(qw) + CASE WHEN kind = 'financial_metric' AND list_has_any(qw, {list(T.RERANK_METRIC_WORDS)}) OR kind = 'risk_signal' AND list_has_any(qw, {list(T.RERANK_RISK_WORDS)}) THEN 0.12 ELSE 0.0 END + CASE WHEN fused THEN 0.03 ELSE 0.0 END AS over_ FROM t),
+s AS (SELECT query_id, doc_id, rank, round(least(1.0, over_ * 0.85 + least(1.0, CASE WHEN score <= 1 THEN score ELSE score / 10.0 END) * 0.15) + 1e-9, 4) AS rerank_score FROM o)
 SELECT query_id, doc_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS new_rank FROM s""")
 def txt11_lexical_rerank(spark, sf_dir):
     hits = R.bm25(questions(spark, sf_dir), docs(spark, sf_dir))
+    kind = F.when(F.col("doc_id") % 3 == 0, "financial_metric").when(F.col("doc_id") % 3 == 1, "risk_signal").otherwise("narrative")
+    hits = hits.withColumns({"chunk_type": kind, "retrieval_method": F.when(F.col("doc_id") % 2 == 0, "hybrid_rrf").otherwise("bm25")})
     q = questions(spark, sf_dir).select("query_id", T.tokens(F.col("text")).alias("query_tokens"))
     d = docs(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("text_tokens"))
     rows = hits.hint("merge").join(d, "doc_id").hint("merge").join(q, "query_id")
     return R.lexical_rerank(rows).select("query_id", "doc_id", "rerank_score", "new_rank")
 
 
-@query(f"""WITH {QUESTIONS}, q AS (SELECT query_id, list_distinct({WORDS}) AS w FROM questions), g AS (SELECT q.query_id, b.text, q.w FROM q JOIN benchmark b ON b.item_id = q.query_id + 1)
-SELECT query_id, round(CASE WHEN len(w) > 0 THEN len(list_intersect(w, list_distinct({WORDS}))) / len(w) ELSE 0.0 END, 4) AS overlap FROM g""")
+@query(f"""WITH {QUESTIONS}, {SYN}, {closed_sql("qs", "questions", "query_id")}
+SELECT a.id AS query_id, round(len(list_intersect(a.w, b.w)) / len(a.w), 4) AS overlap FROM qs a JOIN qs b ON b.id = a.id + 1""")
 def txt02_overlap(spark, sf_dir):
-    other = table(spark, sf_dir, "benchmark").select((F.col("item_id") - 1).alias("query_id"), T.tokens(F.col("text")).alias("t"))
-    q = questions(spark, sf_dir).select("query_id", T.tokens(F.col("text")).alias("q"))
+    other = table(spark, sf_dir, "benchmark").select((F.col("item_id") - 1).alias("query_id"), T.closed_tokens(F.col("text")).alias("t"))
+    q = questions(spark, sf_dir).select("query_id", T.closed_tokens(F.col("text")).alias("q"))
     return q.hint("merge").join(other, "query_id").select("query_id", F.round(T.overlap(F.col("q"), F.col("t")), 4).alias("overlap"))
 
 
