@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.operators import number_spans as N
 from quarry.operators import tables as B
 from quarry.operators.chunking import parse_html
 from quarry.plans.registry import query
@@ -100,6 +101,41 @@ def clm05_text_match(spark, sf_dir):
     return B.match_in_text(claims, evidence)
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, 12 + (o_orderkey % 800) / 10.0::DOUBLE AS v FROM orders)
+SELECT CAST(k AS VARCHAR) AS claim_id, CASE WHEN k % 7 <> 2 THEN 'e' || k END AS evidence_id, k % 7 < 2 AS matched,
+  CASE k % 7 WHEN 2 THEN 'number_not_found' WHEN 3 THEN 'metric_label_mismatch' WHEN 4 THEN 'period_mismatch' WHEN 5 THEN 'unit_ambiguous' WHEN 6 THEN 'period_unknown' ELSE 'bound' END AS reason,
+  CASE WHEN k % 7 = 2 THEN NULL ELSE round(v, 1) END AS matched_value, CASE WHEN k % 7 = 1 THEN 'million_to_billion' END AS unit_conversion,
+  CASE WHEN k % 7 < 2 THEN 'high' WHEN k % 7 = 5 THEN 'low' ELSE 'none' END AS confidence FROM o""")
+def clm05_number_spans(spark, sf_dir):
+    """A claim on the revenue of each order, and a text on it with one fault, or none."""
+    k, v = F.col("o_orderkey"), F.format_number(F.lit(12) + (F.col("o_orderkey") % 800) / 10.0, 1)
+    millions = F.format_number((F.lit(120) + F.col("o_orderkey") % 800) * 100, 0)
+    say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    texts = [say("FY2001 net sales were $", v, " billion."), say("Revenue for FY2001 was ", millions, " million dollars."), say("FY2001 revenue was $99999 billion."), say("FY2001 headcount was worth $", v, " billion."), say("FY2000 revenue was $", v, " billion."), say("FY2001 revenue was ", v, "."), say("Revenue was $", v, " billion.")]
+    text = F.array(*texts)[(k % 7).cast("int")]
+    o = table(spark, sf_dir, "orders")
+    evidence = o.select(F.concat(F.lit("e"), k.cast("string")).alias("evidence_id"), k.alias("company"), text.alias("text"), F.lit(None).cast("string").alias("period"))
+    claims = o.select(k.alias("claim_id"), k.alias("company"), F.lit("revenue").alias("metric"), (F.lit(12) + (k % 800) / 10.0).alias("value"), F.lit("billion_usd").alias("unit"), F.lit("FY2001").alias("period"))
+    return N.match_numbers(claims, evidence).withColumn("matched_value", F.round("matched_value", 1)).drop("start")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k FROM orders)
+SELECT CAST(k AS VARCHAR) AS claim_id, CASE WHEN k % 5 <> 4 THEN 'e' || k END AS evidence_id, k % 5 = 0 AS matched,
+  CASE k % 5 WHEN 0 THEN 'formula_inputs_bound' WHEN 2 THEN 'formula_input_period_mismatch' WHEN 3 THEN 'metric_label_mismatch' ELSE 'formula_input_incomplete' END AS reason FROM o""")
+def clm05_formula_inputs(spark, sf_dir):
+    """A margin of each order from two amounts; a text has both, one, none, or one of another year or line."""
+    k = F.col("o_orderkey")
+    a, b = F.lit(20) + (k % 300) / 10.0, F.lit(60) + (k % 300) / 10.0
+    say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    first, second = F.format_number(a, 1), F.format_number(b, 1)
+    income = say("FY2001 operating income was $", first, " billion.")
+    texts = [say(income, " FY2001 revenue was $", second, " billion."), income, say(income, " FY2000 revenue was $", second, " billion."), say(income, F.lit(" " * 120), " FY2001 headcount was worth $", second, " billion."), F.lit("Nothing was said.")]
+    o = table(spark, sf_dir, "orders")
+    evidence = o.select(F.concat(F.lit("e"), k.cast("string")).alias("evidence_id"), k.alias("company"), F.array(*texts)[(k % 5).cast("int")].alias("text"), F.lit(None).cast("string").alias("period"))
+    claims = o.select(k.alias("claim_id"), k.alias("company"), F.create_map(F.lit("operating_income"), a, F.lit("revenue"), b).alias("inputs"), F.lit("FY2001").alias("period"))
+    return N.match_formulas(claims, evidence)
+
+
 @query("SELECT conv_id AS run_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS position, role AS step, CASE WHEN length(text) > 200 THEN 'ok' ELSE 'short' END AS status FROM conversations")
 def src23_run_steps(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
