@@ -72,20 +72,28 @@ def _match(status: str, matched: bool, source: str | None) -> Column:
     return F.struct(F.lit(status).alias("status"), F.lit(matched).alias("matched"), F.lit(source).cast("string").alias("source"))
 
 
+def _once(use, **columns: Column) -> Column:
+    """``use`` of a struct of the columns, each of which is evaluated, and planned, once."""
+    return F.transform(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))), use)[0]
+
+
 def match(claim: Column, evidence: Column, text: Column) -> Column:
     """struct(status, matched, source): a claim that names no period needs none; labels in the text
     decide before the evidence's own label, and one that conflicts is enough to refuse."""
-    mine, local = identity(claim), labels_in(text)
     own = F.when(~F.lower(F.trim(evidence)).isin(*TYPE_WORDS), F.nullif(F.trim(evidence), F.lit("")))
-    theirs = identity(own)
-    return (
-        F.when(claim.isNull() | (claim == "") | ((mine["kind"] == "unknown") & mine["year"].isNull()), _match("not_required", True, None))
-        .when(F.exists(local, lambda x: ~compatible(mine, x)), _match("mismatch", False, "text"))
-        .when(F.size(local) > 0, _match("text_match", True, "text"))
-        .when(own.isNull() | ((theirs["kind"] == "unknown") & theirs["year"].isNull()), _match("unknown", False, None))
-        .when(compatible(mine, theirs), _match("exact", True, "evidence.period"))
-        .otherwise(_match("mismatch", False, "evidence.period"))
-    )
+
+    def decide(x: Column) -> Column:
+        mine, local, theirs = x["mine"], x["local"], x["theirs"]
+        return (
+            F.when(x["claim"].isNull() | (x["claim"] == "") | ((mine["kind"] == "unknown") & mine["year"].isNull()), _match("not_required", True, None))
+            .when(F.exists(local, lambda y: ~compatible(mine, y)), _match("mismatch", False, "text"))
+            .when(F.size(local) > 0, _match("text_match", True, "text"))
+            .when(x["own"].isNull() | ((theirs["kind"] == "unknown") & theirs["year"].isNull()), _match("unknown", False, None))
+            .when(compatible(mine, theirs), _match("exact", True, "evidence.period"))
+            .otherwise(_match("mismatch", False, "evidence.period"))
+        )
+
+    return _once(decide, claim=claim, mine=identity(claim), local=labels_in(text), own=own, theirs=identity(own))
 
 
 _EDGE = re.compile(r"[\r\n;|]+|(?<=[.!?])\s+(?=[A-Z一-鿿])")
@@ -119,15 +127,19 @@ def nearest_labels(rows: DataFrame) -> DataFrame:
 def match_near(claim: Column, labels: Column, fallback: Column) -> Column:
     """struct(status, matched, source) of a claim against the labels nearest to its number, which must
     be one period and agree with the evidence's own; without any the evidence's own decides."""
-    found = F.array_distinct(F.transform(labels, identity))
-    chosen, mine, own = F.try_element_at(found, F.lit(1)), identity(claim), identity(fallback)
-    return (
-        F.when(F.coalesce(F.size(labels), F.lit(0)) == 0, match(claim, fallback, F.lit("")))
-        .when(F.size(found) > 1, _match("ambiguous", False, "text"))
-        .when((own["kind"] != "unknown") & ~compatible(chosen, own), _match("metadata_conflict", False, "text+evidence.period"))
-        .when(compatible(mine, chosen), _match("text_match", True, "text"))
-        .otherwise(_match("mismatch", False, "text"))
-    )
+
+    def decide(x: Column) -> Column:
+        chosen, own = F.try_element_at(x["found"], F.lit(1)), x["own"]
+        return (
+            F.when(F.size(x["found"]) == 0, x["alone"])
+            .when(F.size(x["found"]) > 1, _match("ambiguous", False, "text"))
+            .when((own["kind"] != "unknown") & ~compatible(chosen, own), _match("metadata_conflict", False, "text+evidence.period"))
+            .when(compatible(x["mine"], chosen), _match("text_match", True, "text"))
+            .otherwise(_match("mismatch", False, "text"))
+        )
+
+    found = F.array_distinct(F.transform(F.coalesce(labels, F.array().cast("array<string>")), identity))
+    return _once(decide, found=found, mine=identity(claim), own=identity(fallback), alone=match(claim, fallback, F.lit("")))
 
 
 def factual(period: Column, source: Column, alignment: Column) -> Column:
