@@ -157,14 +157,31 @@ def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return counts.withColumn("p_value", F.round(F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)), 4))
 
 
-def bootstrap_means(values: DataFrame, resamples: int, seed: int, *columns: str) -> DataFrame:
+BROADCAST_VALUES = 2_000_000  # rows of a position and a few numbers
+
+
+def bootstrap_means(values: DataFrame, resamples: int, seed: int, *columns: str, most: int = BROADCAST_VALUES) -> DataFrame:
     """(resample, mean of each column) of (position from 0, columns). Draw i of resample b is the
-    row whose position is a hash of (seed, b, i) modulo n, so any engine draws the same rows."""
+    row whose position is a hash of (seed, b, i) modulo n, so any engine draws the same rows.
+
+    Draws are made in blocks, a task each or a few. Up to ``most`` values are broadcast: a draw meets
+    its value where it is made, and what is shuffled are a block's partial sums, a row a resample.
+    More values meet the draws in a shuffle, counted before by resample and position."""
     n = values.count()
     spark = values.sparkSession
-    draws = spark.range(resamples).select(F.col("id").alias("resample")).select("resample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long"))).alias("i"))
+    block = max(1, min(n, 100_000))
+    blocks = -(-n // block) if n else 0
+    made = spark.range(0, resamples * blocks, 1, max(1, min(resamples * blocks, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    first = (F.col("id") % max(blocks, 1)) * block
+    draws = made.select(F.floor(F.col("id") / max(blocks, 1)).alias("resample"), F.explode(F.sequence(first, F.least(first + block, F.lit(n)) - 1)).alias("i"))
     slot = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), "resample", "i")), 1, 12), 16, 10).cast("long") % max(n, 1)
-    return draws.withColumn("position", slot).hint("shuffle_hash").join(values, "position").groupBy("resample").agg(*(F.avg(c).alias(c) for c in columns))
+    placed = draws.select("resample", slot.alias("position"))
+    own = values.select("position", *columns)
+    if n <= most:
+        return placed.join(F.broadcast(own), "position").groupBy("resample").agg(*(F.avg(c).alias(c) for c in columns))
+    counted = placed.groupBy("resample", "position").agg(F.count("*").alias("times")).hint("merge").join(own, "position")
+    mean = lambda c: F.sum(F.col(c) * F.col("times")) / F.sum(F.when(F.col(c).isNotNull(), F.col("times")))
+    return counted.groupBy("resample").agg(*(mean(c).alias(c) for c in columns))
 
 
 def percentile_bounds(means: DataFrame, column: str, low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import number_matches, numbers
+from quarry.operators.groups import ordered_digests
 
 # Fixed values of the behaviour that is matched.
 LEAKS = ("numeric_match", "unsupported_match", "retrieval_pool_miss", "ranking_top10_miss", "evidence_gap_unselected_chunk", "evidence_gap_number_absent", "generation_abstain", "generation_miss")
@@ -26,10 +27,8 @@ DIMENSIONS = (
 
 
 def exact_fingerprint(rows: DataFrame, column: str, *by: str) -> DataFrame:
-    """(by, n_ids, fingerprint): sha256 of the sorted distinct ids joined by newlines. The ids of a
-    group stand in one row, so this is for the splits of an evaluation; ``runs.ids_fingerprint`` has
-    two levels and serves sets of any size."""
-    return rows.groupBy(*by).agg(F.array_sort(F.collect_set(F.col(column).cast("string"))).alias("ids")).select(*by, F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", "\n"), 256).alias("fingerprint"))
+    """(by, n_ids, fingerprint): sha256 of the sorted distinct ids joined by newlines."""
+    return ordered_digests(rows, list(by), column)
 
 
 def split_manifest(cases: DataFrame) -> DataFrame:

@@ -256,8 +256,10 @@ def agg40_leak_classes(spark, sf_dir):
 @query("""WITH n AS (SELECT source, n_chars, greatest(1, ceil(n_chars / 900))::BIGINT AS chunks, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 64 AS batch FROM documents), b AS (SELECT source, batch, sum(chunks) AS chunks, sum(n_chars) AS chars, count(*) AS docs FROM n GROUP BY 1, 2)
 SELECT source, CAST(sum(docs) AS BIGINT) AS n_docs, CAST(sum(chunks) AS BIGINT) AS n_chunks, CAST(sum(chars) AS BIGINT) AS n_chars, CAST(sum(ceil(chunks / 10)) AS BIGINT) AS n_calls FROM b GROUP BY 1""")
 def agg41_indexing_plan(spark, sf_dir):
-    own = Window.partitionBy("source").orderBy("doc_id")
-    n = table(spark, sf_dir, "documents").select("source", "n_chars", F.greatest(F.lit(1), F.ceil(F.col("n_chars") / 900)).cast("long").alias("chunks"), F.floor((F.row_number().over(own) - 1) / 64).alias("batch"))
+    from quarry.operators.groups import ranked_in_groups
+
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", F.greatest(F.lit(1), F.ceil(F.col("n_chars") / 900)).cast("long").alias("chunks"))
+    n = ranked_in_groups(rows, ["source"], ["doc_id"]).withColumn("batch", F.floor(F.col("nth") / 64))
     b = n.groupBy("source", "batch").agg(F.sum("chunks").alias("chunks"), F.sum("n_chars").alias("chars"), F.count("*").alias("docs"))
     return b.groupBy("source").agg(F.sum("docs").alias("n_docs"), F.sum("chunks").alias("n_chunks"), F.sum("chars").alias("n_chars"), F.sum(F.ceil(F.col("chunks") / 10)).cast("long").alias("n_calls"))
 

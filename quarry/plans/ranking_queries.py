@@ -181,21 +181,19 @@ WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type
 SELECT event_type, max(CASE WHEN nth = greatest(1, CAST(ceil(0.9 * n) AS BIGINT)) THEN value END) AS nearest_rank, max(CASE WHEN nth = CAST(round_even(0.9 * (n - 1), 0) AS BIGINT) + 1 THEN value END) AS rounded_index
 FROM o GROUP BY 1""")
 def agg06_percentiles(spark, sf_dir):
-    """Both percentile definitions; positions by a window, so no group is held as an array."""
+    """Both percentile definitions; only the rows at the wanted places leave their range partitions."""
+    from quarry.operators.groups import values_at
     from quarry.session import table
 
-    own = Window.partitionBy("event_type")
-    rows = table(spark, sf_dir, "events").select("event_type", "value", F.row_number().over(own.orderBy("value", "event_id")).alias("nth"), F.count("*").over(own).alias("n"))
-    at = lambda place: F.max(F.when(F.col("nth") == place, F.col("value")))
-    return rows.groupBy("event_type").agg(
-        at(F.greatest(F.lit(1), F.ceil(0.9 * F.col("n")))).alias("nearest_rank"), at(F.bround(0.9 * (F.col("n") - 1), 0).cast("long") + 1).alias("rounded_index")
-    )
+    n = F.col("n")
+    rows = table(spark, sf_dir, "events").select("event_type", "value", "event_id")
+    return values_at(rows, ["event_type"], ["value", "event_id"], "value", nearest_rank=F.greatest(F.lit(1), F.ceil(0.9 * n)) - 1, rounded_index=F.bround(0.9 * (n - 1), 0))
 
 
 PAIR = CASES + """, pair AS (SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS position, a.hit_10 AS a, b.hit_10 AS b, a.rr AS ra, b.rr AS rb
   FROM (SELECT * FROM cases WHERE mode = 'bm25') a JOIN (SELECT * FROM cases WHERE mode = 'dense') b USING (query_id)),
 draws AS (SELECT r.range AS resample, ('0x' || substr(md5('7-' || r.range || '-' || i.range), 1, 12))::BIGINT % (SELECT count(*) FROM pair) AS position
-  FROM range(200) r, range((SELECT count(*) FROM pair)) i)"""
+  FROM range(1000) r, range((SELECT count(*) FROM pair)) i)"""
 
 
 def _pair(spark, sf_dir):
@@ -212,7 +210,7 @@ def _numbered(pair):
 @query(PAIR + """, means AS (SELECT resample, avg(ra) AS m FROM draws JOIN pair USING (position) GROUP BY 1)
 SELECT round(percentile_disc(0.025) WITHIN GROUP (ORDER BY m), 4) AS low, round(percentile_disc(0.975) WITHIN GROUP (ORDER BY m), 4) AS high FROM means""")
 def agg07_bootstrap_ci(spark, sf_dir):
-    means = R.bootstrap_means(_numbered(_pair(spark, sf_dir)), 200, 7, "ra")
+    means = R.bootstrap_means(_numbered(_pair(spark, sf_dir)), 1000, 7, "ra")
     return R.percentile_bounds(means, "ra")
 
 
@@ -220,7 +218,7 @@ def agg07_bootstrap_ci(spark, sf_dir):
 SELECT round(percentile_disc(0.025) WITHIN GROUP (ORDER BY m), 4) AS low, round(percentile_disc(0.975) WITHIN GROUP (ORDER BY m), 4) AS high FROM means""")
 def agg08_paired_bootstrap(spark, sf_dir):
     pair = _numbered(_pair(spark, sf_dir)).withColumn("delta", F.col("rb") - F.col("ra"))
-    return R.percentile_bounds(R.bootstrap_means(pair, 200, 7, "delta"), "delta")
+    return R.percentile_bounds(R.bootstrap_means(pair, 1000, 7, "delta"), "delta")
 
 
 TABLE = """counts AS (SELECT count(CASE WHEN a = 1 AND b = 1 THEN 1 END) AS both, count(CASE WHEN a = 1 AND b = 0 THEN 1 END) AS only_a, count(CASE WHEN a = 0 AND b = 1 THEN 1 END) AS only_b,
