@@ -66,14 +66,15 @@ def table_facts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "tables").mapInArrow(run, "page_id long, table_no int, metric string, period string, value double, scope string")
 
 
-def peer_rows(pages: DataFrame, companies: tuple[str, ...]) -> DataFrame:
-    """(doc_id, page, company, metric, value) of (doc_id, page, text): within the first lines a line
+def peer_rows(pages: DataFrame, companies: tuple[str, ...] | None = None) -> DataFrame:
+    """(doc_id, page, row_no, company, metric, value) of (doc_id, page, text), for the companies given or,
+    without them, those in each page's ``issuers``: within the first lines a line
     that names two companies or more is the header; of later lines those with as many numbers are
     rows. A vertical table, one company a line and then a metric with one number a line, counts too.
     Fewer than two rows: no table."""
-    names = {c.lower(): c for c in companies}
 
-    def rows(text: str):
+    def rows(text: str, who: list[str]):
+        names = {c.lower(): c for c in who}
         lines = [line.strip() for line in text.splitlines() if line.strip()]
         for at, line in enumerate(lines[:HEADER_LINES]):
             found = sorted((m.start(), c) for k, c in names.items() for m in [re.search(rf"(?<!\w){re.escape(k)}(?!\w)", line.lower())] if m)
@@ -104,12 +105,13 @@ def peer_rows(pages: DataFrame, companies: tuple[str, ...]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = [(d, p, *r) for d, p, t in zip(*(c.to_pylist() for c in batch.columns)) for r in rows(t or "")]
+            out = [(d, p, i, *r) for d, p, t, who in zip(*(c.to_pylist() for c in batch.columns)) for i, r in enumerate(rows(t or "", who or []))]
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "page", "company", "metric", "value"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "page", "row_no", "company", "metric", "value"])
 
-    return pages.select(F.col("doc_id").cast("long"), F.col("page").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, page long, company string, metric string, value double")
+    who = F.col("issuers").cast("array<string>") if companies is None else F.array(*map(F.lit, companies))
+    return pages.select(F.col("doc_id").cast("long"), F.col("page").cast("long"), F.col("text").cast("string"), who.alias("issuers")).mapInArrow(run, "doc_id long, page long, row_no int, company string, metric string, value double")
 
 
 def issuers(candidates: DataFrame) -> DataFrame:
