@@ -39,7 +39,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
 def document_chunks(pages: DataFrame, tables: DataFrame | None = None, size: int = 900, overlap: int = 120) -> DataFrame:
     """(doc_id, position, page, chunk_id, kind, text, companies, chunk_type, char_count, fact) of pages
     (doc_id, page from 1, text, issuers, mentioned) and facts of tables (doc_id, table_no, metric, period,
-    value, scope).
+    value, scope, and label if there is one).
 
     ``kind`` is text, peer_row, text_fact or table_fact. A page with a peer table gives a chunk for each
     of its figures and no text. Text is tagged with the companies that it names, of the document's
@@ -71,7 +71,7 @@ def document_chunks(pages: DataFrame, tables: DataFrame | None = None, size: int
         first = F.try_element_at("pool", F.lit(1))
         lines = tables.hint("merge").join(ends, "doc_id").select(
             "doc_id", "page", F.lit("table_fact").alias("kind"), F.col("table_no").cast("int").alias("chunk_no"), "pool",
-            F.struct("metric", "period", F.regexp_replace(F.format_string("%.4f", F.col("value").cast("double")), r"\.?0+$", "").alias("value"), F.lit("").alias("unit"), F.coalesce(first, F.lit("Unknown")).alias("company"), F.lit("table").alias("statement"), "scope", F.col("metric").alias("label"), F.lit("html_table").alias("source")).cast(FACT).alias("fact"),
+            F.struct("metric", "period", F.regexp_replace(F.format_string("%.4f", F.col("value").cast("double")), r"\.?0+$", "").alias("value"), F.lit("").alias("unit"), F.coalesce(first, F.lit("Unknown")).alias("company"), F.lit("table").alias("statement"), "scope", F.col("label" if "label" in tables.columns else "metric").alias("label"), F.lit("html_table").alias("source")).cast(FACT).alias("fact"),
         )
         both = written(facts.unionByName(lines), "facts")
         rank, key = fact_rank(F.col("fact")), [F.col("doc_id"), F.col("fact.metric").alias("metric"), F.col("fact.period").alias("period")]

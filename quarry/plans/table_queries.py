@@ -101,6 +101,34 @@ def clm05_text_match(spark, sf_dir):
     return B.match_in_text(claims, evidence)
 
 
+STORY = "'The story of order ' || k || ' goes on.'"
+SALES = "'Total net sales were $' || (3000 + k % 1000) || ' million in FY2024.'"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders),
+r AS (SELECT k, 0 AS late, 1 AS page, 0 AS stage, i.range AS no, 'peer_row' AS kind, 'c' AS mark, CASE i.range % 2 WHEN 0 THEN 'Alpha' ELSE 'Beta' END AS who,
+    CASE i.range WHEN 0 THEN 'Alpha units: ' || (c + 10) WHEN 1 THEN 'Beta units: ' || (k + 10) WHEN 2 THEN 'Alpha stores: ' || (c % 90 + 10) ELSE 'Beta stores: ' || (c % 80 + 10) END || ' (peer table).' AS text FROM o, range(4) i
+  UNION ALL SELECT k, 0, 2, 0, 0, 'text', 'c', 'Alpha,Beta', {STORY} FROM o WHERE k % 2 = 0
+  UNION ALL SELECT k, 0, 3, 0, 0, 'text', 'c', 'Alpha,Beta', {SALES} FROM o WHERE k % 3 = 0
+  UNION ALL SELECT k, 0, 3, 1, 1, 'text_fact', 'f', 'Alpha', 'Alpha revenue FY2024: ' || (3000 + k % 1000) || ' million (filing fact; consolidated; income_statement).' FROM o WHERE k % 3 = 0 AND k % 6 <> 0
+  UNION ALL SELECT k, 1, 3, 0, 7, 'table_fact', 't', 'Alpha', 'Alpha revenue FY2024: 900000 (filing fact; consolidated; table).' FROM o WHERE k % 6 = 0
+  UNION ALL SELECT k, 1, 3, 0, 8, 'table_fact', 't', 'Alpha', 'Alpha revenue FY2023: 55.5 (filing fact; segment; table).' FROM o WHERE k % 6 = 3)
+SELECT k AS doc_id, row_number() OVER (PARTITION BY k ORDER BY late, page, stage, no) - 1 AS position, page, k || ':p' || page || ':' || mark || no AS chunk_id, kind, text, who AS companies, CASE WHEN mark = 'c' THEN 'narrative' ELSE 'financial_metric' END AS chunk_type FROM r""")
+def txt21_composed_chunks(spark, sf_dir):
+    """A document of each order: a peer table, a story, sales; and a table's fact that stands for theirs or joins them."""
+    from quarry.operators.document_chunks import document_chunks
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    peers = text("Peers\nMetric  Alpha  Beta\nunits  ", c + 10, "  ", k + 10, "\nstores  ", c % 90 + 10, "  ", c % 80 + 10)
+    o = table(spark, sf_dir, "orders")
+    pages = F.array(peers, F.when(k % 2 == 0, text("The story of order ", k, " goes on.")), F.when(k % 3 == 0, text("Total net sales were $", 3000 + k % 1000, " million in FY2024.")))
+    pages = o.select(k.alias("doc_id"), F.posexplode(pages).alias("page", "text")).withColumns({"page": F.col("page") + 1, "issuers": F.array(F.lit("Alpha"), F.lit("Beta")), "mentioned": F.lit(None).cast("array<string>")})
+    fact = lambda no, period, value, scope: F.struct(F.lit(no).alias("table_no"), F.lit("revenue").alias("metric"), F.lit(period).alias("period"), F.lit(value).alias("value"), F.lit(scope).alias("scope"), F.lit("Total net sales").alias("label"))
+    tables = o.where(k % 3 == 0).select(k.alias("doc_id"), F.when(k % 6 == 0, fact(7, "FY2024", 900000.0, "consolidated")).otherwise(fact(8, "FY2023", 55.5, "segment")).alias("f")).select("doc_id", "f.*")
+    return document_chunks(pages, tables).select("doc_id", "position", "page", "chunk_id", "kind", "text", F.array_join("companies", ",").alias("companies"), "chunk_type")
+
+
 @query("""WITH o AS (SELECT o_orderkey AS k, 12 + (o_orderkey % 800) / 10.0::DOUBLE AS v FROM orders)
 SELECT CAST(k AS VARCHAR) AS claim_id, CASE WHEN k % 7 <> 2 THEN 'e' || k END AS evidence_id, k % 7 < 2 AS matched,
   CASE k % 7 WHEN 2 THEN 'number_not_found' WHEN 3 THEN 'metric_label_mismatch' WHEN 4 THEN 'period_mismatch' WHEN 5 THEN 'unit_ambiguous' WHEN 6 THEN 'period_unknown' ELSE 'bound' END AS reason,
