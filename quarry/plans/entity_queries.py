@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.functions import values as V
 from quarry.operators import entities as E
 from quarry.operators import finance as N
 from quarry.operators.chunking import paginate
@@ -356,3 +357,31 @@ def fun07_json(spark, sf_dir):
     raw = F.concat(F.lit("answer: "), "props", F.lit(" done"))
     k = F.from_json(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), "k int")["k"]
     return table(spark, sf_dir, "events").select("event_id", k.cast("string").alias("k"), F.to_json(F.struct(k.alias("k"), F.col("event_type").alias("type"))).alias("canonical"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 < 4 THEN '{"a":[1,{"b":null,"c":"' || event_type || '"}],"k":' || json_extract_string(props, '$.k') || ',"z":{"x":true,"y":' || user_id || '}}' END AS canonical FROM events""")
+def fun07_canonical_json(spark, sf_dir):
+    """Payloads in fences, in prose, with permuted keys; one in five is broken."""
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    k, kind, user = F.get_json_object("props", "$.k"), F.col("event_type"), F.col("user_id")
+    one = text('{"z": {"y": ', user, ', "x": true}, "k": ', k, ', "a": [1, {"c": "', kind, '", "b": null}]}')
+    two = text('{"a":[ 1, {"b":null, "c":"', kind, '"} ], "z":{"x":true,"y":', user, '},\n"k":', k, "}")
+    said = F.array(one, text("The answer is ", two, " as asked."), text("Here:\n```json\n", one, "\n```\nand {more}."), text("```\n", two, "```"), text("{", kind, ": broken"))
+    rows = table(spark, sf_dir, "events").select("event_id", said[(F.col("event_id") % 5).cast("int")].alias("said"))
+    return rows.select("event_id", V.canonical_json(V.payload(F.col("said"))).alias("canonical"))
+
+
+@query("""WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source || '.md#p' || n_chars WHEN 1 THEN source || '#p' WHEN 2 THEN '#p' || n_chars ELSE source || '#px' || n_chars END AS c FROM documents)
+SELECT doc_id, doc_id % 4 = 0 AS valid, CASE WHEN doc_id % 4 = 0 THEN regexp_extract(c, '^(.+)#p', 1) END AS document, CASE WHEN doc_id % 4 = 0 THEN CAST(regexp_extract(c, '#p(\\d+)$', 1) AS BIGINT) END AS page FROM c""")
+def flt16_page_citations(spark, sf_dir):
+    n, source = F.col("n_chars").cast("string"), F.col("source")
+    forms = F.array(F.concat(source, F.lit(".md#p"), n), F.concat(source, F.lit("#p")), F.concat(F.lit("#p"), n), F.concat(source, F.lit("#px"), n))
+    return table(spark, sf_dir, "documents").select("doc_id", V.citation(forms[(F.col("doc_id") % 4).cast("int")]).alias("c")).select("doc_id", "c.*")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 2 THEN l_extendedprice END AS amount, l_linenumber > 2 AND abs(l_extendedprice - l_extendedprice * (1 + l_tax / 4)) <= greatest(1e-9, abs(l_extendedprice * (1 + l_tax / 4)) * 0.01) AS near FROM lineitem""")
+def fun05_sound_numbers(spark, sf_dir):
+    """Prices, some of them as NaN or an infinity, and whether they are near to a price with tax."""
+    n, price = F.col("l_linenumber"), F.col("l_extendedprice")
+    x = F.when(n == 1, F.lit(float("nan"))).when(n == 2, F.lit(float("-inf"))).otherwise(price)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", n, V.sound(x).alias("amount"), V.close_to(x, price * (1 + F.col("l_tax") / 4)).alias("near"))
