@@ -51,31 +51,39 @@ def bind(claims: DataFrame, evidence: DataFrame, most: int = 2) -> DataFrame:
     return close.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most).select("claim_id", "evidence_id", "place")
 
 
-def validate_answers(answers: DataFrame, allowed: DataFrame) -> DataFrame:
+def validate_answers(answers: DataFrame, allowed: DataFrame, versions: tuple[str, ...] | None = None) -> DataFrame:
     """(answer_id, reason) of answers (answer_id, tenant_id, kind, complete, citations array) against
-    allowed evidence (chunk_id, tenant_id, verified, stale)."""
-    cited = answers.select("answer_id", F.col("tenant_id").alias("own"), F.explode_outer(F.array_distinct("citations")).alias("chunk_id"))
-    found = cited.hint("merge").join(allowed, "chunk_id", "left").groupBy("answer_id").agg(
+    allowed evidence (chunk_id, tenant_id, verified, stale). With ``versions`` an answer's
+    schema_version must be one of them. Where both sides have a session_id, evidence of another session
+    than the answer's isn't its own; an answer without one asks for none."""
+    sessions = "session_id" in answers.columns and "session_id" in allowed.columns
+    session = F.col("session_id") if sessions else F.lit(None).cast("string")
+    cited = answers.select("answer_id", F.col("tenant_id").alias("own"), session.alias("own_session"), F.explode_outer(F.array_distinct("citations")).alias("chunk_id"))
+    known = allowed if sessions else allowed.withColumn("session_id", F.lit(None).cast("string"))
+    found = cited.hint("merge").join(known, "chunk_id", "left").groupBy("answer_id").agg(
         F.bool_or(F.col("chunk_id").isNotNull() & F.col("tenant_id").isNull()).alias("unknown"),
         F.bool_or(F.col("tenant_id").isNotNull() & (F.col("tenant_id") != F.col("own"))).alias("foreign"),
+        F.bool_or(F.col("tenant_id").isNotNull() & (F.col("own_session") != "") & ~F.col("own_session").eqNullSafe(F.col("session_id"))).alias("elsewhere"),
         F.bool_or(~F.col("verified")).alias("unverified"),
         F.bool_or("stale").alias("stale"),
         F.count("chunk_id").alias("n"),
     )
+    old = F.lit(False) if versions is None else ~F.coalesce(F.trim("schema_version").isin(*versions), F.lit(False))
     reason = (
-        F.when(~F.col("complete") & (F.col("n") > 0), "incomplete_with_citations")
+        F.when(old, "unsupported_schema")
+        .when(~F.col("complete") & (F.col("n") > 0), "incomplete_with_citations")
         .when((F.col("kind") == "fact") & F.col("complete") & (F.col("n") == 0), "fact_without_citation")
         .when(F.col("unknown"), "unknown_citation")
         .when(F.col("foreign"), "cross_tenant")
+        .when(F.col("elsewhere"), "cross_session")
         .when(F.col("unverified"), "unverified")
         .when(F.col("stale"), "stale")
         .otherwise("ok")
     )
-    flags = {c: F.coalesce(c, F.lit(False)) for c in ("unknown", "foreign", "unverified", "stale")}
+    flags = {c: F.coalesce(c, F.lit(False)) for c in ("unknown", "foreign", "elsewhere", "unverified", "stale")}
     return answers.join(found.withColumns(flags), "answer_id").select("answer_id", reason.alias("reason"))
 
 
-
 def map_markers(texts: DataFrame, evidence: DataFrame) -> DataFrame:
     """(answer_id, marker, chunk_id, mapped) of the [n] markers in a text, through (answer_id,
     marker, chunk_id)."""

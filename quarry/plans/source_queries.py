@@ -430,3 +430,16 @@ def txt07_embedding_places(spark, sf_dir):
 
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(embedder(element="double")(F.coalesce("text", F.lit("")))).alias("place", "value"))
     return rows.select("doc_id", F.col("place").cast("long").alias("place"), "value")
+
+
+@query("""SELECT o_orderkey AS answer_id, CASE o_orderkey % 6 WHEN 0 THEN 'unsupported_schema' WHEN 1 THEN 'cross_tenant' WHEN 2 THEN 'cross_session' WHEN 3 THEN 'unknown_citation' ELSE 'ok' END AS reason FROM orders""")
+def clm06_versions_and_sessions(spark, sf_dir):
+    """An answer of each order: an old schema, a citation of another tenant's or session's, one that doesn't exist; one that names no session."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").withColumns({"tenant": F.concat(F.lit("t"), (k % 3).cast("string")), "session": F.concat(F.lit("s"), (F.col("o_custkey") % 9).cast("string"))})
+    answers = o.select(
+        k.alias("answer_id"), F.when(k % 6 == 1, "other").otherwise(F.col("tenant")).alias("tenant_id"), F.when(k % 6 == 2, "elsewhere").when(k % 6 == 4, "").otherwise(F.col("session")).alias("session_id"),
+        F.lit("fact").alias("kind"), F.lit(True).alias("complete"), F.array(F.when(k % 6 == 3, -1 - k).otherwise(k)).alias("citations"), F.when(k % 6 == 0, "0.9").otherwise(F.lit(" 1.0 ")).alias("schema_version"),
+    )
+    allowed = o.select(k.alias("chunk_id"), F.col("tenant").alias("tenant_id"), F.col("session").alias("session_id"), F.lit(True).alias("verified"), F.lit(False).alias("stale"))
+    return M.validate_answers(answers, allowed, ("1.0",))
