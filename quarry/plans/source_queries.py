@@ -443,3 +443,38 @@ def clm06_versions_and_sessions(spark, sf_dir):
     )
     allowed = o.select(k.alias("chunk_id"), F.col("tenant").alias("tenant_id"), F.col("session").alias("session_id"), F.lit(True).alias("verified"), F.lit(False).alias("stale"))
     return M.validate_answers(answers, allowed, ("1.0",))
+
+
+def _exported(spark, sf_dir):
+    """A folder with a file of each supplier: a note, a JSON object, CSV with a header, or ORC."""
+    folder = scratch_path(spark, "uploads")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    of = lambda n: s.where(F.col("s_suppkey") % 4 == n)
+    note = F.concat(F.lit("# Notes on "), "s_name", F.lit("\n\nFrom nation "), (F.col("s_suppkey") % 25).cast("string"))
+    of(0).select("s_suppkey", note.alias("value")).write.partitionBy("s_suppkey").mode("append").text(folder)
+    of(1).select("s_suppkey", F.col("s_name").alias("name")).write.partitionBy("s_suppkey").mode("append").json(folder)
+    of(2).select("s_suppkey", F.col("s_name").alias("name")).write.partitionBy("s_suppkey").mode("append").option("header", True).csv(folder)
+    of(3).select("s_suppkey", "s_name").write.partitionBy("s_suppkey").mode("append").orc(folder)
+    return folder
+
+
+def _key(path):
+    return F.regexp_extract(path, r"s_suppkey=(\d+)", 1).cast("long").alias("s_suppkey")
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'json' WHEN 2 THEN 'csv' END AS kind, CASE WHEN s_suppkey % 4 < 3 THEN 1 END AS n_pages,
+  CASE s_suppkey % 4 WHEN 0 THEN length('# Notes on ' || s_name || '..From nation ' || s_suppkey % 25) + 1 WHEN 1 THEN length('{"name":"' || s_name || '"}') + 1 WHEN 2 THEN length('name.' || s_name) + 1 END AS n_chars,
+  CASE WHEN s_suppkey % 4 = 3 THEN 'unsupported_suffix' END AS reason FROM supplier""")
+def src01_by_suffix(spark, sf_dir):
+    good, bad = S.by_suffix(spark, _exported(spark, sf_dir))
+    rows = good.select(_key("path"), "kind", F.size("pages").alias("n_pages"), "n_chars", F.lit(None).cast("string").alias("reason"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return rows.unionByName(bad.select(_key("path"), none("string").alias("kind"), none("int").alias("n_pages"), none("long").alias("n_chars"), "reason"))
+
+
+@query("""SELECT s_suppkey, 'Notes on ' || s_name AS title, md5('# Notes on ' || s_name || chr(10) || chr(10) || 'From nation ' || s_suppkey % 25 || chr(10)) AS text_md5 FROM supplier WHERE s_suppkey % 4 = 0""")
+def src24_research_notes(spark, sf_dir):
+    """Only the notes of a folder with other files in it."""
+    from quarry.operators.fact_text import research_notes
+
+    return research_notes(spark, _exported(spark, sf_dir)).select(_key("path"), "title", F.md5("text").alias("text_md5"))
