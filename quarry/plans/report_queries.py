@@ -382,24 +382,24 @@ def agg23_snapshot_totals(spark, sf_dir):
     return M.snapshot_summary(rows.select(n.cast("long").alias("run_id"), status.alias("status"), F.when(priced, F.col("c_acctbal")).alias("price"), (c % 5 == 1).alias("from_cache")), "run_id")
 
 
-UNIVERSE = """dir AS (SELECT 'TK' || chr(CAST(65 + s_suppkey % 26 AS INT)) || chr(CAST(65 + s_suppkey // 26 % 26 AS INT)) AS ticker, s_name AS title FROM supplier WHERE s_suppkey < 676),
-q AS (SELECT o_orderkey AS query_id, CASE o_orderkey % 3 WHEN 0 THEN 'supplier#' || lpad(CAST(o_custkey % 100 AS VARCHAR), 9, '0') WHEN 1 THEN 'Nobody' END AS company, 'TK' || chr(CAST(65 + o_custkey % 26 AS INT)) || chr(CAST(65 + o_orderkey % 4 AS INT)) AS t FROM orders)"""
+UNIVERSE = """dir AS (SELECT 'TK' || chr(CAST(65 + s_suppkey % 26 AS INT)) || chr(CAST(65 + s_suppkey // 26 % 26 AS INT)) || chr(CAST(65 + s_suppkey // 676 % 26 AS INT)) AS ticker, s_name AS title FROM supplier),
+q AS (SELECT o_orderkey AS query_id, CASE o_orderkey % 3 WHEN 0 THEN 'supplier#' || lpad(CAST(o_custkey % 100 AS VARCHAR), 9, '0') WHEN 1 THEN 'Nobody' END AS company, 'TK' || chr(CAST(65 + o_custkey % 26 AS INT)) || chr(CAST(65 + o_orderkey % 4 AS INT)) || 'A' AS t FROM orders)"""
 
 
 @query(f"""WITH {UNIVERSE}, n AS (SELECT query_id, company, d.ticker, CASE WHEN d.ticker IS NULL THEN 'unresolved' ELSE 'curated' END AS method FROM q LEFT JOIN dir d ON lower(d.title) = lower(company) WHERE company IS NOT NULL),
-m AS (SELECT query_id, title, t FROM q JOIN dir ON dir.ticker = t WHERE t <> 'TKAA' AND (query_id, t) NOT IN (SELECT (query_id, ticker) FROM n WHERE ticker IS NOT NULL))
+m AS (SELECT query_id, title, t FROM q JOIN dir ON dir.ticker = t WHERE t <> 'TKAAA' AND (query_id, t) NOT IN (SELECT (query_id, ticker) FROM n WHERE ticker IS NOT NULL))
 SELECT query_id, company, ticker, method FROM n UNION ALL SELECT query_id, title, t, 'query_token' FROM m""")
 def jon10_universe(spark, sf_dir):
     from quarry.operators.entities import company_universe
 
     letter = lambda n: F.chr((65 + n % 26).cast("int"))
     k = F.col("s_suppkey")
-    directory = table(spark, sf_dir, "supplier").where("s_suppkey < 676").select(F.concat(F.lit("TK"), letter(k), letter(F.floor(k / 26))).alias("ticker"), F.col("s_name").alias("title"), F.lower("s_name").alias("normalized"))
+    directory = table(spark, sf_dir, "supplier").select(F.concat(F.lit("TK"), letter(k), letter(F.floor(k / 26)), letter(F.floor(k / 676))).alias("ticker"), F.col("s_name").alias("title"), F.lower("s_name").alias("normalized"))
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     name = F.when(o % 3 == 0, F.concat(F.lit("supplier#"), F.lpad((c % 100).cast("string"), 9, "0"))).when(o % 3 == 1, "Nobody")
-    text = F.concat(F.lit("Compare TKAA, "), F.concat(F.lit("TK"), letter(c), letter(o % 4)), F.lit(" and FY for the CEO's TKTOOLONG"))
+    text = F.concat(F.lit("Compare TKAAA, "), F.concat(F.lit("TK"), letter(c), letter(o % 4), F.lit("A")), F.lit(" and FY for the CEO's TKTOOLONG"))
     queries = table(spark, sf_dir, "orders").select(o.alias("query_id"), text.alias("text"), F.when(name.isNotNull(), F.array(name)).otherwise(F.array().cast("array<string>")).alias("companies"))
-    stop = spark.createDataFrame([("TKAA",), ("FY",), ("CEO",)], "word string")
+    stop = spark.createDataFrame([("TKAAA",), ("FY",), ("CEO",)], "word string")
     return company_universe(queries, directory, stop)
 
 
