@@ -54,15 +54,15 @@ def rerank_with(reranker: Reranker, hits: DataFrame, k: int) -> DataFrame:
 
 
 def register_sql_functions(spark: SparkSession) -> None:
-    """For SQL: quarry_embed(text), and the table functions quarry_findings(text) and
-    quarry_chunks(text). The latter two are SQL expressions, so nothing leaves the JVM."""
+    """For SQL: quarry_embed(text); quarry_findings(text), a table function over one text that is an SQL
+    expression, so nothing leaves the JVM; and the table functions over whole tables."""
+    from quarry.functions.table_functions import register_table_functions
     from quarry.functions.text import INJECTIONS
 
     def quoted(pattern: str) -> str:
         return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
     found = ", ".join(f"transform(regexp_extract_all(coalesce(t, ''), {quoted(p)}, 0), x -> named_struct('code', '{code}', 'severity', '{severity}', 'found', trim(x)))" for code, severity, p in INJECTIONS)
-    windows = "transform(sequence(0, greatest(1, int(ceil((length(t) - 120) / 780.0))) - 1), i -> substring(t, i * 780 + 1, 900))"
     spark.udf.register("quarry_embed", embedder())
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION quarry_findings(t STRING) RETURNS TABLE(code STRING, severity STRING, found STRING) RETURN SELECT inline(concat({found})) AS (code, severity, found)")
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION quarry_chunks(t STRING) RETURNS TABLE(chunk_no INT, chunk STRING) RETURN SELECT posexplode(CASE WHEN length(t) > 0 THEN {windows} ELSE array() END) AS (chunk_no, chunk)")
+    register_table_functions(spark)

@@ -118,6 +118,22 @@ class _Page(HTMLParser):
             self.text.append(data)
 
 
+def _parsed(html: str | None) -> _Page:
+    page = _Page()
+    page.feed(html or "")
+    page.close()
+    return page
+
+
+def _rows(page: _Page) -> list[list[list[str]]]:
+    return [[r for r in t if r] for t in page.tables]
+
+
+def html_tables(html: str | None) -> list[list[list[str]]]:
+    """The tables of one page, as rows of cells; rows without cells are left out."""
+    return _rows(_parsed(html))
+
+
 def parse_html(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, tables) of (page_id, url, html); cell text goes to tables alone. Null
     html has an empty text."""
@@ -128,12 +144,10 @@ def parse_html(pages: DataFrame) -> DataFrame:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 text, found = [], []
                 for html in part.column(2).to_pylist():
-                    page = _Page()
-                    page.feed(html or "")
-                    page.close()
+                    page = _parsed(html)
                     lines = (" ".join(line.split()) for line in "".join(page.text).split("\n"))
                     text.append("\n".join(line for line in lines if line))
-                    found.append([[r for r in t if r] for t in page.tables])
+                    found.append(_rows(page))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array(found, tables)], names=["page_id", "url", "text", "tables"])
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, tables array<array<array<string>>>")
