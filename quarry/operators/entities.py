@@ -106,7 +106,7 @@ def missing_documents(questions: DataFrame, registry: DataFrame) -> DataFrame:
 
 def trusted_amount(row) -> Column:
     """Whether an amount may enter the fundamentals; ``row`` gives a column by name."""
-    base = (row("confidence") == "high") & row("normalized_value").isNotNull() & (row("unit") == "billion_usd") & (row("currency") == "USD") & (row("period_type") != "quarter") & row("source").isin(*TRUSTED_SOURCES)
+    base = (row("confidence") == "high") & row("normalized_value").isNotNull() & (row("unit") == "billion_usd") & (row("currency") == "USD") & F.coalesce(row("period_type") != "quarter", F.lit(True)) & row("source").isin(*TRUSTED_SOURCES)
     provider = (F.trim(row("provider")) != "") & (F.trim(row("period")) != "") & ~F.lower(row("period")).isin("annual", "quarter", "ttm", "latest") & row("is_normalized")
     return F.coalesce(base & ((row("source") != "provider_metadata") | provider), F.lit(False))
 
