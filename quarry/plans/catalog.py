@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import entity_queries, evidence_queries, finance_queries, payload_queries, ranking_queries, report_queries, source_queries, sql_queries, table_queries, text_queries  # noqa: F401
+from quarry.plans import entity_queries, evidence_queries, finance_queries, payload_queries, ranking_queries, report_queries, source_queries, sql_queries, stream_queries, table_queries, text_queries  # noqa: F401
 from quarry.plans.registry import QUERIES, SQL
 
 
