@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from quarry.llm.common import SLICE_BYTES, byte_view, forget_shuffles, mix64, only, released, run_starts, slices, table, written
 from quarry.llm.shingles import _BASE, _INVERSE, _SYMBOLS, _power
@@ -142,10 +143,15 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(_partitions(rows.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(run, "doc long, tie long, place long")
 
 
+def _schema(columns: str, carry: DataType) -> StructType:
+    return StructType([*StructType.fromDDL(columns).fields, StructField("carry", carry)])
+
+
 def _with_texts(docs: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame:
     """Bring ``rows`` (doc, tie, a, b) to their documents' texts: ``run`` sees of each document its
     rows of texts (compressed) and then the others. One document's rows are bounded by its length.
-    ``docs`` is (doc_id, text, carry); what carry holds goes along with the text."""
+    ``docs`` is (doc_id, text, carry); what carry holds, of any type, goes along with the text."""
+    kind = docs.schema["carry"].dataType
 
     @released("quarry.llm.shingles")
     def pack(batches):
@@ -158,8 +164,8 @@ def _with_texts(docs: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame
                 names=["doc", "tie", "a", "text", "carry"],
             )
 
-    packed = docs.mapInArrow(pack, "doc long, tie long, a long, text binary, carry string").select("doc", "tie", "a", F.lit(0).cast("long").alias("b"), "text", "carry")
-    nothing = (F.lit(None).cast("binary").alias("text"), F.lit(None).cast("string").alias("carry"))
+    packed = docs.mapInArrow(pack, _schema("doc long, tie long, a long, text binary", kind)).select("doc", "tie", "a", F.lit(0).cast("long").alias("b"), "text", "carry")
+    nothing = (F.lit(None).cast("binary").alias("text"), F.lit(None).cast(kind).alias("carry"))
     return (
         packed.unionByName(rows.select("doc", "tie", "a", "b", *nothing))
         .repartition(_partitions(docs.sparkSession), "doc", "tie")
@@ -382,15 +388,21 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame, keep_text: bool) -> DataFrame:
     @released("quarry.llm.shingles")
     def run(batches):
-        out, size = [], 0
+        out, size, carried = [], 0, None
+
+        def noted():
+            nonlocal carried
+            for batch in batches:
+                carried = batch.column(5).type
+                yield batch
 
         def flush():
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), carried)
             batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "carry"])
             out.clear()
             return batch
 
-        for doc, _, texts, a, b in _documents(batches):
+        for doc, _, texts, a, b in _documents(noted()):
             text = np.frombuffer(texts[0][0], np.uint8)
             if len(a):
                 depth = np.zeros(len(text) + 1, np.int64)
@@ -410,7 +422,7 @@ def _judged(docs: DataFrame, keep_text: bool) -> DataFrame:
         if out:
             yield flush()
 
-    return _with_texts(docs, repeated_stretches(docs), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, carry string")
+    return _with_texts(docs, repeated_stretches(docs), run, _schema("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string", docs.schema["carry"].dataType))
 
 
 def repeats(documents: DataFrame) -> DataFrame:
@@ -422,15 +434,17 @@ def repeats(documents: DataFrame) -> DataFrame:
 
 def without_repeats(documents: DataFrame) -> DataFrame:
     """``documents`` with the repeated bytes taken out of ``text`` (a character that is cut is
-    dropped) and all other columns as they are, but for ``n_chars`` where there is one. A document
-    of which nothing but white space is left goes, unless nothing was taken from it."""
+    dropped) and all other columns as they are, but for ``n_chars`` where there is one. A null text stays
+    null, and so does what its row says of it. A document of which nothing but white space is left goes, unless nothing was taken from it."""
     others = [c for c in documents.columns if c not in ("doc_id", "text")]
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in others))).alias("carry"))
-    schema = documents.select(*(F.col(f"`{c}`") for c in others)).schema
+    rest = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest")] if others else []
+    carry = F.struct(F.col("text").isNull().alias("no_text"), *rest)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), carry.alias("carry"))
     found = _judged(docs, True).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    rest = F.from_json("carry", schema)
-    cols = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return found.select(*(cols.get(c, rest.getField(c)).alias(c) for c in documents.columns))
+    no_text = F.col("carry.no_text")
+    own = lambda c: F.col("carry.rest").getField(c)
+    cols = {"doc_id": lambda: F.col("doc_id"), "text": lambda: F.when(~no_text, F.col("text")), "n_chars": lambda: F.when(no_text, own("n_chars").cast("long")).otherwise(F.length("text").cast("long"))}
+    return found.select(*(cols.get(c, lambda c=c: own(c))().alias(c) for c in documents.columns))
 
 
 def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
