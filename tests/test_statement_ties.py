@@ -44,3 +44,8 @@ def test_halves_of_recorded_metrics_are_rounded_up(same):
     got = {(r["entity"], r["name"]): r for r in same("clm09_metric_records", supplier=suppliers(2, 4), lineitem=rows)}
     assert got["Supplier#000000002", "operating_margin"]["value"] == 0.1859
     assert got["Supplier#000000004", "ebitda_margin"]["inputs"].startswith("ebitda=1315615.76,")
+
+
+def test_halves_of_risks_are_rounded_up(same):
+    got = same("qnt05_risk_scores", supplier=suppliers(1), lineitem=lines((1, 1, 25000.0, 0.0, "A", "O", 1997), (1, 2, 17000.0, 0.0, "N", "O", 1997)))
+    assert got[0]["financial_risk"] == 6.5  # 9 - 0.17 * 15
