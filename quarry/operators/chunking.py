@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
 
 def windows(text: Column, size: int, overlap: int = 0) -> Column:
     """Windows of ``size`` characters that step by size - overlap; the last one reaches the end."""
@@ -74,8 +76,8 @@ def chunk_pages(pages: DataFrame, size: int = 900, overlap: int = 120) -> DataFr
 
 
 def split_markdown(text: Column) -> Column:
-    """Sections that start at ``## `` headings."""
-    return F.filter(F.transform(F.split(text, r"(?m)(?=^##\s+)"), F.trim), lambda s: F.length(s) > 0)
+    """Sections that start at ``## `` headings, without spaces of any kind around them."""
+    return F.filter(F.transform(F.split(text, r"(?m)(?=^##\s+)"), lambda s: F.trim(s, F.lit(SPACES))), lambda s: F.length(s) > 0)
 
 
 class _Page(HTMLParser):

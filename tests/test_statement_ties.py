@@ -49,3 +49,8 @@ def test_halves_of_recorded_metrics_are_rounded_up(same):
 def test_halves_of_risks_are_rounded_up(same):
     got = same("qnt05_risk_scores", supplier=suppliers(1), lineitem=lines((1, 1, 25000.0, 0.0, "A", "O", 1997), (1, 2, 17000.0, 0.0, "N", "O", 1997)))
     assert got[0]["financial_risk"] == 6.5  # 9 - 0.17 * 15
+
+
+def test_sections_keep_digits_at_their_ends(same):
+    texts = [(1, "01 a 0"), (2, " x \n1 y 1\n z2 ")]
+    assert len(same("src05_markdown_sections", documents=(texts, "doc_id long, text string"))) == 4
