@@ -54,3 +54,8 @@ def test_halves_of_risks_are_rounded_up(same):
 def test_sections_keep_digits_at_their_ends(same):
     texts = [(1, "01 a 0"), (2, " x \n1 y 1\n z2 ")]
     assert len(same("src05_markdown_sections", documents=(texts, "doc_id long, text string"))) == 4
+
+
+def test_best_hit_of_parts_beyond_a_million(same):
+    got = same("jon26_company_bundles", supplier=suppliers(1), lineitem=lines((1, 2500000, 900.0, 0.0, "A", "F", 1995), (1, 3, 800.0, 0.0, "A", "F", 1995)))
+    assert got[0]["best_chunk"] == 2500000
