@@ -59,3 +59,9 @@ def test_sections_keep_digits_at_their_ends(same):
 def test_best_hit_of_parts_beyond_a_million(same):
     got = same("jon26_company_bundles", supplier=suppliers(1), lineitem=lines((1, 2500000, 900.0, 0.0, "A", "F", 1995), (1, 3, 800.0, 0.0, "A", "F", 1995)))
     assert got[0]["best_chunk"] == 2500000
+
+
+def test_one_title_of_a_ticker_listed_twice(same):
+    orders = [(4, 5)], "o_orderkey long, o_custkey long"
+    got = same("jon10_universe", supplier=suppliers(17581, 5), orders=orders)
+    assert [(r["company"], r["ticker"]) for r in got if r["method"] == "query_token"] == [("Supplier#000000005", "TKFAA")]
