@@ -448,13 +448,15 @@ def clm06_versions_and_sessions(spark, sf_dir):
 def _exported(spark, sf_dir):
     """A folder with a file of each supplier: a note, a JSON object, CSV with a header, or ORC."""
     folder = scratch_path(spark, "uploads")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    of = lambda n: s.where(F.col("s_suppkey") % 4 == n)
-    note = F.concat(F.lit("# Notes on "), "s_name", F.lit("\n\nFrom nation "), (F.col("s_suppkey") % 25).cast("string"))
-    of(0).select("s_suppkey", note.alias("value")).write.partitionBy("s_suppkey").mode("append").text(folder)
-    of(1).select("s_suppkey", F.col("s_name").alias("name")).write.partitionBy("s_suppkey").mode("append").json(folder)
-    of(2).select("s_suppkey", F.col("s_name").alias("name")).write.partitionBy("s_suppkey").mode("append").option("header", True).csv(folder)
-    of(3).select("s_suppkey", "s_name").write.partitionBy("s_suppkey").mode("append").orc(folder)
+    key, name = F.col("s_suppkey"), F.col("s_name")
+    note = F.concat(F.lit("# Notes on "), name, F.lit("\n\nFrom nation "), (key % 25).cast("string"), F.lit("\n"))
+    json = F.concat(F.to_json(F.struct(name.alias("name"))), F.lit("\n"))
+    csv = F.concat(F.lit("name\n"), F.to_csv(F.struct(name.alias("name"))), F.lit("\n"))
+    suffix = F.element_at(F.array(*map(F.lit, ("txt", "json", "csv", "orc"))), (key % 4 + 1).cast("int"))
+    body = F.when(key % 4 == 0, note).when(key % 4 == 1, json).when(key % 4 == 2, csv).otherwise(name)
+    path = F.concat((F.floor(key / 1000)).cast("string"), F.lit("/s_suppkey="), key.cast("string"), F.lit("."), suffix)
+    rows = table(spark, sf_dir, "supplier").repartition(spark.sparkContext.defaultParallelism, key)
+    S.write_files(rows.select(path.alias("name"), body.alias("body")), folder)
     return folder
 
 
