@@ -24,8 +24,7 @@ from quarry.llm.common import code_points, crc_mod, released, slices, table
 DIMENSIONS = 1024
 GRAM = 3
 BATCH_BYTES = 384 << 10
-MEASURED = 20_000  # labelled rows on which least scores are measured, at most
-SUPPORT = 1_000  # of them, of one length, that it takes to measure one
+SUPPORT = 1_000  # labelled rows of one length that it takes to measure one
 NOISE = 0.05  # a cosine that unrelated vectors of DIMENSIONS reach
 
 _state: dict = {}
@@ -177,15 +176,13 @@ def _size(text):
     return F.floor(F.log2(F.length(text) + 1)).cast("int")
 
 
-def least_scores(labelled: DataFrame, model: tuple[list[str], np.ndarray], share: float = 0.001, most: int = MEASURED) -> dict[int, float]:
+def least_scores(labelled: DataFrame, model: tuple[list[str], np.ndarray], share: float = 0.001) -> dict[int, float]:
     """For each size of text the score that all but ``share`` of the labelled rows (text, lang),
-    which the model hasn't seen, reach in their own language. About ``most`` of them are measured,
-    chosen by a hash of the text; a size with fewer than SUPPORT of them isn't in the result."""
+    which the model hasn't seen, reach in their own language. All of them are measured; a size with
+    fewer than SUPPORT of them isn't in the result."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    n = rows.count()
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 24)) < min(1.0, most / max(n, 1)) * (1 << 24))
     found = (
-        predict(some, model)
+        predict(rows, model)
         .where("lang = lang_pred")
         .groupBy(_size(F.col("text")).alias("size"))
         .agg(F.percentile_approx("score", share, 10_000).alias("least"), F.count("*").alias("n"))

@@ -51,3 +51,11 @@ def test_columns_with_the_operators_names(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, docs, "/root/testdata/sf0.001")
         assert kept.columns == docs.columns and kept.count(), name
+
+
+def test_least_scores_measure_every_labelled_row(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id, "predict", lambda docs, model: seen.append(docs.count()) or docs.selectExpr("*", "lang AS lang_pred", "length(text) / 100D AS score"))
+    rows = spark.range(150_000).selectExpr("concat('t', id) AS text", "'en' AS lang")
+    least = least_scores(rows, None)
+    assert seen == [150_000] and least
