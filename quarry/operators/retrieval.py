@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import task_scores as S
 from quarry.operators.impacts import candidates
 from quarry.operators.ranking import TIE, top_k
 from quarry.session import scratch_path, written
@@ -58,15 +59,45 @@ def wanted_terms(terms: DataFrame, rows: DataFrame) -> DataFrame:
 Scopes = tuple[DataFrame, DataFrame]
 
 
+def _distinct(rows: DataFrame, key: str) -> bool:
+    return rows.groupBy(key).count().where("count > 1").isEmpty()
+
+
+def _bm25_in_tasks(terms: DataFrame, docs: DataFrame, k: int, key: str, scopes: Scopes | None) -> DataFrame | None:
+    """(query_id, key, score) of each task's best (``task_scores``); None where a key has several rows,
+    which are then one document."""
+    vocabulary = S.shared(terms.select("term").distinct(), "vocabulary")
+    entries = S.word_entries(docs, key, vocabulary)
+    if not _distinct(entries, key):
+        return None
+    spark = docs.sparkSession
+    n, total = entries.agg(F.count("*"), F.sum("dl")).first()
+    order = Window.orderBy("term")  # of the queries' terms, at most MOST_TERMS
+    ids = spark.read.parquet(vocabulary).select("term", (F.row_number().over(order) - 1).alias("id"))
+    df = ids.hint("merge").join(entries.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("df")), "id")
+    weighed = terms.hint("merge").join(df, "term").select("query_id", "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("weight"), F.lit(1.0).alias("n"), F.lit(0).alias("kinds"))
+    if scopes is not None:
+        owned = scopes[1].select(key, F.xxhash64("scope").alias("scope")).distinct().groupBy(key).agg(F.collect_list("scope").alias("scopes"))
+        entries = entries.hint("merge").join(owned, key)
+    mean = float(total / n) if n and total else 1.0
+    return S.best_of_tasks(weighed, entries, key, k, vocabulary, lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean)), scopes=scopes and scopes[0])
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, key: str = "doc_id", scopes: Scopes | None = None, own_statistics: bool = False, **pruning) -> DataFrame:
     """(query_id, key, score, rank): the k best documents of each query. idf is
     ln(1 + (N - df + 0.5) / (df + 0.5)); documents of no terms count for N and the mean length.
 
     Texts are read once: each gives its occurrences of the queries' terms and, with a null term, its
-    length. Terms and postings meet only where ``scopes``, two tables (query_id, scope) and (key,
+    length. Where the queries have few terms, documents are scored in the tasks that read them
+    (``task_scores``); else, or with ``pruning``, terms and postings meet only where ``scopes``, two tables (query_id, scope) and (key,
     scope), give them a scope in common, before anything is ranked; N, df and the mean length are
     the corpus's, or with ``own_statistics`` the scope's. Frequent terms are pruned (``impacts``)."""
     terms = written(query_terms(queries), "query-terms")
+    if not pruning and not (scopes is not None and own_statistics) and terms.count() <= S.MOST_TERMS:
+        best = _bm25_in_tasks(terms, docs, k, key, scopes)
+        if best is not None:
+            best = best.select("query_id", key, F.round("score", 4).alias("score"))
+            return top_k(best, k, tie=key).withColumnRenamed("top_rank", "rank")
     words = T.latin_tokens(F.coalesce("text", F.lit("")), phrases=False)
     rows = docs.select(key, words.alias("words")).select(key, F.size("words").cast("long").alias("dl"), F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("term"))
     post = written(wanted_terms(terms, rows).groupBy("term", key, "dl").agg(F.count("*").alias("tf")), "postings")
@@ -180,11 +211,27 @@ def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return shared.select("query_id", "chunk_id", F.round(F.least(F.lit(1.0), F.col("common") / F.col("n") + _type_bonus()), 4).alias("score"))
 
 
+def _lexical_in_tasks(terms: DataFrame, chunks: DataFrame, k: int) -> DataFrame | None:
+    """As ``_bm25_in_tasks``, for closed terms; kind 1 is a metric's chunk, 2 a risk's."""
+    vocabulary = S.shared(terms.select("term").distinct(), "vocabulary")
+    kind = T.chunk_type(F.coalesce("text", F.lit("")))
+    rows = chunks.select("chunk_id", F.when(kind == "financial_metric", 1).when(kind == "risk_signal", 2).otherwise(0).alias("kind"), T.tokens(F.col("text")).alias("words"))
+    entries = S.closed_entries(rows, "chunk_id", vocabulary)
+    if not _distinct(entries, "chunk_id"):
+        return None
+    weighed = terms.select("query_id", "term", F.col("weight").cast("double").alias("weight"), F.col("n").cast("double").alias("n"), (F.col("m").cast("int") + F.col("r").cast("int") * 2).alias("kinds"))
+    return S.best_of_tasks(weighed, entries, "chunk_id", k, vocabulary, lambda tf, dl: tf, most=1.0, bonus=0.15)
+
+
 def lexical_search(queries: DataFrame, chunks: DataFrame, k: int = 10, scopes: Scopes | None = None, **pruning) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best chunks by ``lexical_scores``, those of a query's
     scopes only (tables (query_id, scope) and (chunk_id, scope)), without scoring all that share a
     frequent token."""
     q = written(closed_queries(queries), "query-terms")
+    if not pruning and scopes is None and q.count() <= S.MOST_TERMS:
+        best = _lexical_in_tasks(q.where("term is not null"), chunks, k)
+        if best is not None:
+            return top_k(best.withColumn("score", F.round("score", 4)), k, tie="chunk_id").withColumnRenamed("top_rank", "rank")
     post = written(closed_postings(q, chunks), "closed-postings")
     terms = q.where("term is not null").select("query_id", "term", (F.col("weight") / F.col("n")).alias("weight"))
     inside = scoped(post, scopes and scopes[1], "chunk_id", "chunk_id").select("scope", "term", F.col("chunk_id").alias("key"), F.lit(1.0).alias("impact"))

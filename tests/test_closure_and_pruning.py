@@ -1,5 +1,6 @@
 """Synonym closure in lexical scores, pruned ranking against whole ranking, and searches in scopes."""
 
+import random
 import re
 
 import numpy as np
@@ -140,3 +141,26 @@ def test_alias_stands_for_the_row_label(spark):
     c = spark.createDataFrame(rows, f"chunk_id long, text string, fact {R.FACT}")
     got = {r.chunk_id: r.score for r in R.keyword_scores(q, c).collect()}
     assert got[0] == got[1] == 1.0 and got[2] == got[3] == 0.95
+
+
+def test_searches_in_tasks_are_the_whole_rankings(spark):
+    """Without pruning arguments neither texts nor postings are shuffled; ties, copies and scopes as before."""
+    rng = random.Random(8)
+    vocabulary = ["revenue", "sales", "margin", "risk", "supply", "chain", "ntion", "a", "7", "_x", "the", "income", "in", "供应链风险"] + [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(0, 30))) for _ in range(3000)]
+    texts[500:900] = texts[:400]
+    texts[1000:1400] = [texts[0]] * 400
+    d = spark.createDataFrame([(i, t or None) for i, t in enumerate(texts)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, " ".join(rng.choices(vocabulary, k=6))) for i in range(40)] + [(40, ""), (41, None), (42, texts[0])], "query_id long, text string")
+    rows = lambda df, key: sorted((r.query_id, r["rank"], r[key], r.score) for r in df.collect())
+    assert rows(R.bm25(q, d, 7), "doc_id") == rows(R.bm25(q, d, 7, direct=10**12), "doc_id")
+    c = d.selectExpr("concat('c', doc_id) AS chunk_id", "text")
+    found = R.lexical_search(q, c, 7)
+    assert rows(found, "chunk_id") == rows(R.lexical_search(q, c, 7, direct=10**12), "chunk_id")
+    asked = q.selectExpr("query_id", "query_id % 5 AS scope").union(q.selectExpr("query_id", "query_id % 3 AS scope"))
+    own = d.selectExpr("doc_id", "doc_id % 4 AS scope").where("doc_id % 7 > 0")
+    assert rows(R.bm25(q, d, 7, scopes=(asked, own)), "doc_id") == rows(R.bm25(q, d, 7, scopes=(asked, own), direct=10**12), "doc_id")
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan
+    twice = d.where("doc_id < 50").union(d.where("doc_id < 25"))
+    assert rows(R.bm25(q, twice, 7), "doc_id") == rows(R.bm25(q, twice, 7, direct=10**12), "doc_id")
