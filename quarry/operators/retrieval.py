@@ -56,6 +56,13 @@ def wanted_terms(terms: DataFrame, rows: DataFrame) -> DataFrame:
     return met.where(F.col("term").isNull() | F.col("wanted")).drop("wanted")
 
 
+def documents_of(hits: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that hits name. Their keys are broadcast if there are at most BROADCAST_ROWS, so
+    that the other texts stay in their tasks."""
+    ids = written(hits.select(key).distinct(), "hit-keys")
+    return docs.join(F.broadcast(ids), key) if ids.count() <= BROADCAST_ROWS else docs.hint("merge").join(ids, key)
+
+
 Scopes = tuple[DataFrame, DataFrame]
 
 
@@ -318,7 +325,7 @@ def retrieve(modes, queries: DataFrame, docs: DataFrame, vectors: DataFrame, k:
         fused = fuse(both.withColumnRenamed("doc_id", "chunk_id"), weights).where(F.col("rank") <= d).select("query_id", "rank", F.col("chunk_id").alias("doc_id"), F.col("fusion_score").alias("score"))
         if mode == "hybrid_rerank":
             pool = written(fused, "pool")
-            words = docs.hint("merge").join(pool.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", T.tokens(F.col("text")).alias("text_tokens"), T.chunk_type(F.coalesce("text", F.lit(""))).alias("chunk_type"))
+            words = documents_of(pool, docs).select("doc_id", T.tokens(F.col("text")).alias("text_tokens"), T.chunk_type(F.coalesce("text", F.lit(""))).alias("chunk_type"))
             rows = pool.withColumn("retrieval_method", F.lit("hybrid_rrf")).hint("merge").join(words, "doc_id").hint("merge").join(queries.select("query_id", T.tokens(F.col("text")).alias("query_tokens")), "query_id")
             fused = lexical_rerank(rows, k).select("query_id", F.col("new_rank").alias("rank"), "doc_id", F.col("rerank_score").alias("score"))
         out.append(fused.withColumn("mode", F.lit(mode)))

@@ -9,7 +9,7 @@ from quarry.functions import text as T
 from quarry.operators import chunking as C
 from quarry.operators import retrieval as R
 from quarry.plans.registry import query
-from quarry.session import table
+from quarry.session import table, written
 
 WORDS = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'), lambda t: length(t) > 1 OR regexp_matches(t, '^[0-9]$'))"
 CTX_PAGES = "pages_ AS (SELECT doc_id, CAST(i.range + 1 AS BIGINT) AS page, substr(text, CAST(i.range * 2800 + 1 AS BIGINT), 2800) AS text FROM documents, range(64) i WHERE i.range * 2800 < length(text))"
@@ -120,11 +120,11 @@ o AS (SELECT *, len(list_intersect(qw, dw)) / len(qw) + CASE WHEN kind = 'financ
 s AS (SELECT query_id, doc_id, rank, round(least(1.0, over_ * 0.85 + least(1.0, CASE WHEN score <= 1 THEN score ELSE score / 10.0 END) * 0.15) + 1e-9, 4) AS rerank_score FROM o)
 SELECT query_id, doc_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS new_rank FROM s""")
 def txt11_lexical_rerank(spark, sf_dir):
-    hits = R.bm25(questions(spark, sf_dir), docs(spark, sf_dir))
+    hits = written(R.bm25(questions(spark, sf_dir), docs(spark, sf_dir)), "hits")
     kind = F.when(F.col("doc_id") % 3 == 0, "financial_metric").when(F.col("doc_id") % 3 == 1, "risk_signal").otherwise("narrative")
     hits = hits.withColumns({"chunk_type": kind, "retrieval_method": F.when(F.col("doc_id") % 2 == 0, "hybrid_rrf").otherwise("bm25")})
     q = questions(spark, sf_dir).select("query_id", T.tokens(F.col("text")).alias("query_tokens"))
-    d = docs(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("text_tokens"))
+    d = R.documents_of(hits, docs(spark, sf_dir)).select("doc_id", T.tokens(F.col("text")).alias("text_tokens"))
     rows = hits.hint("merge").join(d, "doc_id").hint("merge").join(q, "query_id")
     return R.lexical_rerank(rows).select("query_id", "doc_id", "rerank_score", "new_rank")
 
@@ -290,8 +290,8 @@ def txt37_content_identity(spark, sf_dir):
 @query(BM25 + """, p AS (SELECT query_id, string_agg('[' || rank || '] ' || substr(d.text, 1, 200), chr(10) ORDER BY rank) AS context FROM hits JOIN documents d USING (doc_id) WHERE rank <= 5 GROUP BY 1)
 SELECT query_id, length(context) AS prompt_chars, md5(context) AS context_md5 FROM p""")
 def txt39_context_packing(spark, sf_dir):
-    top = R.bm25(questions(spark, sf_dir), docs(spark, sf_dir), 5)
-    rows = top.hint("merge").join(docs(spark, sf_dir), "doc_id").withColumn("passage", F.concat(F.format_string("[%d] ", "rank"), F.substring("text", 1, 200)))
+    top = written(R.bm25(questions(spark, sf_dir), docs(spark, sf_dir), 5), "hits")
+    rows = top.hint("merge").join(R.documents_of(top, docs(spark, sf_dir)).select("doc_id", F.substring("text", 1, 200).alias("text")), "doc_id").withColumn("passage", F.concat(F.format_string("[%d] ", "rank"), F.substring("text", 1, 200)))
     packed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "passage"))).alias("ps"))  # five passages
     context = F.array_join(F.transform("ps", lambda p: p["passage"]), "\n")
     return packed.select("query_id", F.length(context).cast("long").alias("prompt_chars"), F.md5(context).alias("context_md5"))
@@ -300,9 +300,9 @@ def txt39_context_packing(spark, sf_dir):
 @query(BM25 + f""", q AS (SELECT query_id, list_distinct({WORDS}) AS qw FROM questions), t AS (SELECT h.query_id, rank, len(list_intersect(qw, list_distinct({WORDS.replace("text", "d.text")}))) / len(qw) AS o FROM hits h JOIN documents d USING (doc_id) JOIN q USING (query_id))
 SELECT query_id, round(sum(o / rank) / sum(1.0 / rank), 4) AS groundedness FROM t GROUP BY 1""")
 def agg15_groundedness(spark, sf_dir):
-    hits = R.bm25(questions(spark, sf_dir), docs(spark, sf_dir))
+    hits = written(R.bm25(questions(spark, sf_dir), docs(spark, sf_dir)), "hits")
     q = questions(spark, sf_dir).select("query_id", T.tokens(F.col("text")).alias("q"))
-    d = docs(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t"))
+    d = R.documents_of(hits, docs(spark, sf_dir)).select("doc_id", T.tokens(F.col("text")).alias("t"))
     rows = hits.hint("merge").join(d, "doc_id").hint("merge").join(q, "query_id").withColumn("o", T.overlap(F.col("q"), F.col("t")))
     return rows.groupBy("query_id").agg(F.round(F.sum(F.col("o") / F.col("rank")) / F.sum(1.0 / F.col("rank")), 4).alias("groundedness"))
 

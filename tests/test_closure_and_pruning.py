@@ -164,3 +164,10 @@ def test_searches_in_tasks_are_the_whole_rankings(spark):
     assert "MapInArrow" in plan and "SortMergeJoin" not in plan
     twice = d.where("doc_id < 50").union(d.where("doc_id < 25"))
     assert rows(R.bm25(q, twice, 7), "doc_id") == rows(R.bm25(q, twice, 7, direct=10**12), "doc_id")
+
+
+def test_only_texts_of_hits_leave_their_tasks(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(9)], "doc_id long, text string")
+    found = R.documents_of(docs.where("doc_id < 2").union(docs.where("doc_id < 3")), docs)
+    assert {r.text for r in found.collect()} == {"t0", "t1", "t2"} and found.count() == 3
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().toString()
