@@ -7,11 +7,12 @@ import re
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 DIMENSION = 384
+TEXTS = 256  # of an Arrow batch, embedded at a time
 
 
 _TOKEN = re.compile("[a-zA-Z0-9\u4e00-\u9fff]+")
@@ -30,13 +31,21 @@ def hash_embedding(text: str, dimension: int = DIMENSION) -> list[float]:
 
 
 def embedder(embed: Callable[[list[str]], list[list[float]]] | None = None, element: str = "float"):
-    """A column function of any ``embed(texts)``, called once an Arrow batch. Null text: null."""
+    """A column function of any ``embed(texts)``, called for TEXTS rows of an Arrow batch at a time; what is
+    done is kept as Arrow numbers, not as Python's. Null text: null."""
     run = embed or (lambda texts: [hash_embedding(t) for t in texts])
 
-    @pandas_udf(f"array<{element}>")
-    def apply(texts: pd.Series) -> pd.Series:
-        found = iter(run(texts.dropna().tolist()) if texts.notna().any() else [])
-        return pd.Series([next(found) if t is not None and t == t else None for t in texts], dtype=object)
+    kind = pa.list_(pa.float64() if element == "double" else pa.float32())
+
+    def embedded(texts: list[str | None]) -> pa.Array:
+        known = [t for t in texts if t is not None]
+        found = iter(run(known) if known else [])
+        return pa.array([None if t is None else next(found) for t in texts], kind)
+
+    @arrow_udf(f"array<{element}>")
+    def apply(texts: pa.Array) -> pa.Array:
+        parts = [embedded(texts.slice(i, TEXTS).to_pylist()) for i in range(0, len(texts), TEXTS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return apply
 

@@ -113,3 +113,11 @@ def test_files_of_each_supplier_are_read_once_and_share_folders(spark, tmp_path)
     good, bad = by_suffix(spark, folder)
     assert (good.count(), bad.count()) == (2250, 750)
     assert all("uploads" not in f for f in [*good.inputFiles(), *bad.inputFiles()])
+
+
+def test_texts_are_embedded_a_slice_at_a_time(spark):
+    from quarry.functions.embedding import TEXTS, embedder
+
+    d = spark.range(2000, numPartitions=1).selectExpr("id", "IF(id % 7 = 0, null, concat('t', id)) AS text")
+    got = d.select("id", embedder(lambda texts: [[float(len(texts))] for _ in texts])("text").alias("v")).collect()
+    assert all((r.v is None) == (r.id % 7 == 0) for r in got) and 0 < max(r.v[0] for r in got if r.v) <= TEXTS
