@@ -3,8 +3,8 @@
 A text is read once, in an Arrow batch, into a row for each number: its value as printed, whether a unit
 is declared near it, the period labels nearest to it, and the characters around it. A claim's value
 has a few targets (as printed, as a percentage, in millions, in single dollars), and target and number
-meet by equal keys: the company and the number's size class, of which a target takes its own and both
-neighbours. No claim is held against a text without such a number, and no text is shuffled.
+meet by equal keys: the company and the number's size class, of which a target takes those within its
+slack, one or two. No claim is held against a text without such a number, and no text is shuffled.
 
 A number is taken as printed: 12.3 isn't found in 112.35. Numbers of one digit, and of two where the
 claim is below 2, are too common to count unless they are percentages.
@@ -13,6 +13,8 @@ claim is below 2, are too common to count unless they are percentages.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,63 +27,72 @@ from quarry.session import written
 # Fixed values of the behaviour that is matched.
 TOLERANCE, PERCENT_POINTS, MILLIONS, DOLLARS = 0.02, 0.15, 50.0, 1_000_000.0  # relative, and least absolute ones
 SMALL = 1.5  # values up to this are ratios
+FEW_PERIODS = 100_000  # of short strings
 REACH = 100  # characters from a number to its label
 UNIT = r"\b(?:billion|million|thousand|usd|u\.?s\.?\s*dollars?)\b|\$|in\s+millions|in\s+billions|in\s+thousands"
 
 NUMBER = re.compile(r"(?<![\d.,])-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?![\d]|[.,]\d)")
+LARGEST = 1.7e308
 STEP = 1.5  # numbers of a size class are within this factor
 SPAN = "evidence_id string, start int, value double, decimals int, digits int, percent boolean, in_millions boolean, declared boolean, labels array<string>, around string, at int"
 
 
-def number_spans(texts: DataFrame) -> DataFrame:
-    """SPAN rows of texts (evidence_id, text). A null text has none."""
+def number_spans(texts: DataFrame, *carried: str) -> DataFrame:
+    """SPAN rows of texts (evidence_id, text), with the ``carried`` columns of their text. A null text has none."""
     unit = re.compile(UNIT)
 
     def spans(text: str):
         low = text.lower()
-        whole = "in millions" in low
+        whole, labels = "in millions" in low, P.labels_around(text)
         for m in NUMBER.finditer(text):
             a, b = m.span()
             token = m[0].replace(",", "")
             before, near = low[max(0, a - 80) : a], low[max(0, a - 60) : a + 60]
             million = whole or "million" in before or "million" in low[b : b + 24]
             wide = before + low[a : a + 40]
-            declared = bool(unit.search(near)) or "billion" in wide or "million" in wide
+            declared = "$" in near or "billion" in wide or "million" in wide or bool(unit.search(near))
             left = max(0, a - REACH)
             yield (
                 a,
                 float(token),
                 len(token.partition(".")[2]),
-                sum(c.isdigit() for c in token),
+                len(token) - token.count(".") - token.count("-"),
                 text[b : b + 8].lstrip().startswith("%"),
                 million,
                 declared,
-                P.labels_nearest(text, a, b)[1],
+                labels(a, b),
                 low[left : a + REACH],
                 a - left + 1,
             )
 
-    kinds = (pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.string(), pa.int32())
-    names = [c.split()[0] for c in SPAN.split(", ")]
+    kinds = (pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.string(), pa.int32())
+    names = [c.split()[0] for c in SPAN.split(", ")] + list(carried)
 
     def run(batches):
-        out: list[tuple] = []
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
         for batch in batches:
-            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            of, out = [], []
+
+            def flush():
+                key, _, *more = (c.take(pa.array(of)) for c in batch.columns)
+                rows = pa.RecordBatch.from_arrays([key, *(pa.array(c, k) for c, k in zip(zip(*out), kinds)), *more], names=names)
+                of.clear(), out.clear()
+                return rows
+
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 for span in spans(text or ""):
-                    out.append((key, *span))
+                    of.append(i)
+                    out.append(span)
                     if len(out) >= 4000:
                         yield flush()
-                        out.clear()
-        if out:
-            yield flush()
+            if out:
+                yield flush()
 
-    return texts.select(F.col("evidence_id").cast("string"), F.col("text").cast("string")).mapInArrow(run, SPAN)
+    types = {f.name: f.dataType.simpleString() for f in texts.schema}
+    return texts.select(F.col("evidence_id").cast("string"), F.col("text").cast("string"), *carried).mapInArrow(run, ", ".join([SPAN, *(f"`{c}` {types[c]}" for c in carried)]))
 
 
 def _size_class(x: Column) -> Column:
-    return F.floor(F.log(F.greatest(F.abs(x), F.lit(1.0))) / F.log(F.lit(STEP))).cast("int")
+    return F.floor(F.log(F.least(F.greatest(F.abs(x), F.lit(1.0)), F.lit(LARGEST))) / F.log(F.lit(STEP))).cast("int")
 
 
 def targets(claims: DataFrame) -> DataFrame:
@@ -97,7 +108,8 @@ def targets(claims: DataFrame) -> DataFrame:
     )
     sound = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     rows = claims.where(sound).withColumn("_form", F.explode(F.filter(forms, lambda f: f.isNotNull()))).select("*", "_form.*").drop("_form")
-    return rows.withColumn("bucket", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: _size_class(F.col("target")) + d)))
+    size, reach = F.abs("target"), F.greatest("slack", F.lit(0.5)) * 1.001 + 1e-6  # a printed number is at most half a unit off
+    return rows.withColumn("bucket", F.explode(F.sequence(_size_class(F.greatest(size - reach, F.lit(1.0))), _size_class(size + reach))))
 
 
 def alias_distance(around: Column, at: Column, metric: Column) -> Column:
@@ -107,15 +119,26 @@ def alias_distance(around: Column, at: Column, metric: Column) -> Column:
     for name, words in T.METRIC_ALIASES:
         aliases = F.when(metric == name, F.array(*(F.lit(w.lower()) for w in words))).otherwise(aliases)
 
-    def distance(alias: Column) -> Column:
+    def distance(alias: Column, back: Column) -> Column:
         right = F.call_function("locate", alias, around, at)
-        reach = at + F.length(alias) - 2  # an alias that starts before `at` ends here at most
-        back = F.reverse(F.substring(around, F.lit(1), reach))
-        left = F.call_function("locate", F.reverse(alias), back)
-        start = F.length(back) - left - F.length(alias) + 2
+        past = F.length(around) - at - F.length(alias) + 3  # an alias that starts before `at` starts here, read backwards, at least
+        left = F.call_function("locate", F.reverse(alias), back, F.greatest(past, F.lit(1)))
+        start = F.length(around) - left - F.length(alias) + 2
         return F.least(F.when(right > 0, right - at), F.when(left > 0, at - start))
 
-    return F.array_min(F.transform(F.filter(aliases, lambda a: a != ""), distance))
+    return T._bound(F.reverse(around), lambda back: F.array_min(F.transform(F.filter(aliases, lambda a: (a != "") & F.contains(around, a)), lambda a: distance(a, back))))
+
+
+def _with_period(rows: DataFrame) -> DataFrame:
+    """``rows`` (claim_period, labels, own_period) with ``period``, the status of ``match_near``: judged once for
+    each distinct three, which are broadcast, if there are at most FEW_PERIODS of them."""
+    three = ["claim_period", "labels", "own_period"]
+    status = P.match_near(*map(F.col, three))["status"]
+    known = written(rows.select(three).distinct(), "period-cases")
+    if known.count() > FEW_PERIODS:
+        return rows.withColumn("period", status)
+    known = written(known.withColumn("period", status), "period-statuses").select(*(F.col(c).alias(f"_{c}") for c in three), "period")
+    return rows.join(F.broadcast(known), reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in three))).drop(*(f"_{c}" for c in three))
 
 
 def match_numbers(claims: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -126,10 +149,9 @@ def match_numbers(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     Reasons, the first that holds: number_not_found, period_unknown, period_mismatch,
     period_ambiguous, period_metadata_conflict, metric_label_mismatch, unit_ambiguous, bound."""
     claims = claims.select(F.col("claim_id").cast("string").alias("claim_id"), "company", F.coalesce("metric", F.lit("")).alias("metric"), F.col("value").cast("double").alias("value"), "unit", F.col("period").alias("claim_period"))
-    own = evidence.select(F.col("evidence_id").cast("string").alias("evidence_id"), "company", F.col("period").alias("own_period"))
-    spans = written(number_spans(evidence).withColumn("bucket", _size_class(F.col("value"))).withColumnRenamed("value", "found"), "number-spans")
-    spans = written(spans.hint("merge").join(own, "evidence_id"), "company-spans")
-    rows = written(targets(claims), "claim-targets").hint("merge").join(spans, ["company", "bucket"])
+    spans = number_spans(evidence.withColumnRenamed("period", "own_period"), "company", "own_period").where("digits > 1 or percent")
+    spans = spans.withColumn("bucket", _size_class(F.col("value"))).withColumnRenamed("value", "found")
+    rows = targets(claims).hint("merge").join(spans, ["company", "bucket"])
     off = F.abs(F.col("found") - F.col("target"))
     usable = (F.col("digits") > 2) | ((F.col("digits") == 2) & (F.abs("value") >= 2.0))
     right = (
@@ -149,7 +171,7 @@ def match_numbers(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     order = F.struct(F.coalesce("distance", F.lit(10_000)), "start", F.col("unit_conversion").isNull(), "form")
     kept = ("distance", "start", "matched_value", "unit_conversion", "declared", "percent", "labels", "own_period", "claim_period", "unit", "value")
     best = hits.groupBy("claim_id", "evidence_id").agg(F.min_by(F.struct(*kept), order).alias("b")).select("claim_id", "evidence_id", "b.*")
-    best = written(best.withColumn("period", P.match_near(F.col("claim_period"), F.col("labels"), F.col("own_period"))["status"]), "number-hits")
+    best = _with_period(written(best, "number-hits"))
     amount = (F.abs("value") > SMALL) & (F.coalesce("unit", F.lit("billion_usd")) != "ratio") & ~F.col("percent")
     reason = (
         F.when(F.col("period").isin("unknown", "mismatch", "ambiguous"), F.concat(F.lit("period_"), "period"))
@@ -176,9 +198,9 @@ def match_formulas(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     found = match_numbers(parts, evidence).where("evidence_id is not null").withColumn("claim_id", F.get_json_object("claim_id", "$.claim_id"))
     reasons = ("period_unknown", "period_mismatch", "period_ambiguous", "period_metadata_conflict", "metric_label_mismatch", "unit_ambiguous")
     place = F.array_position(F.array(*map(F.lit, reasons)), F.col("reason"))
-    each = found.groupBy("claim_id", "evidence_id").agg(F.count("*").alias("n_found"), F.min(F.when(~F.col("matched"), F.struct(place.alias("place"), "reason"))).alias("worst"))
+    each = found.groupBy("claim_id", "evidence_id").agg(F.count("*").alias("n_found"), F.min(F.when(~F.col("matched"), place)).alias("place"))
     rows = sizes.hint("merge").join(each, "claim_id", "left")
-    worst = F.col("worst.reason")
+    worst = F.try_element_at(F.array(*map(F.lit, reasons)), F.col("place").cast("int"))
     reason = (
         F.when((F.col("n") == 0) | (F.col("n_values") < F.col("n")) | F.col("n_found").isNull() | (F.col("n_found") < F.col("n")), "formula_input_incomplete")
         .when(worst.isin("period_unknown", "period_mismatch", "period_ambiguous"), F.concat(F.lit("formula_input_"), worst))

@@ -58,3 +58,42 @@ def test_formulas(spark):
     assert got[("1", "both")] == "formula_inputs_bound" and got[("1", "one")] == "formula_input_incomplete"
     assert {v for k, v in got.items() if k[0] in "2345"} == {"formula_input_incomplete"}
     assert got[("6", "one")] == "formula_input_period_mismatch"
+
+
+def test_periods_of_distinct_cases_and_sentences(spark, monkeypatch):
+    """Each sentence of a text is searched for labels once, and each distinct case of periods judged once."""
+    from quarry.operators import number_spans as N
+    from quarry.operators import periods as P
+
+    searched, pattern = [], P._LABEL
+
+    class Counting:
+        def finditer(self, text):
+            searched.append(text)
+            return pattern.finditer(text)
+
+    monkeypatch.setattr(P, "_LABEL", Counting())
+    text = "In FY2001 it was " + ", ".join(str(1000 + i) for i in range(200)) + ". Then FY2002: 5.5 after FY2003"
+    near = P.labels_around(text)
+    assert [near(m.start(), m.end()) for m in N.NUMBER.finditer(text)].count(["FY2001"]) > 200 and len(searched) == 2
+    monkeypatch.undo()
+    calls, judge = [], P.match_near
+    monkeypatch.setattr(P, "match_near", lambda *a: calls.append(a) or judge(*a))
+    claims = spark.createDataFrame([(i, f"c{i}", "revenue", 29.5, "billion_usd", "FY2024" if i % 2 else None) for i in range(40)], "claim_id long, company string, metric string, value double, unit string, period string")
+    texts = spark.createDataFrame([(f"e{i}", f"c{i}", f"FY202{4 - i % 4 // 2} revenue was $29.5 billion.", None) for i in range(40)], "evidence_id string, company string, text string, period string")
+    got = {int(r.claim_id): r.reason for r in match_numbers(claims, texts).collect()}
+    assert got == {i: "bound" if i % 4 == 1 else "period_mismatch" for i in range(40)} and len(calls) == 1
+    monkeypatch.setattr(N, "FEW_PERIODS", 0)
+    assert {int(r.claim_id): r.reason for r in match_numbers(claims, texts).collect()} == got
+
+
+def test_targets_take_the_classes_within_their_slack(spark):
+    from quarry.operators.number_spans import _size_class, targets
+
+    values = [0.01, 1.0, 1.49, 1.5, 2.25, 12.3, 29.5, 3377.0, 1e300]
+    rows = targets(spark.createDataFrame([(v * sign, "billion_usd") for v in values for sign in (1, -1)], "value double, unit string"))
+    ends = rows.groupBy("value", "form", "target", "slack").agg(F.collect_set("bucket").alias("b"), F.count("*").alias("n"))
+    reach = F.when(F.col("form") == "printed", F.lit(0.5)).otherwise(F.col("slack"))
+    for r in ends.select("*", F.array(*(_size_class(F.col("target") + d * reach) for d in (-1, 0, 1))).alias("want")).collect():
+        assert set(r.want) <= set(r.b) and len(r.b) == r.n <= 3, r
+    assert rows.count() < 9 * 2 * len(values) * 0.6
