@@ -380,22 +380,31 @@ def rerank_faults(final: DataFrame, pool: DataFrame, k: int) -> DataFrame:
 
 def paragraph_search(queries: DataFrame, docs: DataFrame, k: int = 5, snippet: int = 400) -> DataFrame:
     """(query_id, doc_id, paragraph, score, snippet, rank): the k paragraphs with the largest share of a
-    query's tokens; one that the query, trimmed, stands in has all of 1.0. The queries' tokens are
-    broadcast if they are few, so other tokens stay in their tasks, and only the paragraphs that are
-    shown are fetched again."""
+    query's tokens; one that the query, trimmed, stands in has all of 1.0. Where the queries have few
+    tokens, paragraphs are scored in the tasks that read them (``task_scores``); else those that share a
+    token are. Only the documents that are shown are read again."""
     from quarry.operators.chunking import paragraphs
 
     parts = docs.select("doc_id", F.posexplode(paragraphs(F.coalesce("text", F.lit("")))).alias("paragraph", "body"))
     q = written(queries.select("query_id", T.tokens(F.col("text")).alias("t")).select("query_id", F.size("t").alias("n"), F.explode("t").alias("term")), "query-tokens")
-    p = wanted_terms(q, parts.select("doc_id", "paragraph", F.explode(T.tokens(F.col("body"))).alias("term")))
-    scored = q.hint("merge").join(p, "term").groupBy("query_id", "n", "doc_id", "paragraph").agg(F.count("*").alias("common"))
+    if q.count() <= S.MOST_TERMS and _distinct(docs, "doc_id"):
+        vocabulary = S.shared(q.select("term").distinct(), "vocabulary")
+        place = F.struct("doc_id", "paragraph").alias("place")
+        entries = S.token_entries(parts.select(place, F.lit(0).alias("kind"), T.tokens(F.col("body")).alias("words")), "place", vocabulary)
+        weighed = q.select("query_id", "term", F.lit(1.0).alias("weight"), F.col("n").cast("double").alias("n"), F.lit(0).alias("kinds"))
+        best = S.best_of_tasks(weighed, entries.where(F.size("ids") > 0), "place", k, vocabulary, lambda tf, dl: tf)
+        shares = best.select("query_id", "place.doc_id", "place.paragraph", F.round("score", 4).alias("score"))
+    else:
+        p = wanted_terms(q, parts.select("doc_id", "paragraph", F.explode(T.tokens(F.col("body"))).alias("term")))
+        scored = q.hint("merge").join(p, "term").groupBy("query_id", "n", "doc_id", "paragraph").agg(F.count("*").alias("common"))
+        shares = scored.select("query_id", "doc_id", "paragraph", F.round(F.col("common") / F.col("n"), 4).alias("score"))
     bodies = parts.select(F.struct("doc_id", "paragraph").alias("doc_id"), "body")
     inside = containing(queries.select("query_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "").alias("passage")), bodies).select("query_id", "doc_id.doc_id", "doc_id.paragraph", F.lit(1.0).alias("score"))
-    shares = scored.select("query_id", "doc_id", "paragraph", F.round(F.col("common") / F.col("n"), 4).alias("score"))
     best = shares.unionByName(inside).groupBy("query_id", "doc_id", "paragraph").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "paragraph")
     best = written(best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k), "best-paragraphs")
-    return best.hint("merge").join(parts, ["doc_id", "paragraph"]).select("query_id", "doc_id", "paragraph", "score", F.substring("body", 1, snippet).alias("snippet"), "rank")
+    shown = documents_of(best, docs, "doc_id").select("doc_id", F.posexplode(paragraphs(F.coalesce("text", F.lit("")))).alias("paragraph", "body"))
+    return best.hint("merge").join(shown.select("doc_id", "paragraph", F.substring("body", 1, snippet).alias("body")), ["doc_id", "paragraph"]).select("query_id", "doc_id", "paragraph", "score", F.substring("body", 1, snippet).alias("snippet"), "rank")
 
 
 def containing(passages: DataFrame, texts: DataFrame) -> DataFrame:

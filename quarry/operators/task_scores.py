@@ -116,6 +116,23 @@ def closed_entries(rows: DataFrame, key: str, vocabulary: str) -> DataFrame:
     return _entries(rows.select(key, "kind", "words"), key, closing, vocabulary, "kind", "closed-entries")
 
 
+def token_entries(rows: DataFrame, key: str, vocabulary: str) -> DataFrame:
+    """(key, kind, dl, ids, tfs) of rows (key, kind, words array of distinct tokens): the terms among them."""
+
+    def having(number):
+        return lambda words: (len(words), {number[w]: 1 for w in words if w in number})
+
+    return _entries(rows.select(key, "kind", "words"), key, having, vocabulary, "kind", "token-entries")
+
+
+def _in_order(keys: pa.Array) -> pa.Array:
+    """The places of keys in ascending order, null first; a struct's fields one after another."""
+    if not pa.types.is_struct(keys.type):
+        return pc.array_sort_indices(keys, null_placement="at_start")
+    fields = pa.RecordBatch.from_arrays(keys.flatten(), names=[f.name for f in keys.type])
+    return pc.sort_indices(fields, sort_keys=[(f.name, "ascending") for f in keys.type], null_placement="at_start")
+
+
 def best_of_tasks(terms: DataFrame, entries: DataFrame, key: str, k: int, vocabulary: str, impact: Callable, most: float | None = None, bonus: float = 0.0, scopes: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score): each task's best documents of each query, of entries (key, kind, dl, ids, tfs)
     for terms (query_id, term, weight, n, kinds): the sum of weight times ``impact(tf, dl)`` over n, with
@@ -154,7 +171,7 @@ def best_of_tasks(terms: DataFrame, entries: DataFrame, key: str, k: int, vocabu
                 gain = impact(np.asarray(part.column(4).flatten(), np.float64), np.asarray(part.column(2), np.float64)[owner])
                 kind = np.asarray(part.column(1), np.int64)
                 first = np.empty(part.num_rows, np.int64)
-                first[np.asarray(pc.array_sort_indices(part.column(0), null_placement="at_start"))] = np.arange(part.num_rows)
+                first[np.asarray(_in_order(part.column(0)))] = np.arange(part.num_rows)
                 meets = None
                 if asked is not None:
                     meets = np.zeros((part.num_rows, len(queries)), bool)
