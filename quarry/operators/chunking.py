@@ -67,11 +67,11 @@ def overlapped(packed: Column, size: int = 900, overlap: int = 120) -> Column:
     return F.aggregate(packed, F.array().cast("array<string>"), step)
 
 
-def chunk_pages(pages: DataFrame, size: int = 900, overlap: int = 120) -> DataFrame:
-    """(doc_id, page, chunk_no, chunk_id, text) of (doc_id, page, text): packed paragraphs with
-    overlap. Every chunk has at most ``size`` characters. Folded a page at a time."""
+def chunk_pages(pages: DataFrame, size: int = 900, overlap: int = 120, *carried: str) -> DataFrame:
+    """(doc_id, page, chunk_no, chunk_id, text) of (doc_id, page, text), with the ``carried`` columns of
+    their page: packed paragraphs with overlap. Every chunk has at most ``size`` characters. Folded a page at a time."""
     cut = overlapped(pack(paragraphs(F.col("text")), size), size, overlap)
-    rows = pages.select("doc_id", "page", F.posexplode(cut).alias("chunk_no", "text"))
+    rows = pages.select("doc_id", "page", *carried, F.posexplode(cut).alias("chunk_no", "text"))
     return rows.withColumn("chunk_id", F.format_string("%s:p%d:c%d", F.col("doc_id").cast("string"), "page", "chunk_no"))
 
 

@@ -57,7 +57,7 @@ def document_chunks(pages: DataFrame, tables: DataFrame | None = None, size: int
     amount = F.regexp_replace(F.format_string("%.4f", "value"), r"\.?0+$", "")
     row = peers.select("doc_id", "page", F.lit("peer_row").alias("kind"), F.col("row_no").alias("chunk_no"), F.concat("company", F.lit(" "), "metric", F.lit(": "), amount, F.lit(" (peer table).")).alias("text"), F.array("company").alias("companies"))
     plain = p.hint("merge").join(peers.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
-    packed = chunk_pages(plain.select("doc_id", "page", "text"), size, overlap).hint("merge").join(own, ["doc_id", "page"])
+    packed = chunk_pages(plain.select("doc_id", "page", "text", "pool"), size, overlap, "pool")
     named = F.filter("pool", lambda c: F.contains(F.lower("text"), F.lower(c)))
     text = packed.select("doc_id", "page", F.lit("text").alias("kind"), "chunk_no", "text", F.when(F.size(named) > 0, named).otherwise(F.col("pool")).alias("companies"))
     body = written(row.unionByName(text), "body-chunks")

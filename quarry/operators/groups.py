@@ -1,17 +1,18 @@
-"""Ranks, percentiles and ordered digests of groups of any size: by range partitions, never a whole group."""
+"""Ranks, percentiles and ordered digests of groups of any size: by range partitions where a group is large."""
 
 from __future__ import annotations
 
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.ranking import numbered
 from quarry.session import written
 
 BROADCAST_ROWS = 200_000  # of groups, a few numbers each
+FEW_ROWS = 100_000  # of a group that one task sorts
 PIECE = 1 << 14  # bytes of ids in one row
 
 
@@ -22,7 +23,12 @@ def _numbered_groups(rows: DataFrame, by: list[str], order: list[str]) -> tuple[
 
 
 def ranked_in_groups(rows: DataFrame, by: list[str], order: list[str], name: str = "nth") -> DataFrame:
-    """``rows`` with their place in their group, from 0. The group's columns aren't null."""
+    """``rows`` with their place in their group, from 0. The group's columns aren't null. Groups of up to
+    FEW_ROWS rows are sorted each by itself; with a larger one all are cut into ranges."""
+    rows = written(rows, "grouped-rows")
+    most = rows.groupBy(*by).count().agg(F.max("count")).first()[0]
+    if most is None or most <= FEW_ROWS:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") - 1)
     placed, starts = _numbered_groups(rows, by, order)
     starts = starts.drop("_n")
     joined = placed.join(F.broadcast(starts), by) if starts.count() <= BROADCAST_ROWS else placed.hint("merge").join(starts, by)

@@ -42,3 +42,16 @@ def test_bootstrap_draws(spark, n):
 def test_resamples_are_summed_where_they_are_drawn(spark):
     plan = R.bootstrap_means(spark.range(1000).select(F.col("id").alias("position"), F.rand(1).alias("x")), 50, 1, "x")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_small_groups_are_sorted_each_by_itself(spark, monkeypatch):
+    from quarry.operators import groups as G
+
+    ranges, number = [], G.numbered
+    monkeypatch.setattr(G, "numbered", lambda *a, **b: ranges.append(a) or number(*a, **b))
+    df = spark.createDataFrame([(i % 7, (i * 13) % 10 if i % 9 else None, i) for i in range(200)], "g long, v long, id long")
+    rows = lambda: sorted(tuple(r) for r in ranked_in_groups(df, ["g"], ["v", "id"]).select("g", "id", "nth").collect())
+    got = rows()
+    assert not ranges
+    monkeypatch.setattr(G, "FEW_ROWS", 10)
+    assert rows() == got and ranges
