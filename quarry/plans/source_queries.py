@@ -387,12 +387,13 @@ def str05_tumbling_windows(spark, sf_dir):
 
 @query()
 def str02_delivery(spark, sf_dir):
-    """The delivery state of each message: a user's events are one message's."""
+    """The delivery state of each message: six neighbouring events are one message's, their times in seconds."""
     from quarry.streaming.delivery import delivery_replay
 
     e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type").isin("view", "click"), "reserve").when(F.col("event_type") == "purchase", "ack").otherwise("fail")
-    return delivery_replay(e.select(F.concat_ws("-", F.lit("m"), (F.floor(F.col("event_id") / 6)).cast("string")).alias("message_id"), kind.alias("action"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at")))
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return delivery_replay(e.select(F.concat_ws("-", F.lit("m"), (F.floor(F.col("event_id") / 6)).cast("string")).alias("message_id"), kind.alias("action"), at.alias("at")))
 
 
 @query("""WITH RECURSIVE w AS (SELECT event_id // 8 AS thread_id, event_id AS seq, event_id % 3 AS expected, row_number() OVER (PARTITION BY event_id // 8 ORDER BY event_id) AS i FROM events),
